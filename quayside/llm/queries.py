@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact_dedup import exact_dedup
 from .sharding import shard_documents
 from .shared import read_table
 
@@ -14,7 +15,17 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op5_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(read_table(spark, sf_dir, "documents")).drop("row_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_virtual_slots": op3_virtual_slots,
+    "op5_streaming_exact_dedup": op5_streaming_exact_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op5_streaming_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
 }
-ORACLES: dict[str, str] = {}
