@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_template import format_conversations
 from .exact_dedup import exact_dedup
 from .sharding import shard_documents
 from .shared import read_table
@@ -19,9 +20,19 @@ def op5_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents")).drop("row_id")
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1 whose texts look like control strings."""
+    conversations = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.sql(
+        "SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+    )
+    return format_conversations(conversations.unionByName(odd))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_virtual_slots": op3_virtual_slots,
     "op5_streaming_exact_dedup": op5_streaming_exact_dedup,
+    "op10_chat_format": op10_chat_format,
 }
 ORACLES: dict[str, str] = {
     "op5_streaming_exact_dedup": """
