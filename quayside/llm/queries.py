@@ -10,6 +10,7 @@ from .chat_template import format_conversations
 from .exact_dedup import exact_dedup
 from .sharding import shard_documents
 from .shared import read_table
+from .simhash import near_duplicates
 
 
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op5_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents")).drop("row_id")
 
 
+def op8_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=3, radius=3)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1 whose texts look like control strings."""
     conversations = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -32,6 +37,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_virtual_slots": op3_virtual_slots,
     "op5_streaming_exact_dedup": op5_streaming_exact_dedup,
+    "op8_simhash_pigeonhole": op8_simhash_pigeonhole,
     "op10_chat_format": op10_chat_format,
 }
 ORACLES: dict[str, str] = {
