@@ -22,6 +22,7 @@ STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.rocksdb.compactOnCommit": "false",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each small store reserves megabytes of disk
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
 LANDED = T.StructType(
