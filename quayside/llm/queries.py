@@ -8,11 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_template import format_conversations
 from .exact_dedup import exact_dedup
+from .packing import pack
 from .sharding import shard_documents
 from .shared import read_table
 from .simhash import near_duplicates
 
 
+def _word_tokenizer() -> str:
+    """Where the public tokenizer's file is; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), _word_tokenizer(), capacity=2048)
+
+
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), shards=24)
 
@@ -35,6 +47,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_virtual_slots": op3_virtual_slots,
     "op5_streaming_exact_dedup": op5_streaming_exact_dedup,
     "op8_simhash_pigeonhole": op8_simhash_pigeonhole,
