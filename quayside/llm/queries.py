@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_template import format_conversations
 from .exact_dedup import exact_dedup
 from .packing import pack
+from .secrets import find_secrets
 from .sharding import shard_documents
 from .shared import read_table
 from .simhash import near_duplicates
@@ -29,6 +30,10 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op4_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(read_table(spark, sf_dir, "documents"), owner="source", repository="doc_id")
+
+
 def op5_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents")).drop("row_id")
 
@@ -49,6 +54,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_virtual_slots": op3_virtual_slots,
+    "op4_ownership_secrets": op4_ownership_secrets,
     "op5_streaming_exact_dedup": op5_streaming_exact_dedup,
     "op8_simhash_pigeonhole": op8_simhash_pigeonhole,
     "op10_chat_format": op10_chat_format,
