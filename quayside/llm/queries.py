@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_template import format_conversations
 from .exact_dedup import exact_dedup
 from .packing import pack
+from .pii import replace_entities
 from .secrets import find_secrets
 from .sharding import shard_documents
 from .shared import read_table
@@ -38,6 +39,11 @@ def op5_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents")).drop("row_id")
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a real deployment passes its own secret key
+    return replace_entities(read_table(spark, sf_dir, "documents"), key=b"quayside example key")
+
+
 def op8_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=3, radius=3)
 
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_virtual_slots": op3_virtual_slots,
     "op4_ownership_secrets": op4_ownership_secrets,
     "op5_streaming_exact_dedup": op5_streaming_exact_dedup,
+    "op6_pii_surrogates": op6_pii_surrogates,
     "op8_simhash_pigeonhole": op8_simhash_pigeonhole,
     "op10_chat_format": op10_chat_format,
 }
