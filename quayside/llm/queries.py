@@ -14,6 +14,7 @@ from .secrets import find_secrets
 from .sharding import shard_documents
 from .shared import read_table
 from .simhash import near_duplicates
+from .toxicity import score_toxicity
 
 
 def _word_tokenizer() -> str:
@@ -44,6 +45,10 @@ def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_entities(read_table(spark, sf_dir, "documents"), key=b"quayside example key")
 
 
+def op7_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=3, radius=3)
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ownership_secrets": op4_ownership_secrets,
     "op5_streaming_exact_dedup": op5_streaming_exact_dedup,
     "op6_pii_surrogates": op6_pii_surrogates,
+    "op7_toxicity_neighbours": op7_toxicity_neighbours,
     "op8_simhash_pigeonhole": op8_simhash_pigeonhole,
     "op10_chat_format": op10_chat_format,
 }
