@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat_template import format_conversations
+from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
 from .packing import pack
 from .pii import replace_entities
@@ -53,6 +54,10 @@ def op8_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=3, radius=3)
 
 
+def op9_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1 whose texts look like control strings."""
     conversations = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii_surrogates": op6_pii_surrogates,
     "op7_toxicity_neighbours": op7_toxicity_neighbours,
     "op8_simhash_pigeonhole": op8_simhash_pigeonhole,
+    "op9_simhash_decontamination": op9_simhash_decontamination,
     "op10_chat_format": op10_chat_format,
 }
 ORACLES: dict[str, str] = {
