@@ -11,6 +11,7 @@ from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
 from .packing import pack
 from .pii import replace_entities
+from .quality import score_quality
 from .secrets import find_secrets
 from .sharding import shard_documents
 from .shared import read_table
@@ -18,6 +19,10 @@ from .simhash import near_duplicates
 from .toxicity import score_toxicity
 
 
+def op1_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def _word_tokenizer() -> str:
     """Where the public tokenizer's file is; the same on every machine."""
     import public_tokenizers
@@ -68,6 +73,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cotrained_quality": op1_cotrained_quality,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_virtual_slots": op3_virtual_slots,
     "op4_ownership_secrets": op4_ownership_secrets,
