@@ -72,6 +72,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(conversations.unionByName(odd))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cotrained_quality": op1_cotrained_quality,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_pigeonhole": op8_simhash_pigeonhole,
     "op9_simhash_decontamination": op9_simhash_decontamination,
     "op10_chat_format": op10_chat_format,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
     "op5_streaming_exact_dedup": """
