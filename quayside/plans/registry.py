@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import entity_queries, feed_queries, state_queries
 
-from pyspark.sql import DataFrame, SparkSession
+_MODULES = (feed_queries, entity_queries, state_queries)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
