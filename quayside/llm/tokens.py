@@ -3,34 +3,64 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 _LOADED: dict[str, TokenCounter] = {}
+#: Words encoded by one call; white space parts them, and a token that ends a word ends with this.
+JOINED, WORD_END = 64, "</w>"
+#: A line with punctuation, a plain Latin word and punctuation: its ids are those of the three.  An
+#: apostrophe before the word may belong to it, and <| may begin a special token: no match then.
+PLAIN = re.compile(r"^(?!.*<\|)([!-&(-/:-@\[-`{-~]*)([a-zß-öø-ɏ]+)([!-/:-@\[-`{-~]*)$|^.*$", re.MULTILINE)
 
 
 class TokenCounter:
     """ids(text) as little-endian unsigned 32-bit bytes.
 
     Such a tokenizer drops white space and never joins over it, so the ids of a text are those of
-    its parts between ASCII white space.  Parts repeat: their ids are kept, up to `most` of them.
+    its parts between ASCII white space.  Parts repeat, and what differs in case or in punctuation
+    around a word repeats more: ids are kept for parts and for words, up to `most` of each.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.known, self.words = Tokenizer.from_file(path), most, {}, {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith(WORD_END)
+
+    def _single(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words, many to a call; where a call doesn't give one end per word, one by one."""
+        for at in range(0, len(words), 50 * JOINED):
+            groups = [words[k : k + JOINED] for k in range(at, min(at + 50 * JOINED, len(words)), JOINED)]
+            for group, encoded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(encoded.ids, "<u4")
+                ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                raw = ids.tobytes()
+                found = [raw[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(group) else self._single(group)
+                self.words.update(zip(group, found, strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         parts = [t.encode().split() for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
-        new = list({p for found in parts for p in found if p not in self.known})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for p, encoded in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
-                self.known[p] = np.array(encoded.ids, "<u4").tobytes()
+        if len(self.words) > self.most:
+            self.words.clear()
+        new = list(set().union(*parts).difference(self.known))
+        # lower-cased as one string, a part to a line
+        cut = PLAIN.findall(b"\n".join(new).decode().lower()) if new else []
+        words = self.words
+        self._learn(list({w for found in cut for w in found if w and w not in words}))
+        whole = [p for p, found in zip(new, cut, strict=True) if not found[1]]
+        self.known.update(zip(whole, self._single([p.decode() for p in whole]), strict=True))
+        words[""] = b""
+        self.known.update((p, words[w] if not (a or z) else words[a] + words[w] + words[z]) for p, (a, w, z) in zip(new, cut, strict=True) if w)
         return [b"".join(map(self.known.__getitem__, found)) for found in parts]
 
 
