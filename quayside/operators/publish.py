@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NONE = F.array().cast("array<string>")
+def no_ids() -> Column:
+    return F.array().cast("array<string>")
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -37,13 +38,13 @@ def publish(listings: DataFrame, sources: DataFrame, deleted: DataFrame, updates
     an old one that it no longer proposes is deleted or locked.
     """
     stored = sources.select("source_key", F.col("event_ids").alias("s_ids"), F.col("known_event_ids").alias("s_known"))
-    base = updates.join(stored, "source_key", "left").withColumns({"s_ids": F.coalesce("s_ids", NONE), "s_known": F.coalesce("s_known", NONE)})
+    base = updates.join(stored, "source_key", "left").withColumns({"s_ids": F.coalesce("s_ids", no_ids()), "s_known": F.coalesce("s_known", no_ids())})
     base = base.withColumn("aliases", F.when(F.col("status") == "error", F.array_distinct("known_event_ids")).otherwise(F.array_union(F.array_union("known_event_ids", "s_known"), "s_ids")))
     blocked = deleted.select(F.col("event_id").alias("id")).unionByName(listings.filter("is_locked").select("id")).distinct()
     # which of the ids that an update names are blocked: exploded and joined by id, then gathered per source
     named = base.select("source_key", F.explode(F.array_union("row_ids", "aliases")).alias("id")).join(blocked, "id", "left_semi")
     held = named.groupBy("source_key").agg(F.collect_set("id").alias("held"))
-    base = base.join(held, "source_key", "left").withColumn("held", F.coalesce("held", NONE))
+    base = base.join(held, "source_key", "left").withColumn("held", F.coalesce("held", no_ids()))
     proposed = F.array_distinct("row_ids")
     gone_and_held = F.size(F.array_intersect(F.array_except("aliases", proposed), F.col("held"))) > 0
     supported = F.filter(F.array_except(proposed, F.col("held")), lambda i: F.array_contains(F.col("aliases"), i) | ~gone_and_held)
@@ -52,7 +53,7 @@ def publish(listings: DataFrame, sources: DataFrame, deleted: DataFrame, updates
         "source_key",
         F.when(error, F.array_union("s_ids", "aliases")).otherwise(supported).alias("event_ids"),
         F.when(error, F.array_union("s_known", "aliases")).otherwise(F.array_union("aliases", supported)).alias("known_event_ids"),
-        F.when(error, NONE).otherwise(F.array_except("aliases", supported)).alias("retired"),
+        F.when(error, no_ids()).otherwise(F.array_except("aliases", supported)).alias("retired"),
     )
 
 
