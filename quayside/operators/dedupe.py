@@ -299,4 +299,4 @@ def follow(decisions: DataFrame, rounds: int = 20) -> DataFrame:
         found = step.select("old", F.coalesce("next", "new").alias("new")).checkpoint()
         if not found.join(decisions.select(F.col("old").alias("new")), "new", "left_semi").limit(1).count():
             break
-    return found.join(decisions.select(F.col("old").alias("new")), "new", "left_anti").filter("old <> new")
+    return found.join(decisions.select(F.col("old").alias("new")), "new", "left_anti").filter("old <> new").select("old", "new")
