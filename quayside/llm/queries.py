@@ -43,7 +43,9 @@ def op4_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(read_table(spark, sf_dir, "documents")).drop("row_id")
+    """The columns that the oracle has; the operator's row ids and locators stay inside."""
+    found = exact_dedup(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 from collections import defaultdict
 
+import duckdb
 from pyspark.sql import functions as F
+from quayside.llm import queries
 from quayside.llm.exact_dedup import exact_dedup, land, run_stream, without_copies
 from quayside.llm.shared import new_folder
 
@@ -52,3 +54,13 @@ def test_kept_rows_keep_their_columns(docs):
 def test_empty_table(no_docs):
     assert exact_dedup(no_docs).count() == 0
     assert without_copies(no_docs).count() == 0
+
+
+def test_query_equals_oracle(spark):
+    folder, name = "/root/testdata/sf0.001", "op5_streaming_exact_dedup"
+    got = queries.QUERIES[name](spark, folder)
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = base.execute(queries.ORACLES[name])
+    assert got.columns == [c[0] for c in want.description]
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
