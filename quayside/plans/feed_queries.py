@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import classify, evidence, texts, times, urls
+from ..functions import classify, daylight, evidence, texts, times, urls
 from ..operators import feed
 from ..sources.listings import GROUPS, HOST_TYPES, MOVED, NOW, TODAY, VIEW_SQL, campus_sql, listings, utc_sql
 from ..sources.tables import table
@@ -298,3 +298,15 @@ def merge_pages(spark, folder):
 @query()
 def calendar_entries(spark, folder):
     return feed.calendar_entry(listings(spark, folder))
+
+
+@query(
+    f"""SELECT id, round(elevation, 4) AS elevation, CASE WHEN elevation > 6 THEN 'day' WHEN elevation > -4 THEN 'golden' ELSE 'night' END AS daypart FROM (
+      SELECT id, degrees(asin(sin(n) * sin(dec) + cos(n) * cos(dec) * cos(radians((18.697374558 + 24.06570982441908 * d) * 15 + {daylight.LONGITUDE}) - ra))) AS elevation FROM (
+      SELECT id, d, radians({daylight.LATITUDE}) AS n, asin(sin(e) * sin(l)) AS dec, atan2(cos(e) * sin(l), cos(l)) AS ra FROM (
+      SELECT id, d, radians(23.439 - 0.00000036 * d) AS e, radians(280.459 + 0.98564736 * d + 1.915 * sin(g) + 0.02 * sin(2 * g)) AS l FROM (
+      SELECT id, d, radians(357.529 + 0.98560028 * d) AS g FROM (SELECT id, CAST(epoch(starts_at) - 946728000 AS DOUBLE) / 86400 AS d FROM listings WHERE starts_at IS NOT NULL)))))"""
+)
+def solar_daypart(spark, folder):
+    rows = listings(spark, folder).filter("starts_at IS NOT NULL").select("id", daylight.solar_elevation(F.col("starts_at")).alias("elevation"))
+    return rows.select("id", F.round("elevation", 4).alias("elevation"), daylight.daypart(F.col("elevation")).alias("daypart"))

@@ -114,3 +114,12 @@ def test_printed_dates(text, dates):
 @pytest.mark.parametrize("text, found", [("11-3PM", "11:00-15:00"), ("1-3PM", "13:00-15:00"), ("9:30am - 11am", "09:30-11:00"), ("1-2pm, 3-4pm", None), ("7pm", None)])
 def test_printed_ranges(text, found):
     assert evidence.printed_range(text) == found
+
+
+def test_sun(spark):
+    from quayside.functions.daylight import daypart, solar_elevation
+
+    rows = spark.sql("SELECT TIMESTAMP_NTZ '2026-06-21 19:50:00' AS t UNION ALL SELECT TIMESTAMP_NTZ '2026-06-21 08:00:00' UNION ALL SELECT CAST(NULL AS TIMESTAMP_NTZ)")
+    noon, night, none = rows.select(solar_elevation(F.col("t")).alias("e")).select("e", daypart(F.col("e")).alias("p")).collect()
+    assert abs(noon.e - (90 - 33.9737 + 23.44)) < 0.1 and noon.p == "day"  # highest at the June solstice
+    assert night.e < -25 and night.p == "night" and none.e is None and none.p is None
