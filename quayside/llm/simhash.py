@@ -10,8 +10,8 @@ verified by their exact distance.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -31,6 +31,10 @@ PROBE_COST = 200.0
 PAIRWISE = 64
 #: Of a long run, so many fingerprints are compared with the rest at once.
 STEP = 128
+#: Shingles are ordered by their counts in so many texts at least; so many of the commonest have counts.
+SAMPLED, COMMON = 20_000, 100_000
+#: Of a long run of sets, so many are compared with all; two blocks of so many are compared at once.
+PIVOTS, BLOCK = 4, 512
 
 
 # --- fingerprints ----------------------------------------------------------------------------
@@ -271,59 +275,261 @@ def fingerprint_links(nodes: DataFrame, radius: int, parts: tuple[int, ...] = (3
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def word_set_fingerprints(text: str) -> tuple[int, int]:
-    """Two independent SimHashes of the set of words: few edits move them less than one of shingles."""
-    words = set(text.encode().lower().split())
-    if not words:
-        return 0, 0
-    first = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
-    second = (first ^ (first >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    out = []
-    for hashes in (first, second ^ (second >> np.uint64(29))):
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * bits > len(words)).view(">i8")[0]))
-    return out[0], out[1]
+# --- near copies -----------------------------------------------------------------------------
+
+
+def distinct_shingles(text: str, words: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
+
+
+def _least_common(n: int, similarity: float) -> int:
+    """So many of its n shingles a set has in common, at least, with any set of that similarity."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def _common_shingles(whole: DataFrame, row: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the commonest shingles of a sample of texts.
 
+    They only order shingles from rare to common: any order finds the same pairs, a good one fast.
+    """
+    every = max(1, whole.count() // SAMPLED)
 
-def _word_set_prints(whole: DataFrame, row: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            both = [word_set_fingerprints(t) for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in both], pa.int64()) for i in range(2))], [row, "fp0", "fp1"])
+        for batch in slices(batches, 100):
+            sets = [distinct_shingles(t, words) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["hash"])
 
-    return whole.select(row, "text").mapInArrow(run, f"{row} long, fp0 long, fp1 long")
+    sample = whole.filter(F.pmod(F.xxhash64(row), F.lit(every)) == 0).select("text")
+    counts = sample.mapInArrow(run, "hash long").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 2")
+    top = counts.orderBy(F.desc("n"), "hash").limit(COMMON).collect()
+    hashes = np.array([r.hash for r in top], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([r["n"] for r in top], np.int64)[order]
 
 
-def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 7, parts: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
-    """The rows of docs but one of each group of near copies, with all their columns.
+def _prefixes(whole: DataFrame, row: str, words: int, similarity: float) -> DataFrame:
+    """row, number of shingles, digest of the set, and its rarest shingles: two sets of the similarity share one of these."""
+    common = whole.sparkSession.sparkContext.broadcast(_common_shingles(whole, row, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = common.value
+        for batch in slices(batches, 100):
+            sizes, digests, rarest = [], [], []
+            for text in texts_of(batch):
+                own = distinct_shingles(text, words)
+                sizes.append(len(own))
+                digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+                often = np.zeros(len(own), np.int64)
+                if len(hashes):
+                    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                    often = np.where(hashes[at] == own, counts[at], 0)
+                # own is sorted, so equal counts stay in the order of hashes
+                rarest.append(own[np.argsort(often, kind="stable")][: len(own) - _least_common(len(own), similarity) + 1].view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rarest)]), pa.int32()), pa.array(np.concatenate(rarest)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), lists], [row, "n", "digest", "rarest"])
 
-    Candidates lie within `radius` bits by one of two independent SimHashes of their word sets.  At
-    a similarity of exactly 0.8 and 7 bits one of the two misses about a tenth of the pairs, both
-    about a hundredth, and more similar pairs hardly ever.  Candidates are verified by
-    the exact Jaccard similarity of their shingle sets.  Of a group the row with the smallest doc_id
-    stays (null ids last, then the first row).  Null texts count as empty and are copies of one
-    another; an empty table gives no rows.
+    return whole.select(row, "text").mapInArrow(run, f"{row} long, n int, digest binary, rarest array<long>")
+
+
+def _least_shared(n: np.ndarray, x, y, similarity: float) -> np.ndarray:
+    """So many shingles sets of these sizes have in common at least, if they have the similarity."""
+    return np.ceil(similarity / (1 + similarity) * (n[x] + n[y]) - 1e-9).astype(np.int64)
+
+
+def _may_be_alike(n: np.ndarray, at: np.ndarray, x, y, similarity: float) -> np.ndarray:
+    """Whether sets can have the similarity, given their sizes and the places of a shingle that both have.
+
+    In common are at most all before it and all from it on; so a pair of the similarity fits at every shared shingle.
     """
-    row = "quayside_row"
-    whole = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-input")
-    prints = written(_word_set_prints(whole, row), "near-fingerprints")
-    found = []
-    for fp in ("fp0", "fp1"):
-        nodes = written(prints.groupBy(F.col(fp).alias("fp")).agg(F.min(row).alias("first")), "near-nodes")
-        links = fingerprint_links(nodes, radius, parts).distinct()
-        # links between fingerprints are links between their first rows; equal fingerprints link to the first row too
-        of = lambda c: nodes.select(F.col("fp").alias(c), F.col("first").alias(f"row_{c}"))  # noqa: B023, E731
-        found.append(links.join(of("a"), "a").join(of("b"), "b").select(F.col("row_a").alias("a"), F.col("row_b").alias("b")))
-        equal = prints.withColumn("fp", F.col(fp)).join(nodes, "fp").filter(F.col(row) != F.col("first"))
-        found.append(equal.select(F.col("first").alias("a"), F.col(row).alias("b")))
-    pairs = reduce(DataFrame.unionByName, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = written(pairs, "near-pairs")
+    small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+    most = np.minimum(at[x], at[y]) + np.minimum(n[x] - at[x], n[y] - at[y])
+    return (small >= similarity * large - 1e-9) & (most >= _least_shared(n, x, y, similarity))
+
+
+def run_candidates(keys: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float, pairwise: int, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Candidate pairs (places) inside runs of equal keys, the places in long runs, and how many of the pairs are of short runs.
+
+    Short runs give every pair that may be alike.  Of a long run only the pairs with its first
+    members are given; what these leave unconnected is for links_inside.
+    """
+    bounds = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    sizes = np.diff(np.append(bounds, len(keys)))
+    run_of = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.flatnonzero((sizes <= pairwise)[run_of] & (sizes > 1)[run_of])
+    last = (bounds + sizes - 1)[run_of[place]]
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for shift in range(1, pairwise):
+        inside = place + shift <= last
+        place, last = place[inside], last[inside]
+        if not len(place):
+            break
+        fits = _may_be_alike(n, at, place, place + shift, similarity)
+        a.append(place[fits])
+        b.append(place[fits] + shift)
+    short = sum(map(len, a))
+    long = [np.zeros(0, np.int64)]
+    for k in np.flatnonzero(sizes > pairwise):
+        members = np.arange(bounds[k], bounds[k] + sizes[k])
+        long.append(members)
+        for pivot in members[:pivots]:
+            others = members[members > pivot]
+            fits = _may_be_alike(n, at, pivot, others, similarity)
+            a.append(np.full(int(fits.sum()), pivot))
+            b.append(others[fits])
+    return np.concatenate(a), np.concatenate(b), np.concatenate(long), short
+
+
+def links_inside(rows: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between rows of different roots that connect all pairs of the similarity; none that is not needed."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    of = np.repeat(np.arange(len(sets)), sizes)
+    _, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often > 1
+    of, ids = of[shared[ids]], (np.cumsum(shared) - 1)[ids[shared[ids]]]
+    order = np.argsort(ids, kind="stable")
+    of, ids = of[order], ids[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(shared.sum()), 4096):
+        first, last = np.searchsorted(ids, [low, low + 4096])
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[of[first:last], ids[first:last] - low] = 1
+        common += has @ has.T
+    both = common.astype(np.float64)
+    alike = (both >= similarity * (sizes[:, None] + sizes - both)) & (roots[:, None] != roots)
+    parent = {r: r for r in roots.tolist()}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for x, y in zip(*np.nonzero(np.triu(alike, 1)), strict=True):
+        p, q = find(int(roots[x])), find(int(roots[y]))
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((int(rows[x]), int(rows[y])))
+    return out
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
+    """The rows of a partition sorted by its first columns, regrouped so that rows equal in these stay together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        same = np.ones(batch.num_rows, bool)
+        for c in range(columns):
+            values = np.asarray(batch.column(c))
+            same &= values == values[-1]
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if cut or (held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in range(columns))):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _candidates(prints: DataFrame, row: str, similarity: float) -> DataFrame:
+    """a, b: candidate pairs of rows; and with b null the members a of long runs, with the run's hash.
+
+    Of a pair seen in short runs `shared` counts the shingles seen and `needed` says how many of their
+    rarest two sets of the similarity share at least.  A pair of a long run is a candidate at once.
+    """
+    # all of a set but its rarest shingles
+    rest = lambda n: np.ceil(similarity * n - 1e-9).astype(np.int64) - 1
+    names, pairwise, pivots = ["a", "b", "hash", "shared", "needed"], PAIRWISE, PIVOTS
+    keyed = prints.select(F.posexplode("rarest").alias("at", "hash"), row, "n").select("hash", row, "n", "at")
+    dealt = keyed.repartition("hash").sortWithinPartitions("hash", row)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_runs(batches, 1):
+            keys, rows, n, at = (table.column(c).to_numpy() for c in range(4))
+            n, at = n.astype(np.int64), at.astype(np.int64)
+            a, b, long, short = run_candidates(keys, n, at, similarity, pairwise, pivots)
+            if len(a):
+                needed = _least_shared(n, a, b, similarity) - rest(np.maximum(n[a], n[b]))
+                needed[short:] = 0
+                ends = np.stack([np.minimum(rows[a], rows[b]), np.maximum(rows[a], rows[b]), needed])
+                ends, shared = np.unique(ends, axis=1, return_counts=True)
+                for k in range(0, len(shared), 50_000):
+                    x, y, z = ends[:, k : k + 50_000]
+                    now = shared[k : k + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64()), pa.array(now.astype(np.int32)), pa.array(z.astype(np.int32))], names)
+            for k in range(0, len(long), 50_000):
+                now = long[k : k + 50_000]
+                none = pa.nulls(len(now), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(rows[now]), pa.nulls(len(now), pa.int64()), pa.array(keys[now]), none, none], names)
+
+    return dealt.mapInArrow(run, "a long, b long, hash long, shared int, needed int")
+
+
+def _alike(whole: DataFrame, pairs: DataFrame, row: str, words: int, similarity: float) -> DataFrame:
+    """The pairs of rows (a, b) whose shingle sets have the similarity."""
     wanted = written(pairs.select(F.col("a").alias(row)).unionByName(pairs.select(F.col("b").alias(row))).distinct(), "near-rows")
     sets = written(_shingle_sets(whole, wanted, row, words), "near-shingles")
     side = lambda c: sets.select(F.col(row).alias(c), F.col("hashes").alias(f"of_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("n"), F.size("of_a").alias("na"), F.size("of_b").alias("nb"))
-    alike = both.filter((F.col("n") >= similarity * (F.col("na") + F.col("nb") - F.col("n"))))
-    roots = written(component_roots(alike.select("a", "b")), "near-roots")
+    return both.filter(F.col("n") >= similarity * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
+
+
+def _links_of_long_runs(whole: DataFrame, members: DataFrame, roots: DataFrame, row: str, words: int, similarity: float) -> DataFrame:
+    """a, b: links that connect every pair of the similarity inside a long run and not yet in one component.
+
+    A run is cut into blocks, and each two blocks are compared in a task of their own.
+    """
+    named = members.join(roots.withColumnRenamed("node", row), row, "left").select("hash", row, F.coalesce("root", row).alias("root"))
+    runs = named.groupBy("hash").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size")).filter("least <> most")
+    left = written(named.join(runs.select("hash", "size"), "hash"), "near-left")
+    sets = written(_shingle_sets(whole, left.select(row).distinct(), row, words), "near-left-shingles")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64(row), F.col("blocks")).cast("int")
+    dealt = left.withColumn("blocks", blocks).withColumn("own", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), row, "root")
+    dealt = dealt.join(sets, row).select("hash", "i", "j", row, "root", "hashes").repartition("hash", "i", "j").sortWithinPartitions("hash", "i", "j", row)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_runs(slices(batches, 1000), 3):
+            keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in range(3)])
+            bounds = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+            rows, of = (table.column(c).to_numpy() for c in (3, 4))
+            out = []
+            for first, last in zip(bounds, [*bounds[1:], table.num_rows], strict=True):
+                own = [np.asarray(s.values) for s in table.column(5).slice(first, last - first)]
+                out += links_inside(rows[first:last], of[first:last], own, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs but one of each group of near copies, with all their columns.
+
+    Near copies have at least `similarity` of all their distinct shingles in common (Jaccard); none
+    is missed.  Equal sets are joined first.  Of n shingles the n - ceil(similarity * n) + 1 rarest
+    index a set: two sets of that similarity share one of them, and how many at
+    least follows from their sizes.  Candidates are verified by the exact similarity.  Where over PAIRWISE sets share a shingle, they are first compared with a few
+    of them, and those that this leaves unconnected with one another, in blocks.  Of a group the row
+    with the smallest doc_id stays (null ids last, then the first row).  Null texts count as empty
+    and are copies of one another; an empty table gives no rows.
+    """
+    row = "quayside_row"
+    whole = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-input")
+    prints = written(_prefixes(whole, row, words, similarity), "near-prefixes")
+    firsts = written(prints.groupBy("digest").agg(F.min(row).alias("first")), "near-sets")
+    equal = prints.select(row, "digest").join(firsts, "digest").filter(F.col(row) != F.col("first")).select(F.col("first").alias("a"), F.col(row).alias("b"))
+    equal = written(equal, "near-equal")
+    found = written(_candidates(prints.join(equal.select(F.col("b").alias(row)), row, "left_anti"), row, similarity), "near-candidates")
+    pairs = written(found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")).filter("shared >= needed").select("a", "b"), "near-pairs")
+    links = written(_alike(whole, pairs, row, words, similarity).unionByName(equal), "near-links")
+    roots = written(component_roots(links), "near-roots")
+    members = found.filter("b IS NULL").select("hash", F.col("a").alias(row))
+    if members.limit(1).count():
+        more = _links_of_long_runs(whole, members, roots, row, words, similarity)
+        roots = written(component_roots(written(links.unionByName(more), "near-all-links")), "near-all-roots")
     ids = whole.select(F.col(row).alias("node"), F.col("doc_id").cast("long").alias("doc_id"))
     best = roots.join(ids, "node").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best"))
     dropped = roots.join(best, "root").filter("node <> best.node").select(F.col("node").alias(row))
@@ -339,7 +545,7 @@ def _shingle_sets(whole: DataFrame, wanted: DataFrame, row: str, words: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 100):
-            sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, words)])).view(np.int64) for t in texts_of(batch)]
+            sets = [distinct_shingles(t, words).view(np.int64) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))], [row, "hashes"])
 
     return texts.mapInArrow(run, f"{row} long, hashes array<long>")

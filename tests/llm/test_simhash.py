@@ -104,3 +104,49 @@ def test_near_copies_of_texts(spark, no_docs):
 
 def test_awkward_rows_stay(docs):
     assert without_near_copies(docs).count() > 0
+
+
+def test_star_of_variants_is_one_group(spark):
+    r, base = random.Random(3), prose(11, 204).split()
+    rows = [(1000, " ".join(base))]
+    for i in range(300):  # about 0.85 like the base, under 0.8 like one another
+        words = list(base)
+        for k in range(3):
+            words[r.randint(70 * k, 70 * k + 50)] = f"v{i}x{k}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame([(i, t, *[None] * 7) for i, t in rows], SCHEMA).repartition(4)
+    assert [x.doc_id for x in without_near_copies(docs).collect()] == [0]
+    assert without_near_copies(docs.filter("doc_id < 40")).count() > 1
+
+
+def test_hot_keys_lose_no_link(spark, monkeypatch):
+    import quayside.llm.simhash as module
+
+    r, rows = random.Random(5), []
+    passage = prose(40, 60).split()
+    for i in range(60):  # a passage in all texts, and chains of ever changed copies
+        words = passage + prose(200 + i // 6, 90).split()
+        for _ in range(i % 6 * 2):
+            words[r.randrange(len(words))] = f"c{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(60 + i, rows[i][1]) for i in range(0, 60, 9)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    docs = spark.createDataFrame([(i, t, *[None] * 7) for i, t in rows], SCHEMA).repartition(3)
+    want = sorted({find(i) for i in range(len(rows))})
+    for pairwise, pivots, block in ((64, 4, 512), (2, 1, 3), (1, 0, 2)):
+        monkeypatch.setattr(module, "PAIRWISE", pairwise)
+        monkeypatch.setattr(module, "PIVOTS", pivots)
+        monkeypatch.setattr(module, "BLOCK", block)
+        assert sorted(x.doc_id for x in without_near_copies(docs).collect()) == want
