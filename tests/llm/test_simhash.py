@@ -150,3 +150,17 @@ def test_hot_keys_lose_no_link(spark, monkeypatch):
         monkeypatch.setattr(module, "PIVOTS", pivots)
         monkeypatch.setattr(module, "BLOCK", block)
         assert sorted(x.doc_id for x in without_near_copies(docs).collect()) == want
+
+
+def test_copies_with_an_added_passage_go(spark):
+    rows, want = [], []
+    for i, (n, added) in enumerate([(104, 24), (204, 49), (404, 99), (104, 12), (404, 40), (14, 1), (14, 2)]):
+        for k in range(6):  # appended, put in front, and put inside
+            words, more = prose(1000 + 10 * i + k, n).split(), prose(5000 + 10 * i + k, added).split()
+            at = [n, 0, n // 2][k % 3]
+            rows += [(100 * i + 2 * k, " ".join(words)), (100 * i + 2 * k + 1, " ".join(words[:at] + more + words[at:]))]
+            sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in rows[-2:])]
+            want += [rows[-2][0]] if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]) else [rows[-2][0], rows[-1][0]]
+    docs = spark.createDataFrame([(i, t, *[None] * 7) for i, t in rows], SCHEMA)
+    assert len(want) < len(rows) * 0.7
+    assert sorted(x.doc_id for x in without_near_copies(docs).collect()) == sorted(want)
