@@ -5,7 +5,8 @@ words as an item has are fingerprinted from running bit counts; an index over fi
 finds all items whose fingerprint lies within the radius of a window's (if five blocks differ by
 over three bits each, the whole differs by 20 or more, beyond the radius of 19); the similarity of
 the shingles, weighted by how often they occur, is then computed exactly.  Windows without a single
-shingle of any item cannot be similar and are not fingerprinted.
+shingle of any item cannot be similar and are not fingerprinted.  A text shorter than an item is one
+window and compared exactly.
 """
 
 from __future__ import annotations
@@ -144,14 +145,26 @@ class ItemIndex:
                 continue
             hashes = shingles(words, width)
             at = np.flatnonzero(seen[(hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
+            self._whole_text(hashes, width, at, best)
             hits: dict[int, list[int]] = {}  # size of a window to where shingles of such items are
             for p in at.tolist():
                 for size in {self.sizes[k] for k in self.by_shingle.get((width, int(hashes[p])), ())}:
-                    hits.setdefault(size, []).append(p)
+                    if size <= len(hashes):
+                        hits.setdefault(size, []).append(p)
             for size, places in hits.items():
                 self._windows(hashes, width, size, places, best)
         return sorted((self.ids[k], round(s, 6), a, b) for k, (s, a, b) in best.items())
 
+    def _whole_text(self, hashes: np.ndarray, width: int, at: np.ndarray, best: dict) -> None:
+        """A text shorter than an item is one window, compared at once with all such items that share a shingle."""
+        own, size = None, len(hashes)
+        for k in {k for p in at.tolist() for k in self.by_shingle.get((width, int(hashes[p])), ())}:
+            if self.similarity * self.sizes[k] <= size < self.sizes[k]:
+                own = own or Counter(hashes.tolist())
+                alike = weighted_similarity(self.counts[k], own)
+                if alike >= self.similarity:
+                    best[k] = (alike, 0, size + width - 1)
+
     def _windows(self, hashes: np.ndarray, width: int, size: int, places: list[int], best: dict) -> None:
         start = 0
         while start < len(places):
@@ -159,14 +172,13 @@ class ItemIndex:
             while stop + 1 < len(places) and places[stop + 1] - places[stop] < size and places[stop] - places[start] < 65536:
                 stop += 1
             low, high = max(0, places[start] - size + 1), min(len(hashes), places[stop] + size)
-            if high - low >= size:
-                near = hashes[low:high]
-                windows, items = self.candidates(window_fingerprints(near, size))
-                fits = self.kinds[items] == size * 10 + width
-                for w, k in zip(windows[fits].tolist(), items[fits].tolist(), strict=True):
-                    alike = weighted_similarity(self.counts[k], Counter(near[w : w + size].tolist()))
-                    if alike >= self.similarity and alike > best.get(k, (0.0,))[0]:
-                        best[k] = (alike, low + w, low + w + size + width - 1)
+            near = hashes[low:high]
+            windows, items = self.candidates(window_fingerprints(near, size))
+            fits = self.kinds[items] == size * 10 + width
+            for w, k in zip(windows[fits].tolist(), items[fits].tolist(), strict=True):
+                alike = weighted_similarity(self.counts[k], Counter(near[w : w + size].tolist()))
+                if alike >= self.similarity and alike > best.get(k, (0.0,))[0]:
+                    best[k] = (alike, low + w, low + w + size + width - 1)
             start = stop + 1
 
 

@@ -71,3 +71,19 @@ def test_window_fingerprints_equal_those_of_the_windows():
     hashes = word_hashes(prose(3, 80))
     whole = window_fingerprints(hashes, 30)
     assert [int(x) for x in whole] == [int(window_fingerprints(hashes[k : k + 30], 30)[0]) for k in range(51)]
+
+
+def test_texts_shorter_than_an_item(spark):
+    item = prose(77, 44).split()  # 40 shingles
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, prose(78, 30))], "item_id long, text string")
+    rows, want = [], set()
+    for cut in range(1, 20):
+        for i, words in enumerate((item[:-cut], item[cut:], item[cut // 2 : len(item) - (cut + 1) // 2])):
+            rows.append((3 * cut + i, " ".join(words)))
+            left = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+            if len(left) >= 0.8 * 40:  # all of them are the item's
+                want.add(3 * cut + i)
+    docs = spark.createDataFrame([(i, t, *[None] * 7) for i, t in rows], SCHEMA)
+    got = find_contamination(docs, bench).collect()
+    assert {r.doc_id for r in got if r.item_ids == [1]} == {r.doc_id for r in got if r.contaminated} == want and len(want) == 24
+    assert decontaminated(docs, bench).count() == len(rows) - 24
