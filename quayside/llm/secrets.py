@@ -46,7 +46,7 @@ SCANNED = "doc_id long, owner string, repository string, spans array<struct<star
 def looks_random(value: str, bits: float = 2.5) -> bool:
     """Enough entropy per character, and no word that placeholders carry."""
     n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value[:4096]).values()) if n else 0.0
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
     low = value.lower()
     return entropy >= bits and not any(word in low for word in PLACEHOLDERS)
 

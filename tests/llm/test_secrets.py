@@ -37,3 +37,12 @@ def test_awkward_rows(docs, no_docs):
 
 def test_placeholders_are_not_random():
     assert not looks_random("your_password_here") and not looks_random("aaaaaaaaaaaa") and looks_random(KEY)
+
+
+def test_long_random_values_are_random():
+    import random
+
+    r = random.Random(1)
+    for letters in ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+        assert looks_random("".join(r.choices(letters[::-1], k=20_000)).replace("1234567", "").replace("abcdef0", ""))
+    assert not looks_random("a" * 20_000)
