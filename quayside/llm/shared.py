@@ -8,18 +8,24 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_ROOT: list[str] = []
+_WRITTEN: list[str] = []
+#: A key is hot from HOT_ROWS rows and one in HOT_KEYS of all rows on.
+HOT_ROWS, HOT_KEYS = 32, 10_000
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the setting is unset (a local session), a temporary folder of this process serves.
+    Where the setting is unset a temporary folder of this process serves, in a local session only.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _OWN_ROOT:
         _OWN_ROOT.append("file://" + tempfile.mkdtemp(prefix="quayside-"))
     return _OWN_ROOT[0]
@@ -33,10 +39,39 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: a cut in the lineage that survives lost executors."""
     path = new_folder(df.sparkSession, name)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession) -> int:
+    """Delete the tables that `written` made in this process, once the results that read them are stored."""
+    many = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return many
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or what comes first of name_1, name_2, .. that no column of df has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{k}" for k in range(1, len(taken) + 2))) if n.lower() not in taken)
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: str | list[str], many: str = "many", total: int | None = None) -> DataFrame:
+    """rows joined with table, which has one row per key and says in `many` how many rows have the key.
+
+    A key of a share of 1 / HOT_KEYS of all rows or more is hot: there are HOT_KEYS of them at most,
+    so their part of the table is sent to all tasks and their rows stay where they are.
+    """
+    least = max(HOT_ROWS, -(-(rows.count() if total is None else total) // HOT_KEYS))
+    hot = F.broadcast(table.filter(F.col(many) >= least).drop(many))  # HOT_KEYS rows at most
+    on = [on] if isinstance(on, str) else on
+    rest = rows.join(hot.select(*on), on, "left_anti").join(table.filter(F.col(many) < least).drop(many), on)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

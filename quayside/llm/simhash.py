@@ -11,7 +11,7 @@ verified by their exact distance.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import component_roots
-from .shared import slices, texts_of, written
+from .shared import free_name, join_counted, slices, texts_of, written
 
 BITS = 64
 SEED = 42
@@ -35,6 +35,10 @@ STEP = 128
 SAMPLED, COMMON = 20_000, 100_000
 #: Of a long run of sets, so many are compared with all; two blocks of so many are compared at once.
 PIVOTS, BLOCK = 4, 512
+#: Numbers of bit groups that are tried; fingerprints whose pairs candidates are estimated from, at most.
+PARTS, SAMPLE = (2, 3, 4, 5), 2048
+#: Fingerprints of one key that one task compares, at most; longer runs are cut into blocks.
+LONGEST = 200_000
 
 
 # --- fingerprints ----------------------------------------------------------------------------
@@ -62,16 +66,20 @@ def shingle_hashes(text: str, words: int, chunk: int = 1 << 16) -> Iterator[np.n
         yield np.array([digest(whole[a:b], SEED) for a, b in zip(starts[at : at + chunk], ends[at : at + chunk], strict=True)], np.uint64)
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """A bit is 1 if set in over half the hashes; zero for a text without words.  As a signed long."""
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The SimHash of hashes: a bit is 1 if set in over half of them; zero for none.  As a signed long."""
     counts, n = np.zeros(BITS, np.int64), 0
-    for hashes in shingle_hashes(text, words):
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int64)
+    for hashes in parts:
+        for at in range(0, len(hashes), 1 << 16):
+            bits = np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            counts += bits.sum(axis=0, dtype=np.int64)
         n += len(hashes)
-    if not n:
-        return 0
-    return int(np.packbits(2 * counts > n).view(">i8")[0])
+    return int(np.packbits(2 * counts > n).view(">i8")[0]) if n else 0
+
+
+def fingerprint(text: str, words: int = 3) -> int:
+    """The SimHash of a text's shingles, repeats included."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -140,56 +148,79 @@ def within_chance(differ: np.ndarray, most: int) -> np.ndarray:
     return np.cumsum(exactly)[: most + 1]
 
 
-def thresholds(n: int, both: np.ndarray, groups: list[list[int]], radius: int) -> tuple[list[int], float]:
-    """The cheapest t_i >= -1 with sum(t_i + 1) = radius + 1, and their estimated cost."""
+def within_groups(fps: np.ndarray, groups: list[list[int]]) -> list[np.ndarray]:
+    """For each group, the share of the pairs of fps that differ in 0, 1, 2, .. or fewer of its bits."""
+    if len(fps) < 2:
+        return [np.zeros(len(g) + 1) for g in groups]
+    counts = [np.zeros(len(g) + 1, np.int64) for g in groups]
+    for at in range(0, len(fps) - 1, 256):
+        apart = fps[at : at + 256, None] ^ fps[None, at + 1 :]
+        later = np.arange(at + 1, len(fps))[None, :] > np.arange(at, min(at + 256, len(fps)))[:, None]
+        for k, group in enumerate(groups):
+            counts[k] += np.bincount(np.bitwise_count(apart & np.uint64(_mask(group) % (1 << BITS)))[later], minlength=len(group) + 1)
+    return [np.cumsum(c) / c.sum() for c in counts]
+
+
+def thresholds(n: int, both: np.ndarray, groups: list[list[int]], radius: int, measured: list[np.ndarray] | None = None) -> tuple[list[int], float]:
+    """The cheapest t_i >= -1 with sum(t_i + 1) = radius + 1, and their estimated cost.
+
+    Shares of pairs are `measured` on a sample; below its resolution bits count as independent.  Of
+    equally cheap allotments the one with fewer probes is taken.
+    """
     p = np.diag(both) / max(n, 1)
-    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for group in groups:
+    best: dict[int, tuple[float, int, list[int]]] = {0: (0.0, 0, [])}
+    for k, group in enumerate(groups):
         chance = within_chance(2 * p[group] * (1 - p[group]), min(radius, len(group)))
-        probes, cost = 0, {-1: 0.0}
+        if measured is not None:
+            chance = np.maximum(chance, measured[k][: len(chance)])
+        probes, cost = 0, {-1: (0.0, 0)}
         for t in range(len(chance)):
-            probes += _choose(len(group), t)
-            cost[t] = probes * n * PROBE_COST + chance[t] * n * n / 2
-        step: dict[int, tuple[float, list[int]]] = {}
-        for used, (paid, chosen) in best.items():
-            for t, c in cost.items():
-                if used + t + 1 <= radius + 1 and (used + t + 1 not in step or paid + c < step[used + t + 1][0]):
-                    step[used + t + 1] = (paid + c, [*chosen, t])
+            probes += math.comb(len(group), t)
+            cost[t] = (probes * n * PROBE_COST + chance[t] * n * n / 2, probes)
+        step: dict[int, tuple[float, int, list[int]]] = {}
+        for used, (paid, made, chosen) in best.items():
+            for t, (c, m) in cost.items():
+                total = (paid + c, made + m, [*chosen, t])
+                if used + t + 1 <= radius + 1 and (used + t + 1 not in step or total < step[used + t + 1]):
+                    step[used + t + 1] = total
         best = step
-    return best[radius + 1][1], best[radius + 1][0]
+    return best[radius + 1][2], best[radius + 1][0]
 
 
-def _choose(n: int, k: int) -> int:
-    out = 1
-    for i in range(k):
-        out = out * (n - i) // (i + 1)
-    return out
+def _mask(bits) -> int:
+    """These bits, counted from the highest, as a signed long."""
+    value = sum(1 << (BITS - 1 - b) for b in bits)
+    return value - (1 << BITS) if value >= 1 << (BITS - 1) else value
 
 
 def probe_masks(groups: list[list[int]], allotted: list[int]) -> list[tuple[int, int, int]]:
     """(group, mask of its bits, bits to flip) for every probe, as signed longs; no flip: the index."""
-
-    def mask(bits) -> int:
-        value = sum(1 << (BITS - 1 - b) for b in bits)
-        return value - (1 << BITS) if value >= 1 << (BITS - 1) else value
-
     return [
-        (i, mask(group), mask(flipped))
+        (i, _mask(group), _mask(flipped))
         for i, (group, t) in enumerate(zip(groups, allotted, strict=True))
         for k in range(t + 1)
         for flipped in combinations(group, k)
     ]
 
 
-def plan_probes(nodes: DataFrame, radius: int, parts: tuple[int, ...] = (3,)) -> list[tuple[int, int, int]]:
-    """The probes for all fingerprints of nodes, for the cheapest number of groups of those given."""
+def plan_probes(nodes: DataFrame, radius: int, parts: tuple[int, ...] = PARTS) -> list[tuple[int, int, int]]:
+    """The probes for all fingerprints of nodes, for the cheapest number of groups of those given.
+
+    None where there are no two fingerprints.  Candidates are estimated from the pairs of at most
+    SAMPLE fingerprints, chosen by a hash; any plan finds the same pairs, a good one fast.
+    """
     n, both = bit_statistics(nodes)
+    if n < 2:
+        return []
+    picked = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+    sample = np.array([r.fp for r in picked], np.int64).view(np.uint64)
     found = []
     for count in parts:
         groups = bit_groups(n, both, count)
-        allotted, cost = thresholds(n, both, groups, radius)
-        found.append((cost, count, groups, allotted))
-    _, _, groups, allotted = min(found)
+        allotted, cost = thresholds(n, both, groups, radius, within_groups(sample, groups))
+        masks = sum(math.comb(len(g), k) for g, t in zip(groups, allotted, strict=True) for k in range(t + 1))
+        found.append((cost, masks, count, groups, allotted))
+    _, _, _, groups, allotted = min(found)
     return probe_masks(groups, allotted)
 
 
@@ -240,39 +271,105 @@ def run_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarra
     return np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
 
 
-def fingerprint_links(nodes: DataFrame, radius: int, parts: tuple[int, ...] = (3,)) -> DataFrame:
-    """a, b: links between the distinct fingerprints of nodes (fp) whose components are those of
-    all pairs within the radius."""
-    probes = plan_probes(nodes, radius, parts)
-    table = F.explode(F.array(*(F.struct(F.lit(i).cast("tinyint").alias("part"), F.lit(m).cast("long").alias("mask"), F.lit(x).cast("long").alias("flip")) for i, m, x in probes)))
-    keyed = nodes.select("fp", table.alias("probe")).select("probe.part", F.col("fp").bitwiseAND(F.col("probe.mask")).bitwiseXOR(F.col("probe.flip")).alias("key"), "fp")
-    dealt = keyed.repartition("part", "key").sortWithinPartitions("part", "key", "fp")
+def _probed(nodes: DataFrame, probes: list[tuple[int, int, int]]) -> DataFrame:
+    """part, key, fp: every fingerprint under its own keys and those it probes; made in the tasks."""
+    table = np.array(probes, np.int64).reshape(-1, 3)
+    shared = nodes.sparkSession.sparkContext.broadcast((table[:, 0].astype(np.int32), table[:, 1], table[:, 2]))  # a row per probe
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, mask, flip = shared.value
+        for batch in slices(batches, max(1, 200_000 // max(len(part), 1))):
+            fps = np.asarray(batch.column(0))
+            for at in range(0, len(part), 200_000):
+                here = slice(at, at + 200_000)
+                keys = (fps[:, None] & mask[here]) ^ flip[here]
+                parts = np.broadcast_to(part[here], keys.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(parts.ravel()), pa.array(keys.ravel()), pa.array(np.repeat(fps, keys.shape[1]))], ["part", "key", "fp"])
+
+    return nodes.select("fp").mapInArrow(run, "part int, key long, fp long")
+
+
+def _linked(dealt: DataFrame, names: list[str], radius: int, most: int | None) -> DataFrame:
+    """a, b and the key columns: links inside runs of equal keys of dealt, which is sorted by them.
+
+    A run of more than `most` fingerprints is not looked at but named: a and b are null.
+    """
+    keys = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(part, key, fp):
-            run_keys = np.cumsum(np.append(0, (part[1:] != part[:-1]) | (key[1:] != key[:-1])))
-            a, b = run_links(run_keys, fp.view(np.uint64), radius)
+        kinds = [(n, pa.int64()) for n in ("a", "b", *names)]
+
+        def emit(table: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            apart = np.zeros(max(len(table[0]) - 1, 0), bool)
+            for c in table[:keys]:
+                apart |= c[1:] != c[:-1]
+            a, b = run_links(np.cumsum(np.append(0, apart)), table[keys].view(np.uint64), radius)
             for at in range(0, len(a), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[at : at + 50_000]), pa.array(np.maximum(a, b)[at : at + 50_000])], ["a", "b"])
+                x, y = a[at : at + 50_000], b[at : at + 50_000]
+                none = pa.nulls(len(x), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), *[none] * keys], schema=pa.schema(kinds))
+
+        def named(key: tuple) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (None, None, *map(int, key))], schema=pa.schema(kinds))
 
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[list[np.ndarray]] = []
+        n, over = 0, None  # over: the key of a run that is too long, of which no row is held
         for batch in batches:
-            now = tuple(np.asarray(batch.column(i)) for i in range(3))
+            if not batch.num_rows:
+                continue
+            now = [np.asarray(batch.column(i)).astype(np.int64) for i in range(keys + 1)]
+            if over is not None:
+                same = np.logical_and.reduce([now[k] == over[k] for k in range(keys)])
+                now = [c[int(same.sum()) :] for c in now]
+                if not len(now[0]):
+                    continue
+                yield named(over)
+                over = None
             held.append(now)
-            same = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
-            if same.all():
+            last = tuple(c[-1] for c in now[:keys])
+            same = np.logical_and.reduce([now[k] == last[k] for k in range(keys)])
+            n += len(same)
+            if same.all() and (most is None or n <= most):
                 continue  # a run that may go on
-            part, key, fp = (np.concatenate(c) for c in zip(*held, strict=True))
-            cut = len(key) - int(same.sum())
-            last = (part[-1], key[-1])
-            while cut and (part[cut - 1], key[cut - 1]) == last:
-                cut -= 1
-            yield from emit(part[:cut], key[:cut], fp[:cut])
-            held = [(part[cut:], key[cut:], fp[cut:])]
-        if held:
-            yield from emit(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = n - int(np.logical_and.reduce([whole[k] == last[k] for k in range(keys)]).sum())
+            yield from emit([c[:cut] for c in whole])
+            held, n = [[c[cut:] for c in whole]], n - cut
+            if most is not None and n > most:
+                held, n, over = [], 0, last
+        if over is not None:
+            yield named(over)
+        elif held:
+            yield from emit([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, " + ", ".join(f"{n} long" for n in names))
+
+
+def fingerprint_links(nodes: DataFrame, radius: int, parts: tuple[int, ...] = PARTS, most: int = LONGEST) -> DataFrame:
+    """a, b: links between the distinct fingerprints of nodes (fp) whose components are those of
+    all pairs within the radius.
+
+    Fingerprints of one key meet in one task, up to `most`; those of a longer run are dealt into
+    blocks, and every two blocks meet in a task of their own.
+    """
+    probes = plan_probes(nodes, radius, parts)
+    if not probes:
+        return nodes.sparkSession.createDataFrame([], "a long, b long")
+    keyed = _probed(nodes, probes)
+    dealt = keyed.repartition("part", "key").sortWithinPartitions("part", "key", "fp")
+    found = written(_linked(dealt, ["part", "key"], radius, most), "fingerprint-links")
+    links = found.filter("a IS NOT NULL").select("a", "b")
+    long = found.filter("a IS NULL").select(F.col("part").cast("int").alias("part"), "key")
+    if not long.limit(1).count():
+        return links
+    rows = written(keyed.join(long, ["part", "key"], "left_semi").distinct(), "fingerprint-long-runs")
+    sizes = rows.groupBy("part", "key").agg(F.ceil(F.count("*") / (most // 2 or 1)).alias("blocks"))
+    blocks = rows.join(F.broadcast(sizes), ["part", "key"])  # runs of over `most` fingerprints: few
+    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("fp"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = blocks.select(F.col("part").cast("long").alias("part"), "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    names = ["part", "key", "i", "j"]
+    more = _linked(pairs.repartition(*names).sortWithinPartitions(*names, "fp"), names, radius, None)
+    return links.unionByName(more.select("a", "b"))
 
 
 # --- near copies -----------------------------------------------------------------------------
@@ -308,16 +405,17 @@ def _common_shingles(whole: DataFrame, row: str, words: int) -> tuple[np.ndarray
 
 
 def _prefixes(whole: DataFrame, row: str, words: int, similarity: float) -> DataFrame:
-    """row, number of shingles, digest of the set, and its rarest shingles: two sets of the similarity share one of these."""
+    """row, number of shingles, digest and SimHash of the set, and its rarest shingles: two sets of the similarity share one of these."""
     common = whole.sparkSession.sparkContext.broadcast(_common_shingles(whole, row, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = common.value
         for batch in slices(batches, 100):
-            sizes, digests, rarest = [], [], []
+            sizes, digests, prints, rarest = [], [], [], []
             for text in texts_of(batch):
                 own = distinct_shingles(text, words)
                 sizes.append(len(own))
+                prints.append(majority([own]))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 often = np.zeros(len(own), np.int64)
                 if len(hashes):
@@ -326,9 +424,9 @@ def _prefixes(whole: DataFrame, row: str, words: int, similarity: float) -> Data
                 # own is sorted, so equal counts stay in the order of hashes
                 rarest.append(own[np.argsort(often, kind="stable")][: len(own) - _least_common(len(own), similarity) + 1].view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rarest)]), pa.int32()), pa.array(np.concatenate(rarest)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), lists], [row, "n", "digest", "rarest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(prints, pa.int64()), lists], [row, "n", "digest", "fp", "rarest"])
 
-    return whole.select(row, "text").mapInArrow(run, f"{row} long, n int, digest binary, rarest array<long>")
+    return whole.select(row, "text").mapInArrow(run, f"{row} long, n int, digest binary, fp long, rarest array<long>")
 
 
 def _least_shared(n: np.ndarray, x, y, similarity: float) -> np.ndarray:
@@ -505,27 +603,46 @@ def _links_of_long_runs(whole: DataFrame, members: DataFrame, roots: DataFrame,
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _simhash_pairs(sets: DataFrame, row: str, radius: int) -> DataFrame:
+    """a, b: rows whose SimHashes are equal or linked, each fingerprint standing for its first row."""
+    firsts = written(sets.groupBy("fp").agg(F.min(row).alias("first"), F.count("*").alias("many")), "near-fingerprints")
+    linked = fingerprint_links(firsts.select("fp"), radius)
+    side = lambda c, n: firsts.select(F.col("fp").alias(c), F.col("first").alias(n))
+    across = linked.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    inside = join_counted(sets.select(row, "fp"), firsts, "fp").filter(F.col(row) != F.col("first")).select(F.col("first").alias("a"), F.col(row).alias("b"))
+    return across.unionByName(inside).distinct()
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 5) -> DataFrame:
     """The rows of docs but one of each group of near copies, with all their columns.
 
     Near copies have at least `similarity` of all their distinct shingles in common (Jaccard); none
-    is missed.  Equal sets are joined first.  Of n shingles the n - ceil(similarity * n) + 1 rarest
-    index a set: two sets of that similarity share one of them, and how many at
-    least follows from their sizes.  Candidates are verified by the exact similarity.  Where over PAIRWISE sets share a shingle, they are first compared with a few
-    of them, and those that this leaves unconnected with one another, in blocks.  Of a group the row
-    with the smallest doc_id stays (null ids last, then the first row).  Null texts count as empty
-    and are copies of one another; an empty table gives no rows.
+    is missed.  Equal sets are joined first.  Then SimHashes of the sets link at `radius` or fewer
+    bits, found by the generalised pigeonhole and verified by the exact similarity.  Fingerprints
+    of that similarity may lie much further apart, so what they leave unconnected is completed by
+    an exact prefix filter: of n shingles the n - ceil(similarity * n) + 1 rarest index a set; two
+    sets of that similarity share one of them, and how many at least follows from their sizes.
+    Where over PAIRWISE sets share a shingle, they are first compared with a few of them, and those
+    that this leaves unconnected with one another, in blocks.  Of a group the row with the smallest
+    doc_id stays (null ids last, then the first row).  Null texts count as empty and are copies of
+    one another; further columns are kept, whatever their names; an empty table gives no rows.
     """
-    row = "quayside_row"
+    row = free_name(docs, "quayside_row")
     whole = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-input")
     prints = written(_prefixes(whole, row, words, similarity), "near-prefixes")
-    firsts = written(prints.groupBy("digest").agg(F.min(row).alias("first")), "near-sets")
-    equal = prints.select(row, "digest").join(firsts, "digest").filter(F.col(row) != F.col("first")).select(F.col("first").alias("a"), F.col(row).alias("b"))
+    firsts = written(prints.groupBy("digest").agg(F.min(row).alias("first"), F.count("*").alias("many")), "near-sets")
+    equal = join_counted(prints.select(row, "digest"), firsts, "digest").filter(F.col(row) != F.col("first")).select(F.col("first").alias("a"), F.col(row).alias("b"))
     equal = written(equal, "near-equal")
-    found = written(_candidates(prints.join(equal.select(F.col("b").alias(row)), row, "left_anti"), row, similarity), "near-candidates")
-    pairs = written(found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")).filter("shared >= needed").select("a", "b"), "near-pairs")
-    links = written(_alike(whole, pairs, row, words, similarity).unionByName(equal), "near-links")
+    sets = written(prints.join(equal.select(F.col("b").alias(row)), row, "left_anti"), "near-distinct")
+    links = written(_alike(whole, written(_simhash_pairs(sets, row, radius), "near-simhash"), row, words, similarity).unionByName(equal), "near-links")
     roots = written(component_roots(links), "near-roots")
+    found = written(_candidates(sets, row, similarity), "near-candidates")
+    pairs = found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")).filter("shared >= needed").select("a", "b")
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    open_pairs = written(pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "near-pairs")
+    links = written(links.unionByName(_alike(whole, open_pairs, row, words, similarity)), "near-more-links")
+    roots = written(component_roots(links), "near-more-roots")
     members = found.filter("b IS NULL").select("hash", F.col("a").alias(row))
     if members.limit(1).count():
         more = _links_of_long_runs(whole, members, roots, row, words, similarity)
@@ -551,19 +668,20 @@ def _shingle_sets(whole: DataFrame, wanted: DataFrame, row: str, words: int) ->
     return texts.mapInArrow(run, f"{row} long, hashes array<long>")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, parts: tuple[int, ...] = (3,)) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, parts: tuple[int, ...] = PARTS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     Fingerprints link at `radius` or fewer differing bits; component_id is the smallest doc_id
     reachable over links.  Null and empty texts have fingerprint zero and link like any other;
     null ids never name a component unless it has no others; repeated rows stay; an empty table
     gives no rows; further columns are not looked at.  Equal fingerprints are joined before the
-    search, so copies cost nothing and a bucket holds different fingerprints only.
+    search, so copies cost nothing and a bucket holds different fingerprints only; a fingerprint of
+    very many rows gets its component without a shuffle.
     """
     rows = written(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")), "fingerprint-nodes")
     roots = written(component_roots(fingerprint_links(nodes, radius, parts)), "fingerprint-roots")
-    linked = roots.join(nodes.withColumnRenamed("fp", "node"), "node")
+    linked = roots.join(nodes.select(F.col("fp").alias("node"), "least"), "node")
     named = roots.join(linked.groupBy("root").agg(F.min("least").alias("named")), "root").select(F.col("node").alias("fp"), "named")
-    labels = nodes.join(named, "fp", "left").select("fp", F.coalesce("named", "least").alias("component_id"))
-    return rows.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = written(nodes.join(named, "fp", "left").select("fp", F.coalesce("named", "least").alias("component_id"), "many"), "fingerprint-labels")
+    return join_counted(rows, labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
