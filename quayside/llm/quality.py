@@ -1,11 +1,11 @@
 """Quality classification by co-training over two views of a document.
 
-One classifier reads the text's content (shapes of words and lines, repetition, symbols), the other
-what is known about the page (source, language, length).  Both start from a bounded sample of
-labelled rows.  In every round each view scores all documents, and the ones it is sure of are
-handed over as pseudo-labels to train the other view.  At the end both views are calibrated on
-labelled rows that took no part in training, combined by a logistic layer fitted there too, and
-applied to all documents.
+One classifier reads the text's content (hashed words and word pairs, shapes of words and lines,
+repetition, symbols), the other what is known about the page (source, language, length); no feature
+is in both.  Both start from a bounded sample of labelled rows.  In every round each view scores all
+documents, and the ones it is sure of are handed over as pseudo-labels to train the other view.  At
+the end both views are calibrated on labelled rows that took no part in training, combined by a
+logistic layer fitted on further ones, and applied to all documents.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,26 +27,46 @@ from .shared import slices, texts_of, written
 #: Labelled rows that are learned from, at most; a sample by a hash of doc_id.
 MAX_LABELLED = 20_000
 ROUNDS = 3
-#: Pseudo-labels of each class that a view hands over per round, and how sure it has to be.
+#: Pseudo-labels of each class that a view hands over per round, at most: a sample of distinct sure
+#: rows by a hash, from all documents; and how sure it has to be.
 HANDED, SURE = 400, 0.95
-#: Of labelled rows, one in this many is kept for calibration.
-CALIBRATION = 5
+#: Of ten parts of the labelled rows, so many train; two calibrate the views, the rest fit the layer.
+TRAINING = 6
+#: Hashed places for words, and as many for pairs of words.
+WORD_PLACES = 64
 #: Hashed places for the values of source and language.
 META_PLACES = 64
 
 TEXT_FEATURES = (
-    "bias words log_words mean_word long_words upper_words upper_letters digits symbols pipes bangs other_letters distinct_words "
-    "top_word top_three adjacent_repeats lines distinct_lines top_line short_lines mean_line end_marks commas symbol_ends stop_like entropy longest_run"
+    "bias mean_word long_words upper_words upper_letters digits symbols pipes bangs other_letters distinct_words "
+    "top_word top_three adjacent_repeats distinct_lines top_line short_lines mean_line end_marks commas symbol_ends stop_like entropy longest_run"
 ).split()
 _SYMBOL_END = re.compile(r"[#$%&*+=^~|]{2,}")
+_KNOWN: dict[str, int] = {}
+
+
+def word_features(words: list[str]) -> np.ndarray:
+    """Signed counts of words and of pairs of neighbours in hashed places, scaled to length one each."""
+    if len(_KNOWN) > 400_000:
+        _KNOWN.clear()
+    for w in set(words).difference(_KNOWN):
+        _KNOWN[w] = xxhash.xxh64_intdigest(w.casefold())
+    hashes = np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
+    pairs = (hashes[1:] ^ (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    out = np.zeros(2 * WORD_PLACES)
+    for k, found in enumerate((hashes, pairs)):
+        counts = np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=2 * WORD_PLACES)
+        signed = counts[0::2] - counts[1::2]
+        out[k * WORD_PLACES : (k + 1) * WORD_PLACES] = signed / max(float(np.sqrt((signed * signed).sum())), 1.0)
+    return out
 
 
 def text_features(text: str) -> list[float]:
-    """Shares and shapes; all finite, whatever the text."""
+    """Shares, shapes and hashed words; all finite, whatever the text, and none grows with its length."""
     words = text.split()
     n, chars = len(words), max(len(text), 1)
     if not n:
-        return [1.0] + [0.0] * (len(TEXT_FEATURES) - 1)
+        return [1.0] + [0.0] * (len(TEXT_FEATURES) - 1 + 2 * WORD_PLACES)
     counts = Counter(words)
     top = counts.most_common(3)
     letters = sum(map(str.isalpha, text)) if len(text) < 4096 else _letters(text)
@@ -66,8 +87,6 @@ def text_features(text: str) -> list[float]:
         longest = max(longest, run)
     return [
         1.0,
-        min(n, 5000) / 1000,
-        math.log1p(n),
         min(len(text) / n, 40) / 10,
         sum(k for w, k in counts.items() if len(w) > 20) / n,
         upper_words / n,
@@ -81,7 +100,6 @@ def text_features(text: str) -> list[float]:
         top[0][1] / n,
         sum(k for _, k in top) / n,
         repeats / n,
-        math.log1p(len(lines)),
         len(line_counts) / max(len(lines), 1),
         max(line_counts.values(), default=0) / max(len(lines), 1),
         sum(len(s) < 20 for s in lines) / max(len(lines), 1),
@@ -92,6 +110,7 @@ def text_features(text: str) -> list[float]:
         sum(k for w, k in counts.items() if len(w) <= 3) / n,
         float(-(share * np.log2(share)).sum()) / 5,
         math.log1p(longest),
+        *word_features(words).tolist(),
     ]
 
 
@@ -171,7 +190,7 @@ class CoTrained:
 
 # --- on Spark --------------------------------------------------------------------------------
 
-FEATURES = "row long, doc_id long, xt array<double>, xm array<double>"
+FEATURES = "row long, doc_id long, xt binary, xm binary"
 
 
 def featured(docs: DataFrame) -> DataFrame:
@@ -184,17 +203,16 @@ def featured(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = texts_of(batch)
-            xt = [[float(v) for v in text_features(t)] for t in texts]
-            xm = [meta_features(s, l, len(t)) for s, l, t in zip(batch.column("source").to_pylist(), batch.column("lang").to_pylist(), texts, strict=True)]
-            kind = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(xt, kind), pa.array(xm, kind)], ["row", "doc_id", "xt", "xm"])
+            xt = [np.array(text_features(t), "<f4").tobytes() for t in texts]
+            xm = [np.array(meta_features(s, l, len(t)), "<f4").tobytes() for s, l, t in zip(batch.column("source").to_pylist(), batch.column("lang").to_pylist(), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(xt, pa.binary()), pa.array(xm, pa.binary())], ["row", "doc_id", "xt", "xm"])
 
     return rows.mapInArrow(run, FEATURES)
 
 
-def _matrix(column) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+def _matrix(values: list[bytes]) -> np.ndarray:
+    """Features as they are stored, a row to each."""
+    return np.frombuffer(b"".join(values), "<f4").reshape(len(values), -1).astype(float)
 
 
 def sure_rows(features: DataFrame, views: dict[str, View], known: DataFrame) -> list:
@@ -208,7 +226,7 @@ def sure_rows(features: DataFrame, views: dict[str, View], known: DataFrame) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = {"text": _matrix(batch.column("xt")), "meta": _matrix(batch.column("xm"))}
+                x = {"text": _matrix(batch.column("xt").to_pylist()), "meta": _matrix(batch.column("xm").to_pylist())}
                 p = [pa.array(sigmoid(shared.value[v].calibrated(x[v]))) for v in ("text", "meta")]
                 yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("xt"), batch.column("xm"), *p], ["row", "doc_id", "xt", "xm", "pt", "pm"])
 
@@ -223,7 +241,7 @@ def sure_rows(features: DataFrame, views: dict[str, View], known: DataFrame) ->
     place = F.pmod("h", F.lit(HANDED))
     first = sure.groupBy("kind", place.alias("place")).agg(F.min(F.struct("h", "xt", "xm")).alias("r"))
     for row in first.select("kind", "r.xt", "r.xm").collect():  # 4 kinds x HANDED rows at most
-        found.append((row.kind, np.array(row.xt), np.array(row.xm)))
+        found.append((row.kind, _matrix([row.xt])[0], _matrix([row.xm])[0]))
     return found
 
 
@@ -235,12 +253,16 @@ def co_train(features: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, r
     if len({bool(g.quality) for g in given}) < 2:
         return None
     y = np.array([float(g.quality > 0) for g in given])
-    xt, xm = np.array([g.x.xt for g in given]), np.array([g.x.xm for g in given])
-    # whole labels go to calibration by a number that follows from the id
-    kept = np.array([(g.doc_id * 2654435761 >> 7) % CALIBRATION == 0 for g in given])
-    if len(set(y[kept])) < 2 or len(set(y[~kept])) < 2:
-        kept = np.arange(len(y)) % 2 == 0
-    sets = {"text": [(xt[~kept], y[~kept], np.ones((~kept).sum()))], "meta": [(xm[~kept], y[~kept], np.ones((~kept).sum()))]}
+    xt, xm = _matrix([bytes(g.x.xt) for g in given]), _matrix([bytes(g.x.xm) for g in given])
+    # the part of a label follows from its id: training, calibration of the views, the layer
+    part = np.array([(g.doc_id * 2654435761 >> 7) % 10 for g in given])
+    train, kept, last = part < TRAINING, (part >= TRAINING) & (part < TRAINING + 2), part >= TRAINING + 2
+    if min(len(set(y[of])) for of in (train, kept, last)) < 2:  # too few labels for three parts
+        train = np.arange(len(y)) % 2 == 1
+        if min(len(set(y[of])) for of in (train, ~train)) < 2:
+            train = np.ones(len(y), bool)
+        kept = last = ~train if not train.all() else train
+    sets = {"text": [(xt[train], y[train], np.ones(train.sum()))], "meta": [(xm[train], y[train], np.ones(train.sum()))]}
 
     def fitted() -> dict[str, View]:
         views = {}
@@ -261,11 +283,11 @@ def co_train(features: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, r
             mine = [(h[column if to == "text" else 2], float(h[0][-1])) for h in handed if h[0].startswith(name)]
             if mine:
                 # all that is handed over weighs half of what is labelled
-                weight = 0.5 * (~kept).sum() / len(mine)
+                weight = 0.5 * train.sum() / len(mine)
                 sets[to].append((np.array([x for x, _ in mine]), np.array([c for _, c in mine]), np.full(len(mine), min(weight, 1.0))))
         views = fitted()
-    a, b = views["text"].calibrated(xt[kept]), views["meta"].calibrated(xm[kept])
-    layer = _newton(np.stack([a, b, np.ones(len(a))], 1), y[kept], np.ones(len(a)), penalty=0.1)
+    a, b = views["text"].calibrated(xt[last]), views["meta"].calibrated(xm[last])
+    layer = _newton(np.stack([a, b, np.ones(len(a))], 1), y[last], np.ones(len(a)), penalty=0.1)
     return CoTrained(views["text"], views["meta"], layer)
 
 
@@ -290,7 +312,7 @@ def _scored(features: DataFrame, model: CoTrained | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                scores = shared.value.scores(_matrix(batch.column("xt")), _matrix(batch.column("xm")))
+                scores = shared.value.scores(_matrix(batch.column("xt").to_pylist()), _matrix(batch.column("xm").to_pylist()))
                 yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *map(pa.array, scores)], ["row", "doc_id", "text_score", "meta_score", "quality"])
 
     return features.mapInArrow(run, "row long, doc_id long, text_score double, meta_score double, quality double").withColumn("keep", F.col("quality") >= 0.5)
@@ -299,6 +321,8 @@ def _scored(features: DataFrame, model: CoTrained | None) -> DataFrame:
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score_quality keeps, with all their columns.
 
+    Rows count as in score_quality: null texts as empty, any null or tie as a value like others,
+    repeated rows alike; without labels of both classes all rows stay; an empty table gives no rows.
     The features are computed once for learning; the last pass reads a text, computes its features
     again and decides on the spot, so that no text is moved.
     """
@@ -315,7 +339,7 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             texts = texts_of(batch)
             nothing = [None] * len(texts)
             sources, langs = (batch.column(c).to_pylist() if c in batch.schema.names else nothing for c in ("source", "lang"))
-            xt = np.array([text_features(t) for t in texts], float)
+            xt = np.array([text_features(t) for t in texts], "<f4").astype(float)
             xm = np.array([meta_features(s, l, len(t)) for s, l, t in zip(sources, langs, texts, strict=True)])
             yield batch.filter(pa.array(shared.value.scores(xt, xm)[2] >= 0.5))
 
