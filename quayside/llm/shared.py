@@ -14,6 +14,7 @@ _OWN_ROOT: list[str] = []
 _WRITTEN: list[str] = []
 #: A key is hot from HOT_ROWS rows and one in HOT_KEYS of all rows on.
 HOT_ROWS, HOT_KEYS = 32, 10_000
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -36,8 +37,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Tasks get whole texts by the thousand, not by the ten thousand: what a batch holds is memory twice, in the JVM and in Python."""
+    if int(spark.conf.get(BATCH_SETTING)) > BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: a cut in the lineage that survives lost executors."""
+    small_batches(df.sparkSession)
     path = new_folder(df.sparkSession, name)
     _WRITTEN.append(path)
     df.write.parquet(path)
@@ -73,6 +81,7 @@ def join_counted(rows: DataFrame, table: DataFrame, on: str | list[str], many: s
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
