@@ -41,6 +41,7 @@ def small_batches(spark: SparkSession) -> None:
     """Tasks get whole texts by the thousand, not by the ten thousand: what a batch holds is memory twice, in the JVM and in Python."""
     if int(spark.conf.get(BATCH_SETTING)) > BATCH_ROWS:
         spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")  # very long texts
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
