@@ -3,8 +3,9 @@
 A sandboxed template language (text, {{ output }}, {% if %}, {% for %}, {% set %}, {% generation %})
 is parsed into a syntax tree, constants in the tree are folded, and the tree is turned into Python
 closures.  Templates reach message fields, loop facts and a fixed list of filters, nothing else: no
-attributes of Python objects, no calls, no imports.  Rendering yields (piece, is_generation) pairs,
-so a conversation of any length streams through and the loss mask comes with the text.
+attributes of Python objects, no calls, no imports.  Rendering yields (piece, is_generation) pairs
+while it pulls messages, so a conversation of any length streams through one rendering, with what
+stands before, between and after its turns, and the loss mask comes with the text.
 """
 
 from __future__ import annotations
@@ -12,11 +13,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import slices, small_batches
+
 Piece = tuple[str, bool]
 Emit = Callable[[dict, bool], Iterator[Piece]]
 
@@ -48,14 +54,20 @@ def unescape(text: str) -> str:
 FILTERS: dict[str, Callable[[str], str]] = {"escape": escape, "trim": str.strip, "upper": str.upper, "lower": str.lower}
 
 
+#: Stands for the end of a stream of messages.
+END = object()
+#: Under this name, which no template can say, a scope may have what is called with the place of a message whose turn begins.
+BEGUN = "-begun"
+
+
 class TemplateError(ValueError):
     """The template isn't in the language, or asks for something outside the sandbox."""
 
 
 # --- parsing ---------------------------------------------------------------------------------
 
-_TAG = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}", re.DOTALL)
-_TOKEN = re.compile(r"""\s*(?:('[^']*'|"[^"]*")|(\d+)|(==|!=|\||\+|\(|\)|\.)|([A-Za-z_]\w*))""")
+_TAG = re.compile(r"\{([{%])(-?)(.*?)(-?)[}%]\}", re.DOTALL)
+_TOKEN = re.compile(r"""\s*(?:('[^']*'|"[^"]*")|(\d+)|(==|!=|\||\+|\(|\)|\[|\]|\.)|([A-Za-z_]\w*))""")
 
 
 def _tokens(source: str) -> list[tuple[str, str]]:
@@ -144,26 +156,34 @@ class _Expression:
             return ("const", value == "true")
         if kind != "name" or value in ("or", "and", "not"):
             raise TemplateError(f"unexpected {value!r}")
-        if self.take("."):
+        if sign := self.take(".", "["):
             kind, field = self.tokens[self.at] if self.at < len(self.tokens) else ("", "")
-            if kind != "name" or field.startswith("_"):
+            if kind != ("name" if sign == "." else "string") or field.startswith("_"):
                 raise TemplateError(f"no field {field!r}")
             self.at += 1
+            if sign == "[" and not self.take("]"):
+                raise TemplateError("missing ]")
             return ("field", value, field)
         return ("name", value)
 
 
 def parse(source: str) -> tuple:
-    """The syntax tree: ("block", [nodes])."""
+    """The syntax tree: ("block", [nodes]).  A dash inside a tag takes away the white space on that side."""
     parts: list[tuple[str, str]] = []
-    at = 0
+    at, bare = 0, False
     for m in _TAG.finditer(source):
-        if m.start() > at:
-            parts.append(("text", source[at : m.start()]))
-        parts.append(("output", m[1]) if m[1] is not None else ("tag", m[2].strip()))
-        at = m.end()
-    if at < len(source):
-        parts.append(("text", source[at:]))
+        if m[0][-2] != ("}" if m[1] == "{" else "%"):
+            raise TemplateError(f"unclosed {m[0][:10]!r}")
+        text = source[at : m.start()]
+        text = text.lstrip() if bare else text
+        text = text.rstrip() if m[2] else text
+        if text:
+            parts.append(("text", text))
+        parts.append(("output", m[3]) if m[1] == "{" else ("tag", m[3].strip()))
+        at, bare = m.end(), bool(m[4])
+    rest = source[at:].lstrip() if bare else source[at:]
+    if rest:
+        parts.append(("text", rest))
     tree, rest = _block(parts, 0, ())
     if rest != len(parts):
         raise TemplateError(f"unexpected {parts[rest][1]!r}")
@@ -310,6 +330,15 @@ def _value(tree: tuple) -> Callable[[dict], object]:
     return lambda scope: combine(left(scope), right(scope))
 
 
+def _leaves(tree) -> Iterator[tuple]:
+    """The tree and all trees in it."""
+    if isinstance(tree, tuple):
+        yield tree
+    if isinstance(tree, tuple | list):
+        for part in tree:
+            yield from _leaves(part)
+
+
 def _closure(tree: tuple) -> Emit:
     kind = tree[0]
     if kind == "text":
@@ -338,12 +367,18 @@ def _closure(tree: tuple) -> Emit:
         return choose
     if kind == "for":
         _, name, over, inner = tree
-        body = _closure(inner)
+        body, ahead = _closure(inner), ("field", "loop", "last") in _leaves(inner)
 
         def loop(scope: dict, marked: bool) -> Iterator[Piece]:
-            # the items may be a stream, so only what lies behind is known in a loop
-            for index, item in enumerate(scope.get(over) or ()):
-                yield from body({**scope, name: item, "loop": {"index0": index, "index": index + 1, "first": index == 0}}, marked)
+            # the items may be a stream: one is looked ahead, and only where the body asks for it
+            items = iter(scope.get(over) or ())
+            item, index, end, begun = next(items, END), 0, None, scope.get(BEGUN)
+            while item is not END:
+                end = next(items, END) if ahead else None
+                if begun and over == "messages":
+                    begun(index)
+                yield from body({**scope, name: item, "loop": {"index0": index, "index": index + 1, "first": index == 0, "last": ahead and end is END}}, marked)
+                item, index = end if ahead else next(items, END), index + 1
 
         return loop
     inner = [_closure(node) for node in tree[1]]
@@ -355,34 +390,46 @@ def _closure(tree: tuple) -> Emit:
     return run
 
 
-def compile_template(source: str) -> Callable[[Iterable[dict]], Iterator[Piece]]:
-    """A renderer: messages (dicts with role and text, any iterable) to (piece, is_generation)."""
+def compile_template(source: str) -> Callable[..., Iterator[Piece]]:
+    """A renderer: messages (dicts with role and text, any iterable) and facts to (piece, is_generation).
+
+    Messages are pulled as they are needed, and a piece comes before the next message is pulled.
+    Facts are names that the template may ask for, such as add_generation_prompt.
+    """
     body = _closure(fold(parse(source)))
-    return lambda messages: body({"messages": messages}, False)
+    return lambda messages, **facts: body({**facts, "messages": messages}, False)
 
 
 # --- reading back ----------------------------------------------------------------------------
 
-#: Fixed: opening mark of a turn, its closing mark, and the role it stands for.
-MARKS = (("<<SYS>>", "<</SYS>>", "system"), ("[INST]", "[/INST]", "user"), ("<s>", "</s>", "assistant"), ("[ROLE]", "[/ROLE]", None))
+#: Fixed: opening mark of a turn, its closing mark, and the role it stands for (None: named before [TEXT]).
+Marks = tuple[tuple[str, str, str | None], ...]
+MARKS: Marks = (("<<SYS>>", "<</SYS>>", "system"), ("[INST]", "[/INST]", "user"), ("<s>", "</s>", "assistant"), ("[ROLE]", "[/ROLE]", None))
 
 
 class Reader:
-    """Reads output of the default template back, piece by piece: feed() returns finished turns."""
+    """Reads a template's output back by its marks, piece by piece: feed() returns finished turns.
+
+    What stands between turns is skipped; texts are escaped, so a mark in them is none.
+    """
 
-    def __init__(self):
-        self.buffer = ""
+    def __init__(self, marks: Marks = MARKS):
+        self.buffer, self.marks = "", marks
+        self.longest = max(len(m[0]) for m in marks)
 
     def feed(self, piece: str) -> list[tuple[str, str]]:
         self.buffer += piece
         turns, at = [], 0
         while at < len(self.buffer):
-            mark = next((m for m in MARKS if self.buffer.startswith(m[0], at)), None)
-            if mark is None:
+            found = [(k, m) for m in self.marks if (k := self.buffer.find(m[0], at)) >= 0]
+            if not found:
+                at = max(at, len(self.buffer) - self.longest + 1)  # a mark may begin here
                 break
-            start = at + len(mark[0])
+            first, mark = min(found, key=lambda x: (x[0], -len(x[1][0])))
+            start = first + len(mark[0])
             end = _control(self.buffer, mark[1], start)
             if end < 0:
+                at = first
                 break
             body = self.buffer[start:end]
             if mark[2] is None:
@@ -395,7 +442,7 @@ class Reader:
         return turns
 
     def close(self) -> None:
-        if self.buffer:
+        if any(m[0] in self.buffer for m in self.marks):
             raise ValueError("formatted text ends inside a turn")
 
 
@@ -423,10 +470,10 @@ FORMATTED = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, l
 
 
 class _Conversation:
-    """Digests of one conversation, fed turn by turn."""
+    """Digests of one conversation, fed the pieces of its rendering."""
 
-    def __init__(self, conv_id: int | None):
-        self.conv_id, self.reader = conv_id, Reader()
+    def __init__(self, conv_id: int | None, marks: Marks | None):
+        self.conv_id, self.reader = conv_id, Reader(marks) if marks else None
         self.turns, self.loss, self.whole = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.chars = 0
 
@@ -438,74 +485,101 @@ class _Conversation:
                 said = unescape(piece)
                 self.loss.update(said.encode())
                 self.loss_chars += len(said)
-            for role, text in self.reader.feed(piece):
+            for role, text in self.reader.feed(piece) if self.reader else ():
                 self.n_turns += 1
                 self.turns.update(f"{role}\n{text}\n".encode())
 
     def row(self) -> tuple:
-        self.reader.close()
-        return self.conv_id, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.whole.hexdigest()
+        if self.reader:
+            self.reader.close()
+        read = (self.n_turns, self.turns.hexdigest()) if self.reader else (None, None)
+        return self.conv_id, *read, self.loss_chars, self.loss.hexdigest(), self.chars, self.whole.hexdigest()
 
 
-def format_conversations(conversations: DataFrame, template: str = CHAT_TEMPLATE) -> DataFrame:
-    """One row per conversation: digests of its formatted text, read back from that text.
-
-    Rows are ordered by turn, then role and text; null turns come first, null roles and texts count
-    as empty, a null conv_id is a conversation of its own, repeated rows are repeated turns, an
-    empty table gives no rows and further columns are not looked at.  Rows of a conversation meet
-    in one task, since the digests run over all its turns in order, but stream through it: the
-    task holds one turn at a time, so a conversation with very many turns needs no more memory.
-    """
+def _in_order(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
-        "turn",
+        F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role"), F.lit("")).alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in slices(batches, 200):
+        yield from zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def format_conversations(conversations: DataFrame, template: str = CHAT_TEMPLATE, marks: Marks | None = MARKS, **facts) -> DataFrame:
+    """One row per conversation: digests of its formatted text, read back from that text.
+
+    A conversation is rendered as one stream of messages.  Rows are ordered by turn, then role and
+    text; null turns come first, null roles and texts count as empty, a null conv_id is a
+    conversation of its own, repeated rows are repeated turns, an empty table gives no rows and
+    further columns are not looked at.  `marks` tell how the template marks turns; without them the
+    columns read back (n_turns, turns_sha256) are null.  Rows of a conversation meet in one task,
+    since the digests run over all its turns in order, but stream through it: the task holds one
+    turn at a time (two where the template asks for loop.last), so a conversation with very many
+    turns needs no more memory.
+    """
+    small_batches(conversations.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)
         schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("formatted_sha256", pa.string())])
-        now: _Conversation | None = None
-        for batch in batches:
-            done = []
-            for conv_id, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if now is None or now.conv_id != conv_id:
-                    if now is not None:
-                        done.append(now.row())
-                    now = _Conversation(conv_id)
-                now.add(render([{"role": role, "text": text}]))
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
-        if now is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(now.row(), schema, strict=True)], schema=schema)
-
-    return dealt.mapInArrow(run, FORMATTED)
-
-
-def render_conversations(conversations: DataFrame, template: str = CHAT_TEMPLATE) -> DataFrame:
+        done = []
+        for conv_id, turns in groupby(_rows(batches), key=itemgetter(0)):
+            now = _Conversation(conv_id, marks)
+            now.add(render(({"role": role, "text": text} for _, _, role, text in turns), **facts))
+            done.append(now.row())
+            if len(done) == 500:
+                yield _batch(done, schema)
+                done = []
+        if done:
+            yield _batch(done, schema)
+
+    return _in_order(conversations).mapInArrow(run, FORMATTED)
+
+
+def render_conversations(conversations: DataFrame, template: str = CHAT_TEMPLATE, **facts) -> DataFrame:
     """conv_id, turn, formatted, mask: the text of each turn and its generation spans [start, end).
 
-    Turns keep their rows, so nothing is gathered: joined in turn order they are the conversation.
-    Nulls count as in format_conversations.
+    Joined in turn order, the rows of a conversation are its rendering: what stands before the first
+    turn belongs to it, what comes after a turn and before the next to the former.  Order and nulls
+    count as in format_conversations; a task holds one turn's text at a time.
     """
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    small_batches(conversations.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)
-        for batch in batches:
-            formatted, masks = [], []
-            for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                out, spans, at = [], [], 0
-                for piece, marked in render([{"role": role or "", "text": text or ""}]):
-                    if marked and piece:
-                        spans.append({"start": at, "end": at + len(piece)})
-                    out.append(piece)
-                    at += len(piece)
-                formatted.append("".join(out))
-                masks.append(spans)
-            spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(formatted, pa.string()), pa.array(masks, spans_type)], ["conv_id", "turn", "formatted", "mask"])
-
-    return rows.mapInArrow(run, "conv_id long, turn long, formatted string, mask array<struct<start:long,end:long>>")
+        spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("formatted", pa.string()), ("mask", spans)])
+        for conv_id, turns in groupby(_rows(batches), key=itemgetter(0)):
+            pulled: list[int | None] = []  # turns handed to the template and not yet given out
+            out, mask, at, shown, now = [], [], 0, 0, [0]
+
+            def messages(turns=turns, pulled=pulled) -> Iterator[dict]:
+                for _, turn, role, text in turns:
+                    pulled.append(turn)
+                    yield {"role": role, "text": text}
+
+            for piece, marked in render(messages(), **facts, **{BEGUN: partial(now.__setitem__, 0)}):
+                while shown < now[0]:
+                    yield _batch([(conv_id, pulled.pop(0), "".join(out), mask)], schema)
+                    out, mask, at, shown = [], [], 0, shown + 1
+                if marked and piece:
+                    mask.append({"start": at, "end": at + len(piece)})
+                out.append(piece)
+                at += len(piece)
+            for _ in messages():  # turns that the template did not ask for
+                pass
+            while pulled:
+                yield _batch([(conv_id, pulled.pop(0), "".join(out), mask)], schema)
+                out, mask = [], []
+
+    return _in_order(conversations).mapInArrow(run, "conv_id long, turn long, formatted string, mask array<struct<start:long,end:long>>")
