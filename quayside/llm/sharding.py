@@ -14,25 +14,37 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_folder, written
+from .shared import HOT_KEYS, HOT_ROWS, new_folder, written
 
 SLOTS = 4096
 ROW_OVERHEAD = 8
+#: A map is edited if that brings the shard farthest from the mean nearer by this share of the mean.
+TOLERANCE = 0.005
 
 
 def slot_rows(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and vslot per row.
 
     The size is the text's UTF-8 bytes (null: none) plus eight.  The slot comes from doc_id, size
-    and checksum, so that rows without a doc_id spread too.  Copies of a text with different ids
-    go to different slots, so a large group of copies is no hot slot.
+    and checksum: copies of a text with different ids go to different slots, and so do the texts of
+    one id.  Rows without a doc_id, and rows equal in all three that are very many, are spread by
+    their place in the table as well, since nothing tells them apart.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
+    slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + F.lit(ROW_OVERHEAD)).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-    ).withColumn("vslot", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(slots)).cast("int"))
+    )
+    # the place in the table is fixed by writing it
+    rows = written(slim.withColumn("place", F.monotonically_increasing_id()), "slot-rows")
+    known = rows.filter("doc_id IS NOT NULL")
+    least = max(HOT_ROWS, -(-rows.count() // HOT_KEYS))
+    often = known.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    often = F.broadcast(often.select("doc_id", "size", "text_crc32", F.lit(True).alias("often")))  # HOT_KEYS rows at most
+    spread = F.when(F.col("often") | F.col("doc_id").isNull(), F.col("place"))
+    marked = rows.join(often, ["doc_id", "size", "text_crc32"], "left")
+    return marked.select("doc_id", "size", "text_crc32", F.pmod(F.xxhash64("doc_id", "size", "text_crc32", spread), F.lit(slots)).cast("int").alias("vslot"))
 
 
 def first_map(shards: int, slots: int = SLOTS) -> list[int]:
@@ -94,33 +106,64 @@ def store_map(spark: SparkSession, path: str, version: int, slot_to_shard: list[
     )
 
 
-def load_map(spark: SparkSession, path: str, version: int, slots: int = SLOTS) -> list[int]:
-    """One version of a stored map."""
-    rows = spark.read.parquet(path).filter(F.col("version") == version).select("vslot", "shard").collect()
-    owner = [0] * slots
-    for row in rows:
-        owner[row.vslot] = row.shard
-    return owner
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int]] | None:
+    """A version of a stored map, the newest unless one is named, and its number; None where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    table = spark.read.parquet(path)
+    version = table.agg(F.max("version")).first()[0] if version is None else version
+    rows = table.filter(F.col("version") == version).select("vslot", "shard").collect()  # one row per slot
+    return (version, [r.shard for r in sorted(rows, key=lambda r: r.vslot)]) if rows else None
+
+
+def _loads(owner: list[int], slot_bytes: list[int], shards: int) -> list[int]:
+    load = [0] * shards
+    for slot, shard in enumerate(owner):
+        load[shard] += slot_bytes[slot]
+    return load
+
+
+def next_map(owner: list[int], slot_bytes: list[int], shards: int) -> list[int] | None:
+    """The edited map; None where an edit isn't worth it: all shards exist, and none gets nearer to the mean by TOLERANCE of it."""
+    # slots of shards that are no more are dealt anew
+    start = [shard if shard < shards else slot % shards for slot, shard in enumerate(owner)]
+    edited = rebalanced(start, slot_bytes, shards)
+    before, after = _loads(start, slot_bytes, shards), _loads(edited, slot_bytes, shards)
+    mean = sum(slot_bytes) / shards
+    worst = lambda load: max(abs(b - mean) for b in load)
+    if start == owner and (worst(before) - worst(after) <= TOLERANCE * mean or not mean):
+        return None
+    return edited
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Deal all rows into shards of nearly equal bytes; `slot` is the row's place in its shard.
 
-    Null texts count as empty, null ids hash like any value, equal rows share a virtual slot, an
-    empty table gives no rows, and further columns of docs are not looked at.  Both versions of
-    the map (0: dealt in turn, 1: balanced by bytes) are stored at map_path.
+    The newest version of the map at map_path is loaded and edited for these rows' bytes and this
+    number of shards, and stored as the next version where it changed.  Without a stored map,
+    version 0 deals slots in turn and version 1 is balanced.  Null texts count as empty, null ids
+    and repeated rows spread over the slots, an empty table gives no rows, and further columns of
+    docs are not looked at.
     """
     spark = docs.sparkSession
-    rows = written(slot_rows(docs, slots), "slot-rows")
+    rows = written(slot_rows(docs, slots), "slotted-rows")
     totals = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # one row per slot
     slot_bytes, slot_count = [0] * slots, [0] * slots
     for row in totals:
         slot_bytes[row.vslot], slot_count[row.vslot] = row["bytes"], row["n"]
     path = map_path or new_folder(spark, "slot-map")
-    start = first_map(shards, slots)
-    owner = rebalanced(start, slot_bytes, shards)
-    store_map(spark, path, 0, start, slot_bytes)
-    store_map(spark, path, 1, owner, slot_bytes)
+    stored = load_map(spark, path)
+    if stored is None:
+        stored = 0, first_map(shards, slots)
+        store_map(spark, path, 0, stored[1], slot_bytes)
+    version, owner = stored
+    if len(owner) != slots:
+        raise ValueError(f"the stored map has {len(owner)} slots, not {slots}: the number of slots is fixed")
+    edited = next_map(owner, slot_bytes, shards)
+    if edited is not None:
+        owner = edited
+        store_map(spark, path, version + 1, owner, slot_bytes)
     base, filled = [0] * slots, [0] * shards
     for slot in range(slots):
         base[slot] = filled[owner[slot]]

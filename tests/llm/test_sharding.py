@@ -24,8 +24,33 @@ def test_bytes_are_near_equal(spark):
 def test_maps_are_stored_by_version(spark, docs):
     path = new_folder(spark, "map")
     shard_documents(docs, shards=3, slots=64, map_path=path).count()
-    assert load_map(spark, path, 0, 64) == first_map(3, 64)
-    assert set(load_map(spark, path, 1, 64)) <= {0, 1, 2}
+    assert load_map(spark, path, 0) == (0, first_map(3, 64))
+    version, owner = load_map(spark, path)
+    assert version in (0, 1) and set(owner) <= {0, 1, 2}
+    assert load_map(spark, new_folder(spark, "none")) is None
+
+
+def test_a_stored_map_is_edited_once(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 300).cast("int")).alias("text"))
+    path = new_folder(spark, "map")
+    first = {r.doc_id: (r.vslot, r.shard) for r in shard_documents(docs, 24, map_path=path).collect()}
+    assert load_map(spark, path)[0] == 1
+    again = {r.doc_id: (r.vslot, r.shard) for r in shard_documents(docs, 24, map_path=path).collect()}
+    assert again == first and load_map(spark, path)[0] == 1  # nothing to edit
+    grown = {r.doc_id: (r.vslot, r.shard) for r in shard_documents(docs, 25, map_path=path).collect()}
+    assert load_map(spark, path)[0] == 2 and spark.read.parquet(path).count() == 3 * 4096
+    assert {v for v, _ in grown.values()} == {v for v, _ in first.values()}
+    moved = sum(grown[i] != first[i] for i in first)
+    assert 0 < moved < 0.2 * len(first) and {s for _, s in grown.values()} == set(range(25))
+
+
+def test_rows_that_nothing_tells_apart_spread(spark):
+    docs = spark.range(9000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    docs = docs.unionByName(spark.range(9000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same").alias("text"))).repartition(4)
+    got = shard_documents(docs, 24)
+    assert got.select("vslot").distinct().count() > 3000
+    sizes = [r.n for r in got.groupBy("shard").agg(F.sum("size").alias("n")).collect()]
+    assert max(sizes) < 1.02 * sum(sizes) / 24
 
 
 def test_rebalancing_moves_few_slots_and_fills_a_new_shard():
