@@ -1,8 +1,8 @@
 """Secret scanning with corpus-wide ownership frequency.
 
 Candidates are found in every text by pattern.  Their hashes are then counted over the whole
-corpus by distinct owners and repositories: a value that many owners carry is a copied example, a
-value that few owners carry and that looks random is taken for a live credential.
+corpus by distinct owners and repositories: a value that many owners or very many repositories
+carry is a copied example, a rarer one that looks random is taken for a live credential.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, texts_of, written
+from .shared import join_counted, slices, texts_of, written
 
 # Fixed patterns of the base scan.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -103,24 +103,27 @@ def _listed(spans) -> F.Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", example_owners: int = 3) -> DataFrame:
+def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", example_owners: int = 3, example_repositories: int = 100) -> DataFrame:
     """One row per document: base counts and digest, all spans, and how many values seem live or copied.
 
-    A value carried by `example_owners` distinct owners or more is an example; a rarer one that
-    looks random is live; each adds a span over the value, base spans stay.  Null texts count as
-    empty, null owners and repositories as unknown (they count for nothing), repeated rows give
-    repeated results, an empty table gives no rows and further columns are not looked at.
+    A value carried by `example_owners` distinct owners or more, or by `example_repositories`
+    distinct repositories or more whoever owns them, is a widely copied example.  One that stays
+    below both and looks random is owner-specific and taken for live.  Each adds a span over the
+    value, base spans stay.  Null texts count as empty, null owners and repositories as unknown
+    (they count for nothing), repeated rows give repeated results, an empty table gives no rows and
+    further columns are not looked at.
     """
     rows = written(scanned(docs, owner, repository).withColumn("row", F.monotonically_increasing_id()), "secret-scan")
     found = rows.filter(F.size("candidates") > 0).select("row", "owner", "repository", F.explode("candidates").alias("c")).select("row", "owner", "repository", "c.*")
+    found = written(found, "secret-candidates")
     # distinct pairs first, so that a value copied everywhere meets as a few rows per task
     owners = found.filter("owner IS NOT NULL").select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
     repositories = found.filter("repository IS NOT NULL").select("hash", "repository").distinct().groupBy("hash").agg(F.count("*").alias("repositories"))
-    spread = found.groupBy("hash").agg(F.lit(1).alias("one")).join(owners, "hash", "left").join(repositories, "hash", "left")
-    spread = written(spread.select("hash", F.coalesce("owners", F.lit(0)).alias("owners"), F.coalesce("repositories", F.lit(0)).alias("repositories")), "secret-owners")
-    copied = F.col("owners") >= example_owners
+    spread = found.groupBy("hash").agg(F.count("*").alias("many")).join(owners, "hash", "left").join(repositories, "hash", "left")
+    spread = written(spread.select("hash", "many", F.coalesce("owners", F.lit(0)).alias("owners"), F.coalesce("repositories", F.lit(0)).alias("repositories")), "secret-owners")
+    copied = (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)
     kind = F.when(copied, KINDS.index("example")).when(F.col("random"), KINDS.index("live"))
-    judged = written(found.join(spread, "hash").withColumn("kind", kind).filter("kind IS NOT NULL").select("row", "start", F.col("kind").cast("int").alias("kind"), "end", "owners", "repositories"), "secret-kinds")
+    judged = written(join_counted(found, spread, "hash").withColumn("kind", kind).filter("kind IS NOT NULL").select("row", "start", F.col("kind").cast("int").alias("kind"), "end", "owners", "repositories"), "secret-kinds")
     added = judged.groupBy("row").agg(
         F.collect_list(F.struct("start", "kind", "end")).alias("added"),
         F.max("owners").alias("most_owners"),

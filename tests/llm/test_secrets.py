@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+from quayside.llm import queries
 from quayside.llm.secrets import find_secrets, looks_random, scan
 
 KEY = "9f8b2c4d5e6f7a8b9c0d1e2f3a4b5c6d"
@@ -46,3 +47,40 @@ def test_long_random_values_are_random():
     for letters in ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
         assert looks_random("".join(r.choices(letters[::-1], k=20_000)).replace("1234567", "").replace("abcdef0", ""))
     assert not looks_random("a" * 20_000)
+
+
+def test_repositories_decide_too_and_null_owners_count_for_nothing(spark):
+    one, many = "q7Rt2LmZp0Wc8Xv4Ks", "b3Nf6Hj1Ty9Ud5Ge2Az"
+    rows = [(i, f"token={many}", "same owner", f"r{i}") for i in range(12)] + [(100 + i, f"token={one}", None, None) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, owner string, repository string")
+    got = {r.doc_id: r for r in find_secrets(docs, "owner", "repository", example_repositories=10).collect()}
+    assert all(got[i].n_example == 1 and got[i].most_repositories == 12 and got[i].most_owners == 1 for i in range(12))
+    assert all(got[100 + i].n_live == 1 and got[100 + i].most_repositories == 0 for i in range(12))
+    assert all(r.n_live == 1 for r in find_secrets(docs, "owner", "repository").collect())
+
+
+def test_whole_query_against_brute_force(spark):
+    folder = "/root/testdata/sf0.01"
+    texts = {r.doc_id: (r.text or "", r.source) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    owners, repositories = {}, {}
+    for i, (text, source) in texts.items():
+        for a, b in scan(text)[1]:
+            owners.setdefault(text[a:b], set()).add(source)
+            repositories.setdefault(text[a:b], set()).add(i)
+    kinds = ["assign", "access", "hex", "provider", "live", "example"]
+    seen = 0
+    for r in queries.QUERIES["op4_ownership_secrets"](spark, folder).collect():
+        text = texts[r.doc_id][0]
+        base = brute(text)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for _, k, _ in base) for kind in range(3))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+        spans = list(scan(text)[0])
+        for a, b in scan(text)[1]:
+            value = text[a:b]
+            if len(owners[value] - {None}) >= 3 or len(repositories[value]) >= 100:
+                spans.append((a, 5, b))
+            elif looks_random(value):
+                spans.append((a, 4, b))
+        assert r.spans == ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        seen += bool(spans)
+    assert seen > 5
