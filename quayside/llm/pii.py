@@ -4,12 +4,19 @@ Entities are found in every text and normalised; one entity has one surrogate ov
 corpus (coreference), two entities of a type never share one (distinctness), and no surrogate is an
 entity that occurs.  Surrogates come from a keyed hash and keep type, gender, script and format.
 They are drawn for distinct entities only; those that collide are drawn again until none does.
+
+A person is introduced by a title or a phrase ("my name is").  Given names and the family name have
+surrogates of their own, so "Mrs Anna Keller", "Dr Anna Keller", "Mrs Keller" and the bare "Anna
+Keller", "Keller" or "Anna" later in that text stay one person.  A title is no part of the identity:
+the gender of a given name is what most of its titles in the corpus say.  A person that its text
+never introduces is not found, and the last of several names counts as the family name.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -17,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, texts_of, written
+from .shared import join_counted, slices, texts_of, written
 
 # Fixed patterns, by type, in the order in which overlapping finds are settled.
 EMAIL = re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+")
@@ -26,7 +33,12 @@ IP = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)")
 SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 CARD = re.compile(r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])")
 PHONE = re.compile(r"(?<![\d.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\d-])|(?<![\d.-])\+\d{8,14}(?!\d)")
-PERSON = re.compile(r"\b(Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Г-н|Г-жа)\.?[ ]((?:[^\W\d_][\w'’-]*)(?:[ ](?:[^\W\d_][\w'’-]*))?)")
+IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
+_NAME = r"[^\W\d_](?:[\w-]|['’](?!s\b))*"
+_NAMES = rf"({_NAME}(?:[ ]{_NAME}){{0,2}})"
+TITLED = re.compile(rf"\b(Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Г-н|Г-жа)\.?[ ]{_NAMES}")
+NAMED = re.compile(rf"\b(?:[Mm]y name is|[Nn]ame:|[Cc]ontact:|[Ss]igned,|[Rr]egards,)\s{{1,2}}{_NAMES}")
+WORD = re.compile(_NAME)
 #: Fixed: titles that tell a gender.
 MALE = {"Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н"}
 FEMALE = {"Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа"}
@@ -41,11 +53,11 @@ GIVEN = {
 SYLLABLES = {"latin": "ba be da do fe ga ho ka la le ma mo na no pe ra ri sa te va".split(), "cyrillic": "ба ве га до ка ла ма но па ра са та".split()}
 #: Fixed: character ranges a keyed substitution stays inside of.
 RANGES = ("az", "AZ", "09", "àö", "øÿ", "ÀÖ", "ØÞ", "ая", "АЯ", "αω", "一鿋", "ぁん", "ァン")
-TYPES = ("email", "iban", "ip", "ssn", "card", "phone", "person")
+TYPES = ("email", "iban", "ip", "ip6", "ssn", "card", "phone", "given", "family")
 ROUNDS = 40
 
-FOUND = "doc_id long, text string, entities array<struct<type:string,norm:string,start:long,end:long>>"
-ENTITY = pa.struct([("type", pa.string()), ("norm", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+FOUND = "doc_id long, text string, entities array<struct<type:string,norm:string,start:long,end:long,gender:string>>"
+ENTITY = pa.struct([("type", pa.string()), ("norm", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("gender", pa.string())])
 
 
 # --- finding ---------------------------------------------------------------------------------
@@ -60,18 +72,44 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def find_entities(text: str) -> list[tuple[str, str, int, int]]:
-    """(type, normal form, start, end), not overlapping, in order.  Positions are code points."""
-    found: list[tuple[int, int, str, str]] = []
-
-    def add(kind: str, norm: str, start: int, end: int) -> None:
-        found.append((start, end, kind, norm))
+def find_people(text: str) -> dict[tuple[int, int], tuple[str, str, str]]:
+    """(start, end) of every name of a person to (given or family, normal form, gender by its title)."""
+    found: dict[tuple[int, int], tuple[str, str, str]] = {}
+    introduced = [(m[2], m.start(2), "m" if m[1] in MALE else "f" if m[1] in FEMALE else "n", 1) for m in TITLED.finditer(text)]
+    introduced += [(m[1], m.start(1), "n", 2) for m in NAMED.finditer(text)]
+    given, family = set(), set()
+    for names, start, gender, least in introduced:
+        words = []
+        for m in WORD.finditer(names):
+            if not m[0][0].isupper():
+                break
+            words.append(m)
+        if len(words) < least:
+            continue
+        for k, m in enumerate(words):
+            kind = "family" if k == len(words) - 1 else "given"
+            (family if kind == "family" else given).add(m[0].casefold())
+            found[start + m.start(), start + m.end()] = (kind, m[0].casefold(), gender if kind == "given" and k == 0 else "n")
+    if found:
+        for m in WORD.finditer(text):
+            word = m[0].casefold()
+            if m.span() not in found and m[0][0].isupper() and (word in family or word in given):
+                found[m.span()] = ("family" if word in family else "given", word, "n")
+    return found
+
+
+def find_entities(text: str) -> list[tuple[str, str, int, int, str]]:
+    """(type, normal form, start, end, gender), not overlapping, in order.  Positions are code points."""
+    found: list[tuple[int, int, str, str, str]] = []
+
+    def add(kind: str, norm: str, start: int, end: int, gender: str = "n") -> None:
+        found.append((start, end, kind, norm, gender))
 
     at = text.find("@")
     while at >= 0:
-        # only the word around the @ is looked at
+        # only the word around the @ is looked at; words hold no @, so no part is walked twice
         first = at
-        while first and at - first < 256 and (text[first - 1].isalnum() or text[first - 1] in "_.+%-"):
+        while first and (text[first - 1].isalnum() or text[first - 1] in "_.+%-"):
             first -= 1
         if m := EMAIL.match(text, first):
             add("email", m[0].casefold(), *m.span())
@@ -88,15 +126,20 @@ def find_entities(text: str) -> list[tuple[str, str, int, int]]:
             add("card", _digits(m[0]), *m.span())
         for m in PHONE.finditer(text):
             add("phone", _digits(m[0]), *m.span())
-    for m in PERSON.finditer(text):
-        if m[2][0].isupper():
-            gender = "m" if m[1] in MALE else "f" if m[1] in FEMALE else "n"
-            name = m[2] if all(w[0].isupper() for w in m[2].split(" ")) else m[2].split(" ")[0]
-            add("person", f"{gender}:{name.casefold()}", m.start(2), m.start(2) + len(name))
+    if "::" in text or text.count(":") > 6:
+        for m in IP6.finditer(text):
+            if not any(map(str.isdigit, m[0])):
+                continue  # a::b is a name in code, more likely
+            try:
+                add("ip6", ipaddress.IPv6Address(m[0]).exploded, *m.span())
+            except ValueError:
+                pass  # a time or the like
+    for (start, end), what in find_people(text).items():
+        add(what[0], what[1], start, end, what[2])
     out, end = [], 0
-    for start, stop, kind, norm in sorted(found, key=lambda x: (x[0], TYPES.index(x[2]), -x[1])):
+    for start, stop, kind, norm, gender in sorted(found, key=lambda x: (x[0], TYPES.index(x[2]), -x[1])):
         if start >= end:
-            out.append((kind, norm, start, stop))
+            out.append((kind, norm, start, stop, gender))
             end = stop
     return out
 
@@ -130,8 +173,8 @@ def substituted(text: str, draw: Keyed) -> str:
     return "".join(out)
 
 
-def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
-    """The normal form of the entity's surrogate."""
+def surrogate(kind: str, norm: str, attempt: int, key: bytes, gender: str = "n") -> str:
+    """The normal form of the entity's surrogate.  With every attempt there are more to draw from."""
     draw = Keyed(key, kind, norm, str(attempt))
     if kind == "email":
         local, _, domain = norm.rpartition("@")
@@ -152,15 +195,16 @@ def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
         return norm[:keep] + "".join(str(2 + draw.below(8)) if i in (0, 3) else str(draw.below(10)) for i in range(len(norm) - keep))
     if kind == "ssn":
         return substituted(norm, draw)
-    gender, _, name = norm.partition(":")
-    script = "cyrillic" if any("а" <= c <= "я" for c in name) else "latin" if name.isascii() or any("a" <= c <= "z" for c in name) else ""
+    if kind == "ip6":
+        return ":".join("".join("0123456789abcdef"[draw.below(16)] for _ in range(4)) for _ in range(8))
+    script = "cyrillic" if any("а" <= c <= "я" for c in norm) else "latin" if any("a" <= c <= "z" for c in norm) else ""
     if not script:
-        return gender + ":" + substituted(name, draw)
-    pool = GIVEN[script, gender] if gender in "mf" else GIVEN[script, "m"] + GIVEN[script, "f"]
-    family = lambda: "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(3 + min(attempt, 3)))
-    parts = name.split(" ")
-    drawn = [family()] if len(parts) == 1 else [pool[draw.below(len(pool))].casefold(), family()]
-    return gender + ":" + " ".join(drawn)
+        return substituted(norm, draw)
+    syllables = lambda n: "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(n))
+    if kind == "family":
+        return syllables(3 + min(attempt, 3))
+    pool = GIVEN[script, gender] if gender in ("m", "f") else GIVEN[script, "m"] + GIVEN[script, "f"]
+    return pool[draw.below(len(pool))].casefold() + syllables(min(attempt, 4))
 
 
 def dressed(kind: str, surface: str, norm: str) -> str:
@@ -172,10 +216,11 @@ def dressed(kind: str, surface: str, norm: str) -> str:
         if len(norm) == len(surface):
             return "".join(n.upper() if c.isupper() and len(n.upper()) == 1 else n for c, n in zip(surface, norm, strict=True))
         return norm
-    if kind == "person":
-        name = norm.partition(":")[2]
-        words = [w[:1].upper() + w[1:] for w in name.split(" ")]
-        return " ".join(words).upper() if len(surface) > 1 and surface.isupper() else " ".join(words)
+    if kind in ("given", "family"):
+        return norm.upper() if len(surface) > 1 and surface.isupper() else norm[:1].upper() + norm[1:]
+    if kind == "ip6":
+        short = ipaddress.IPv6Address(norm).compressed
+        return short.upper() if surface.isupper() else short
     return norm
 
 
@@ -188,24 +233,28 @@ def _detected(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = texts_of(batch)
-            entities = [[{"type": t, "norm": n, "start": s, "end": e} for t, n, s, e in find_entities(text)] for text in texts]
+            entities = [[{"type": t, "norm": n, "start": s, "end": e, "gender": g} for t, n, s, e, g in find_entities(text)] for text in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(entities, pa.list_(ENTITY))], ["doc_id", "text", "entities"])
 
     return rows.mapInArrow(run, FOUND)
 
 
 def draw_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
-    """type, norm, surrogate for distinct entities (type, norm): surrogates of a type are distinct and
-    none is an entity of its type."""
+    """type, norm, surrogate for distinct entities (type, norm, gender): surrogates of a type are distinct
+    and none is an entity of its type.
+
+    Neither null types nor null norms may occur; an empty table gives none; further columns are not
+    looked at.  Of entities that drew the same the one with the smallest norm keeps it.
+    """
 
     def drawn(rows: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                columns = [batch.column(c).to_pylist() for c in ("type", "norm", "attempt")]
-                made = [surrogate(t, n, a, key) for t, n, a in zip(*columns, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("type", "norm", "attempt")), pa.array(made, pa.string())], ["type", "norm", "attempt", "surrogate"])
+                columns = [batch.column(c).to_pylist() for c in ("type", "norm", "attempt", "gender")]
+                made = [surrogate(t, n, a, key, g) for t, n, a, g in zip(*columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("type", "norm", "attempt", "gender")), pa.array(made, pa.string())], ["type", "norm", "attempt", "gender", "surrogate"])
 
-        return rows.select("type", "norm", "attempt").mapInArrow(run, "type string, norm string, attempt int, surrogate string")
+        return rows.select("type", "norm", "attempt", "gender").mapInArrow(run, "type string, norm string, attempt int, gender string, surrogate string")
 
     real = entities.select("type", F.col("norm").alias("surrogate"))
     table = written(drawn(entities.withColumn("attempt", F.lit(0))), "surrogates")
@@ -226,15 +275,17 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
 
     spans lists type:start:end of what was replaced, in the text as it was.  Null texts count as
     empty, null ids stay, repeated rows give repeated results, an empty table gives no rows and
-    further columns are not looked at.  Only texts with entities are copied and joined.
+    further columns are not looked at.  Texts are searched once; only those with entities are joined.
     """
-    rows = _detected(docs)
-    some = written(rows.filter(F.size("entities") > 0).withColumn("row", F.monotonically_increasing_id()), "pii-rows")
+    rows = written(_detected(docs).withColumn("row", F.monotonically_increasing_id()), "pii-rows")
+    some = rows.filter(F.size("entities") > 0)
     # joins on the row number and the entity, never on text
-    each = some.select("row", F.posexplode("entities").alias("at", "e")).select("row", "at", "e.type", "e.norm")
-    distinct = written(each.select("type", "norm").distinct(), "pii-entities")
-    table = draw_surrogates(distinct, key)
-    mapped = each.join(table, ["type", "norm"]).select("row", "at", "surrogate")
+    each = some.select("row", F.posexplode("entities").alias("at", "e")).select("row", "at", "e.type", "e.norm", "e.gender")
+    vote = lambda g: F.sum((F.col("gender") == g).cast("long"))
+    gender = F.when(vote("m") > vote("f"), "m").when(vote("f") > vote("m"), "f").otherwise("n").alias("gender")
+    distinct = written(each.groupBy("type", "norm").agg(F.count("*").alias("many"), gender), "pii-entities")
+    table = draw_surrogates(distinct, key).join(distinct.select("type", "norm", "many"), ["type", "norm"])
+    mapped = join_counted(each, written(table, "surrogate-table"), ["type", "norm"]).select("row", "at", "surrogate")
     lists = mapped.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "surrogate"))), lambda x: x["surrogate"]).alias("surrogates"))
     of = lambda k: F.size(F.filter("entities", lambda e: e["type"] == k)).cast("long").alias(f"n_{k}")
     counts = [of(k) for k in TYPES]
@@ -252,6 +303,6 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
                 out.append("".join([*parts, text[at:]]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string()), batch.column("entities")], ["doc_id", "text", "entities"])
 
-    changed = some.join(lists, "row").select("doc_id", "text", "entities", "surrogates").mapInArrow(run, "doc_id long, text string, entities array<struct<type:string,norm:string,start:long,end:long>>")
+    changed = some.join(lists, "row").select("doc_id", "text", "entities", "surrogates").mapInArrow(run, FOUND)
     untouched = rows.filter(F.size("entities") == 0).select("doc_id", "text", "entities")
     return changed.unionByName(untouched).select("doc_id", "text", n, *counts, spans)
