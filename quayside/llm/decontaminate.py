@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import slices, texts_of
+from .shared import free_name, slices, texts_of, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -32,6 +32,8 @@ RADIUS = 19
 BLOCKS, NEAR = (13, 13, 13, 13, 12), 3
 #: Items and characters of one pass over the documents, which bound what is sent to the tasks.
 PASS_ITEMS, PASS_CHARS = 1000, 2_000_000
+#: Passes of one stage, whose indexes the tasks hold together.
+PASSES = 4
 FILTER_BITS = 20
 _WORD = re.compile(r"\w+")
 HIT = T.ArrayType(
@@ -192,14 +194,23 @@ def benchmark_passes(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
         yield sorted((r.item_id, r.text) for r in part.collect())
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, column: str = "hits") -> DataFrame:
+def with_hits(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, column: str = "hits", clean_only: bool = False) -> DataFrame:
     """docs with all its columns and the items each text holds: array of item_id, similarity, start, end (words).
 
-    One pass over the texts per bounded part of the benchmark, all in one stage and without a shuffle.
+    One pass over the texts per bounded part of the benchmark, PASSES of them in one stage and
+    without a shuffle.  A larger benchmark goes on over a written table, and the indexes of the
+    stage before are freed, so what tasks hold doesn't grow with it.  With `clean_only` texts with
+    hits leave on the way.
     """
-    out = docs.withColumn(column, F.array().cast(HIT))
+    out, sent = docs.withColumn(column, F.array().cast(HIT)), []
     for items in benchmark_passes(benchmark):
+        if len(sent) == PASSES:
+            out = written(out, "benchmark-hits")
+            for old in sent:
+                old.destroy()
+            sent = []
         index = docs.sparkSession.sparkContext.broadcast(ItemIndex(items, similarity))
+        sent.append(index)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, 200):
@@ -210,6 +221,8 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILAR
                 yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
         out = out.mapInArrow(run, out.schema)
+        if clean_only:
+            out = out.filter(F.size(column) == 0)
     return out
 
 
@@ -227,6 +240,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    column = "quayside_hits"
-    return with_hits(docs, benchmark, similarity, column).filter(F.size(column) == 0).drop(column)
+    """The documents that hold no benchmark item, with all their columns, whatever their names.
+
+    Null and empty texts hold nothing and stay; repeated rows and ties are judged alike; an empty
+    benchmark leaves all rows, an empty table gives none.
+    """
+    column = free_name(docs, "quayside_hits")
+    return with_hits(docs, benchmark, similarity, column, clean_only=True).drop(column)

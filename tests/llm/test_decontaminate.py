@@ -57,6 +57,14 @@ def test_passes_of_the_benchmark(spark, monkeypatch):
     want = find_contamination(docs, bench).first().item_ids
     monkeypatch.setattr(module, "PASS_ITEMS", 3)
     assert sorted(find_contamination(docs, bench).first().item_ids) == sorted(want) == [1, 5]
+    monkeypatch.setattr(module, "PASSES", 1)  # a stage and a written table per pass
+    assert sorted(find_contamination(docs, bench).first().item_ids) == [1, 5]
+    assert decontaminated(docs, bench).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    odd = spark.createDataFrame([(1, prose(1, 50), "a", "b")], "doc_id long, text string, quayside_hits string, hits string")
+    assert decontaminated(odd, items(spark)).collect() == odd.collect()
 
 
 def test_stage_and_empty_tables(spark, docs, no_docs):
