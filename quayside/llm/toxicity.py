@@ -1,11 +1,13 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and word beginnings.  The terms that tell the classes of labelled rows apart best
-(chi squared) make the vocabulary; their document frequencies are counted over the whole corpus.  A
-bounded set of labelled examples goes into an inverted index whose lists know the largest weight in
-each block of examples.  For every text, blocks are opened in the order of their upper bounds until
-none left can hold one of the k nearest, so the neighbours are exact.  Their labels vote, weighted
-by similarity; the vote is calibrated on left-out examples; neighbours are returned as evidence.
+Terms are words and word beginnings, and of what runs on without white space its parts.  All terms
+that tell the classes of the labelled sample apart (chi squared beyond chance) make the vocabulary;
+their document frequencies are counted over the whole corpus.  A bounded set of labelled examples
+goes into an inverted index whose lists are cut into blocks of examples and know the largest weight
+in each.  For every text, blocks are opened in the order of their upper bounds until none left can
+hold one of the k nearest, and only the postings of opened blocks are read, so the neighbours are
+exact.  Their labels vote, weighted by similarity; the vote is calibrated on left-out examples;
+neighbours are returned as evidence.
 """
 
 from __future__ import annotations
@@ -26,12 +28,14 @@ from .shared import slices, texts_of, written
 MAX_LABELLED = 20_000
 #: Examples of each class in the index, at most.
 MAX_EXAMPLES = 2048
-VOCABULARY = 2048
+#: A term has to be in so many labelled rows: of fewer, no test can say what they tell.
 MIN_ROWS = 5
 NEIGHBOURS = 24
 BLOCK = 64
 #: Weight of the term that every text has: texts without telling terms are near each other.
 COMMON = 1.0
+#: What is longer than a word can be is cut into all its parts of this length.
+LONGEST, PART = 64, 5
 #: Fixed: lengths of the word beginnings that count as terms.
 BEGINNINGS = (4, 5, 6, 7)
 _EDGE = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "«»“”„‘’…–—¿¡"
@@ -40,8 +44,10 @@ _EDGE = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range
 def terms_of(chunk: str) -> tuple[str, ...]:
     """The terms of what stands between white space: the bare word, and its beginnings with a *."""
     word = chunk.lower().strip(_EDGE)
-    if not word or len(word) > 64:
+    if not word:
         return ()
+    if len(word) > LONGEST:  # no word: all its parts of one length
+        return tuple("~" + word[k : k + PART] for k in range(len(word) - PART + 1))
     return (word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n))
 
 
@@ -68,7 +74,9 @@ class Vectors:
         for chunk, n in chunks.items():
             at = known.get(chunk)
             if at is None:
-                at = known[chunk] = tuple(place[t] for t in terms_of(chunk) if t in place)
+                at = tuple(place[t] for t in terms_of(chunk) if t in place)
+                if len(chunk) <= LONGEST:
+                    known[chunk] = at
             for i in at:
                 found[i] = found.get(i, 0) + n
         return found, chunks.total()
@@ -85,21 +93,46 @@ class Vectors:
 
 
 class BlockMaxIndex:
-    """Examples by term, with the largest weight of each term in each block of examples."""
+    """Examples by block and term, with the largest weight of each term in each block of examples.
+
+    Terms are counted up to `terms`; the last one is that of all texts.  It has no postings: its
+    share of a cosine is a constant per example, with a largest one per block.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, terms: int):
         # alike examples share blocks, so that bounds of other blocks are low
         order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, int(labels[i]), i))
-        self.labels, self.ids, self.n = labels[order].astype(float), ids[order], len(order)
-        rows = np.concatenate([np.full(len(vectors[i][0]), k) for k, i in enumerate(order)]) if order else np.zeros(0, np.int64)
+        self.labels, self.ids, self.n, self.terms = labels[order].astype(float), ids[order], len(order), terms
+        rows = np.concatenate([np.full(len(vectors[i][0]), k) for k, i in enumerate(order)]).astype(np.int64) if order else np.zeros(0, np.int64)
         at = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
         weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-        by = np.lexsort((rows, at))
-        self.rows, self.weights = rows[by].astype(np.int64), weight[by]
-        self.first = np.searchsorted(at[by], np.arange(terms + 1))
         self.blocks = -(-self.n // BLOCK)
+        self.common = np.zeros(self.n)
+        shared = at == terms - 1
+        self.common[rows[shared]] = weight[shared]
+        rows, at, weight = rows[~shared], at[~shared], weight[~shared]
         self.most = np.zeros((terms, self.blocks))
-        np.maximum.at(self.most, (at[by], self.rows // BLOCK), self.weights)
+        np.maximum.at(self.most, (at, rows // BLOCK), weight)
+        np.maximum.at(self.most[-1], np.arange(self.n) // BLOCK, self.common)
+        code = rows // BLOCK * terms + at  # a list is a block's part of a term
+        by = np.lexsort((rows, code))
+        self.rows, self.weights = rows[by], weight[by]
+        self.codes, first = np.unique(code[by], return_index=True)
+        self.first = np.append(first, len(by))
+
+    def _scores(self, opened: np.ndarray, at: np.ndarray, weight: np.ndarray, common: float) -> tuple[np.ndarray, np.ndarray]:
+        """The examples of these blocks and their cosines, from the blocks' postings alone."""
+        want = (opened[:, None] * self.terms + at).ravel()
+        place = np.searchsorted(self.codes, want)
+        there = place < len(self.codes)
+        there[there] = self.codes[place[there]] == want[there]
+        start, stop = self.first[place[there]], self.first[place[there] + 1]
+        many = stop - start
+        read = np.arange(int(many.sum())) + np.repeat(start - (np.cumsum(many) - many), many)
+        parts = np.repeat(np.tile(weight, len(opened))[there], many) * self.weights[read]
+        inside = (opened[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        inside = inside[inside < self.n]
+        return inside, np.bincount(self.rows[read], parts, self.n)[inside] + common * self.common[inside]
 
     def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples and their cosines, nearest first, ties by place; `but` is left out."""
@@ -107,10 +140,8 @@ class BlockMaxIndex:
         if not len(at) or not self.n:
             return np.zeros(0, np.int64), np.zeros(0)
         bound = weight @ self.most[at]
-        spans = [slice(self.first[t], self.first[t + 1]) for t in at.tolist()]
-        rows = np.concatenate([self.rows[s] for s in spans])
-        parts = np.concatenate([w * self.weights[s] for s, w in zip(spans, weight.tolist(), strict=True)])
-        block = rows // BLOCK
+        common = float(weight[-1]) if at[-1] == self.terms - 1 else 0.0
+        own = at < self.terms - 1
         order = np.argsort(-bound, kind="stable")
         done, best, similar = 0, np.zeros(0, np.int64), np.zeros(0)
         step = -(-2 * (k + 1) // BLOCK)
@@ -120,14 +151,9 @@ class BlockMaxIndex:
             opened = opened[bound[opened] > 0] if len(similar) < k else opened[bound[opened] >= floor - 1e-12]
             if not len(opened):
                 break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[opened] = True
-            inside = chosen[block]
-            score = np.bincount(rows[inside], parts[inside], self.n)
-            if 0 <= but < self.n:
-                score[but] = 0
-            new = np.flatnonzero(score)
-            best, similar = np.append(best, new), np.append(similar, score[new])
+            new, score = self._scores(opened, at[own], weight[own], common)
+            some = (score > 0) & (new != but)
+            best, similar = np.append(best, new[some]), np.append(similar, score[some])
             top = np.lexsort((best, -np.round(similar, 12)))[:k]
             best, similar = best[top], similar[top]
             done, step = done + step, step * 4
@@ -204,10 +230,11 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `most` rows
 
 
-def choose_terms(rows: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The terms with the largest chi squared between the classes, by the number of rows that have them.
+def choose_terms(rows: DataFrame) -> list[str]:
+    """All terms whose chi squared between the classes, by the number of rows that have them, is beyond chance.
 
-    Of m terms that tell nothing, chance alone lifts about one over 2 ln m; terms below that are left out.
+    Of m terms that tell nothing, chance alone lifts about one over 2 ln m; terms below that are left
+    out.  How many there are is bounded by what MAX_LABELLED rows hold.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +262,7 @@ def choose_terms(rows: DataFrame, size: int = VOCABULARY) -> list[str]:
     gap = a * (calm - b) - b * (toxic - a)
     chi = n * gap * gap / ((a + b) * (n - a - b + 1e-9) * calm * toxic)
     rated = written(counts.filter(a + b >= MIN_ROWS).select("term", chi.alias("chi")), "rated-terms")
-    best = rated.filter(F.col("chi") > 2 * math.log(max(rated.count(), 1))).orderBy(F.desc("chi"), "term").limit(size)
+    best = rated.filter(F.col("chi") > 2 * math.log(max(rated.count(), 1))).orderBy(F.desc("chi"), "term")
     return [r.term for r in best.select("term").collect()]
 
 

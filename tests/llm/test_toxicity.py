@@ -2,7 +2,7 @@ import random
 import zlib
 
 import numpy as np
-from quayside.llm.toxicity import BlockMaxIndex, score_toxicity
+from quayside.llm.toxicity import BlockMaxIndex, calibrated, fit, score_toxicity, terms_of
 
 from .conftest import SCHEMA, prose
 
@@ -42,6 +42,45 @@ def test_neighbours_are_exact():
         assert np.allclose(similar, want)
 
 
+def test_blocks_that_cannot_win_are_not_read(monkeypatch):
+    n = 640
+    vectors = [(np.array([i // 64, 10]), np.array([0.98, 0.2])) for i in range(n)]
+    index = BlockMaxIndex(vectors, np.arange(n) % 2, np.arange(n), 11)
+    read = []
+    whole = BlockMaxIndex._scores
+    monkeypatch.setattr(BlockMaxIndex, "_scores", lambda self, opened, *rest: read.extend(opened) or whole(self, opened, *rest))
+    best, similar = index.nearest(vectors[70], 24)
+    assert len(read) == 1 and np.allclose(similar, 0.98**2 + 0.2**2) and list(best) == sorted(best)  # ties by place
+
+
+def test_query_against_brute_force(spark):
+    docs, labels = corpus(spark)
+    docs = docs.unionByName(docs.limit(0)).unionByName(spark.createDataFrame([(1000, " ".join(prose(k) for k in range(300)) + " you moron", *[None] * 7), (1001, "x" * 300, *[None] * 7)], SCHEMA))
+    model = fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    size = len(model.vectors.idf) + 1
+
+    def dense(i):
+        at, weight = model.vectors.vector(texts[i])
+        out = np.zeros(size)
+        out[at] = weight
+        return out
+
+    examples = np.array([dense(int(i)) for i in model.index.ids])
+    for r in score_toxicity(docs, labels).collect():
+        cosines = examples @ dense(r.doc_id)
+        order = np.lexsort((np.arange(len(cosines)), -np.round(cosines, 12)))[:24]
+        assert np.allclose([e.cosine for e in r.evidence], cosines[order][:3])
+        weight = 1 / (1.02 - np.minimum(cosines[order], 1.0))
+        vote = (weight * model.index.labels[order]).sum() / weight.sum()
+        assert abs(r.score - calibrated(vote, model.slope, model.offset)) < 1e-9
+
+
+def test_unspaced_text_and_long_words_are_read():
+    assert "~scum!"[:5] == "~scum" and any("scum" in t for t in terms_of("a" * 90 + "scum" + "b" * 90))
+    assert terms_of("Trash!")[0] == "trash" and terms_of("...") == ()
+
+
 def test_awkward_rows(spark, docs, no_docs):
     _, labels = corpus(spark)
     assert score_toxicity(docs, labels).count() == docs.count()
