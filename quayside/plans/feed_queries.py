@@ -216,16 +216,23 @@ _FUND = f"(regexp_matches(bare, '{classify.FUNDRAISER}') OR (regexp_matches(bare
 _TEXT = "lower(concat_ws(' ', title, description))"
 
 
-@query(
-    f"""SELECT title, description, source, assessed, CASE WHEN assessed IN ('announcement', 'uncertain') THEN 'other'
-      WHEN assessed IS NULL AND regexp_matches(lower(title), '{classify.NOTICE}') AND NOT regexp_matches(lower(title), '{classify.OCCASION}') THEN 'other'
+BARE_SQL = f"regexp_replace(regexp_replace({_TEXT}, '{classify.FUNDRAISING_ROLE}', ' ', 'g'), '{classify.BLOOD_DRIVE}', ' ', 'g')"
+
+
+def kind_sql(assessed: str) -> str:
+    """The kind of a row with title, description, source and bare (BARE_SQL), in SQL."""
+    return f"""CASE WHEN {assessed} IN ('announcement', 'uncertain') THEN 'other'
+      WHEN {assessed} IS NULL AND regexp_matches(lower(title), '{classify.NOTICE}') AND NOT regexp_matches(lower(title), '{classify.OCCASION}') THEN 'other'
       WHEN {_FUND} THEN 'fundraiser' WHEN source NOT IN ('instagram', 'manual') AND NOT regexp_matches({_TEXT}, '{classify.STUDENT}') THEN 'other'
-      WHEN assessed = 'activity' AND regexp_matches(lower(title), '{classify.DEADLINE}') THEN 'student_deadline'
-      WHEN assessed = 'activity' THEN 'student_event' WHEN assessed = 'deadline' THEN 'student_deadline' WHEN assessed = 'application' THEN 'student_application' WHEN assessed IS NOT NULL THEN 'other'
+      WHEN {assessed} = 'activity' AND regexp_matches(lower(title), '{classify.DEADLINE}') THEN 'student_deadline'
+      WHEN {assessed} = 'activity' THEN 'student_event' WHEN {assessed} = 'deadline' THEN 'student_deadline' WHEN {assessed} = 'application' THEN 'student_application' WHEN {assessed} IS NOT NULL THEN 'other'
       WHEN regexp_matches(lower(title), '{classify.DEADLINE}') THEN 'student_deadline'
       WHEN NOT regexp_matches(lower(title), '{classify.OCCASION}') AND ((regexp_matches({_TEXT}, '{classify.APPLY}') AND regexp_matches({_TEXT}, '{classify.PROGRAM}')) OR regexp_matches({_TEXT}, '{classify.COMMITMENT}')) THEN 'student_application'
-      ELSE 'student_event' END AS kind
-      FROM (SELECT *, regexp_replace(regexp_replace({_TEXT}, '{classify.FUNDRAISING_ROLE}', ' ', 'g'), '{classify.BLOOD_DRIVE}', ' ', 'g') AS bare
+      ELSE 'student_event' END"""
+
+
+@query(
+    f"""SELECT title, description, source, assessed, {kind_sql('assessed')} AS kind FROM (SELECT *, {BARE_SQL} AS bare
         FROM (SELECT DISTINCT title, description, source, CASE WHEN k % 5 < 4 THEN {['activity', 'deadline', 'application', 'uncertain']}[k % 5 + 1] END AS assessed FROM listings))"""
 )
 def content_kind(spark, folder):
