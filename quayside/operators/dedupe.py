@@ -66,10 +66,19 @@ def deadline_band(rows: DataFrame, days: int = 32) -> DataFrame:
     return left.join(right, ["host_handle", "bin"]).filter((F.col("l_id") < F.col("r_id")) & (F.abs(F.col("l_number") - F.col("r_number")) <= days))
 
 
+def blocked_pair_counts(rows: DataFrame) -> DataFrame:
+    """How many pairs each kind and day has, without making one."""
+    counted = rows.filter("content_kind <> 'other'").groupBy("content_kind", "day").agg(F.count("*").alias("n"))
+    return counted.filter("n > 1").select("content_kind", "day", F.expr("n * (n - 1) DIV 2").alias("pairs"))
+
+
 def close_starts(rows: DataFrame, key: list[str], seconds: int = 900) -> DataFrame:
-    """Pairs with equal keys that start up to `seconds` apart, but not at once."""
-    gap = F.abs(F.unix_timestamp(F.col("l_starts_at").cast("timestamp")) - F.unix_timestamp(F.col("r_starts_at").cast("timestamp")))
-    return _side(rows, "l", *key).join(_side(rows, "r", *key), key).withColumn("gap", gap).filter((F.col("l_id") < F.col("r_id")) & F.col("gap").between(1, seconds))
+    """Pairs with equal keys that start up to `seconds` apart, but not at once: an equi join on key and bin, each row also in the bins beside its own."""
+    timed = rows.withColumn("second", F.unix_timestamp(F.col("starts_at").cast("timestamp")))
+    own = F.floor(F.col("second") / seconds)
+    left = _side(timed.withColumn("bin", F.explode(F.array(own - 1, own, own + 1))), "l", *key, "bin")
+    right = _side(timed.withColumn("bin", own), "r", *key, "bin")
+    return left.join(right, [*key, "bin"]).withColumn("gap", F.abs(F.col("l_second") - F.col("r_second"))).filter((F.col("l_id") < F.col("r_id")) & F.col("gap").between(1, seconds))
 
 
 PLACE_NOISE = ["room", "the", "building", "at", "in", "ucr", "hall"]
@@ -131,13 +140,48 @@ def same_event(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("verdict", verdict.otherwise(F.lit(False))).withColumn("rule", rule.otherwise(F.lit("none")))
 
 
-def review_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs for a person to look at: one kind and day, the later starts before the earlier ends, two title words in common."""
-    pairs = blocked_pairs(rows)
+def review_pairs(rows: DataFrame, least: int = 2) -> DataFrame:
+    """Pairs for a person to look at: one kind and day, the later starts before the earlier ends, `least` title words in common.
+
+    Titles meet by a word of their day: of two with `least` words in common one is shared besides the
+    least - 1 most used words of either, so those are no keys, and a day's pairs are never all made.
+    """
+    live = rows.filter("content_kind <> 'other'").withColumn("words", texts.words(F.col("title")))
+    named = live.select("id", "content_kind", "day", F.explode("words").alias("word"))
+    used = named.groupBy("content_kind", "day", "word").agg(F.count("*").alias("n"))
+    ranked = named.join(used, ["content_kind", "day", "word"]).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "word")))
+    keys = ranked.filter(F.col("rank") >= least).select("id", "content_kind", "day", "word")
+    left, right = keys.withColumnRenamed("id", "l_id"), keys.withColumnRenamed("id", "r_id")
+    pairs = left.join(right, ["content_kind", "day", "word"]).filter("l_id < r_id").select("l_id", "r_id").distinct()
+    end = lambda side: live.select(*(F.col(c).alias(f"{side}_{c}") for c in live.columns))
+    met = pairs.join(end("l"), "l_id").join(end("r"), "r_id")
     ends = F.coalesce("l_ends_at", "l_starts_at"), F.coalesce("r_ends_at", "r_starts_at")
     overlap = (F.col("l_starts_at") <= ends[1]) & (F.col("r_starts_at") <= ends[0])
-    common = F.size(F.array_intersect(texts.words(F.col("l_title")), texts.words(F.col("r_title"))))
-    return pairs.filter(overlap).withColumn("common", common).filter("common >= 2")
+    return met.filter(overlap).withColumn("common", F.size(F.array_intersect("l_words", "r_words"))).filter(F.col("common") >= least)
+
+
+def shingle_classes(rows: DataFrame, key: str, text: str, words: int = 3) -> DataFrame:
+    """key, shingles (hashes, sorted), class: the smallest key of those with equal shingle sets; rows without shingles are left out."""
+    sets = rows.select(key, F.array_sort(F.transform(texts.word_shingles(F.col(text), words), lambda s: F.xxhash64(s))).alias("shingles")).filter(F.size("shingles") > 0)
+    firsts = sets.groupBy("shingles").agg(F.min(key).alias("class"))
+    return sets.join(firsts, "shingles")
+
+
+def shingle_pairs(classes: DataFrame, key: str, least: int = 20) -> DataFrame:
+    """a, b, common: pairs of class representatives with `least` shingles or more in common, all of them.
+
+    An exact prefix filter: of two such sets one shingle is shared besides the least - 1 most frequent
+    ones of either, so what is in very many texts is no key of a text that has less of it.
+    """
+    sets = classes.filter(F.col(key) == F.col("class")).select("class", "shingles")
+    each = sets.select("class", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    ranked = each.join(often, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("n"), "shingle")))
+    keys = ranked.filter(F.col("rank") >= least).select("class", "shingle")
+    pairs = keys.withColumnRenamed("class", "a").join(keys.withColumnRenamed("class", "b"), "shingle").filter("a < b").select("a", "b").distinct()
+    side = lambda end: sets.select(F.col("class").alias(end), F.col("shingles").alias(f"of_{end}"))
+    common = F.size(F.array_intersect("of_a", "of_b")).cast("long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", common.alias("common")).filter(F.col("common") >= least)
 
 
 def word_rarity(rows: DataFrame) -> DataFrame:
@@ -192,12 +236,17 @@ def pair_score(pairs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root by contraction: nodes point at their smallest neighbour, edges move to what is pointed at."""
+    """node, root by contraction: nodes point at their smallest neighbour, pointers double until none
+    moves, and edges move to what is pointed at."""
     left = edges.select("a", "b").filter("a <> b").distinct().checkpoint()
     mapped: list[DataFrame] = []
     while left.limit(1).count():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("p")).checkpoint()
+        parent, moving = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("p")).checkpoint(), 1
+        while moving:
+            up = parent.select(F.col("node").alias("p"), F.col("p").alias("x"))
+            followed = parent.join(up, "p").select("node", F.col("x").alias("p"), (F.col("p") != F.col("x")).alias("moved")).checkpoint()
+            moving, parent = followed.filter("moved").limit(1).count(), followed.select("node", "p")
         mapped.append(parent)
         moved = left.join(parent.select(F.col("node").alias("a"), F.col("p").alias("x")), "a").join(parent.select(F.col("node").alias("b"), F.col("p").alias("y")), "b")
         left = moved.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().checkpoint()
@@ -291,12 +340,17 @@ def survivors(rows: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def follow(decisions: DataFrame, rounds: int = 20) -> DataFrame:
-    """old, new: merge decisions followed to their end; loops name nobody."""
-    found = decisions.select("old", "new")
-    for _ in range(rounds):
-        step = found.join(decisions.select(F.col("old").alias("new"), F.col("new").alias("next")), "new", "left")
-        found = step.select("old", F.coalesce("next", "new").alias("new")).checkpoint()
-        if not found.join(decisions.select(F.col("old").alias("new")), "new", "left_semi").limit(1).count():
+def follow(decisions: DataFrame) -> DataFrame:
+    """old, new: merge decisions (one per old id) followed to their end; what runs into a loop names nobody.
+
+    Pointers double every round, so a chain of n decisions takes log n rounds; what has not ended
+    after as many rounds as its number has bits runs in a loop.
+    """
+    known = decisions.filter("old IS NOT NULL AND new IS NOT NULL").select("old", "new").distinct().checkpoint()
+    found, olds = known, known.select(F.col("old").alias("new"))
+    for _ in range(known.count().bit_length() + 1):
+        if not found.join(olds, "new", "left_semi").limit(1).count():
             break
-    return found.join(decisions.select(F.col("old").alias("new")), "new", "left_anti").filter("old <> new").select("old", "new")
+        onward = found.select(F.col("old").alias("new"), F.col("new").alias("next"))
+        found = found.join(onward, "new", "left").select("old", F.coalesce("next", "new").alias("new")).checkpoint()
+    return found.join(olds, "new", "left_anti").filter("old <> new").select("old", "new")

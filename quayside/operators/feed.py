@@ -169,9 +169,8 @@ def calendar_grid(months: DataFrame) -> DataFrame:
 
 
 def by_day(listings: DataFrame) -> DataFrame:
-    """day, n, ids in feed order."""
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("sort_at", "id"))), lambda r: r["id"])
-    return listings.groupBy("day").agg(F.count("*").alias("n"), F.array_join(ids, ",").alias("ids"))
+    """listings with their place in the feed order of their day; a day's rows stay rows, however many there are."""
+    return listings.withColumn("place", F.row_number().over(Window.partitionBy("day").orderBy("sort_at", "id")))
 
 
 def merged_pages(loaded: DataFrame, fetched: DataFrame) -> DataFrame:

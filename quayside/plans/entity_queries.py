@@ -67,7 +67,7 @@ def tombstone_suppression(spark, folder):
 
 @query("SELECT content_kind, day, count(*) AS pairs FROM listings l JOIN listings r USING (content_kind, day) WHERE l.id < r.id AND content_kind <> 'other' GROUP BY 1, 2")
 def pair_blocking(spark, folder):
-    return dedupe.blocked_pairs(_rows(spark, folder).select("id", "content_kind", "day")).groupBy("content_kind", "day").agg(F.count("*").alias("pairs"))
+    return dedupe.blocked_pair_counts(_rows(spark, folder).select("id", "content_kind", "day"))
 
 
 _STOP = "['" + "', '".join(texts.STOP_WORDS) + "']"
@@ -107,19 +107,30 @@ def word_rarity(spark, folder):
 
 
 @query(
-    """WITH s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g
+    """WITH s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g
         FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents) WHERE len(w) >= 3),
-      rare AS (SELECT g FROM s GROUP BY g HAVING count(*) BETWEEN 2 AND 50), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b USING (g) JOIN rare USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2)
-      SELECT a, b, common FROM p WHERE common >= 20""",
+      c AS (SELECT min(doc_id) AS class, g FROM s GROUP BY g), e AS (SELECT class, unnest(g) AS x FROM c),
+      p AS (SELECT a.class AS a, b.class AS b, count(*) AS common FROM e a JOIN e b USING (x) WHERE a.class < b.class GROUP BY 1, 2)
+      SELECT a, b, common FROM p WHERE common >= 20 UNION ALL SELECT first, doc_id, NULL FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY g) AS first FROM s) WHERE doc_id <> first""",
     view=False,
 )
 def shingle_overlap(spark, folder):
-    """Pairs of documents with 20 or more three-word shingles in common; shingles of over 50 documents tell nothing and are left out by rule."""
-    grams = table(spark, folder, "documents").select("doc_id", F.explode(texts.word_shingles(F.col("text"))).alias("g"))
-    rare = grams.groupBy("g").agg(F.count("*").alias("n")).filter("n BETWEEN 2 AND 50").select("g")
-    kept = grams.join(rare, "g")
-    pairs = kept.select("g", F.col("doc_id").alias("a")).join(kept.select("g", F.col("doc_id").alias("b")), "g").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("common")).filter("common >= 20")
+    """Texts with 20 or more three-word shingles in common: pairs of representatives of equal sets, and the members of each set (common: null)."""
+    classes = dedupe.shingle_classes(table(spark, folder, "documents"), "doc_id", "text").checkpoint()
+    members = classes.filter("doc_id <> class").select(F.col("class").alias("a"), F.col("doc_id").alias("b"), F.lit(None).cast("long").alias("common"))
+    return dedupe.shingle_pairs(classes, "doc_id").unionByName(members)
+
+
+@query(
+    "SELECT 'n' || k AS old, 'n' || (k - k % 1000) AS new FROM listings WHERE k % 1000 BETWEEN 1 AND 899"
+)
+def followed_decisions(spark, folder):
+    """Chains of 899 decisions, each naming the key below, and loops of a hundred that name nobody."""
+    k = F.col("k")
+    rows = listings(spark, folder).filter("k % 1000 > 0")
+    chains = rows.filter("k % 1000 < 900").select(F.concat(F.lit("n"), k).alias("old"), F.concat(F.lit("n"), k - 1).alias("new"))
+    loops = rows.filter("k % 1000 >= 900").select(F.concat(F.lit("n"), k).alias("old"), F.concat(F.lit("n"), F.when(k % 1000 == 999, k - 99).otherwise(k + 1)).alias("new"))
+    return dedupe.follow(chains.unionByName(loops))
 
 
 def _pairs(spark, folder):

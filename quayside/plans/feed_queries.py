@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import classify, daylight, evidence, texts, times, urls
+from ..functions import classify, daylight, evidence, texts, times, urls, vocabulary
 from ..operators import feed
 from ..sources.listings import GROUPS, HOST_TYPES, MOVED, NOW, TODAY, VIEW_SQL, campus_sql, listings, utc_sql
 from ..sources.tables import table
@@ -111,9 +111,9 @@ def calendar_grid(spark, folder):
     return feed.calendar_grid(months)
 
 
-@query("SELECT day, count(*) AS n, string_agg(id, ',' ORDER BY sort_at, id) AS ids FROM listings WHERE content_kind = 'student_deadline' GROUP BY day")
+@query("SELECT day, id, row_number() OVER (PARTITION BY day ORDER BY sort_at, id) AS place FROM listings WHERE content_kind = 'student_deadline'")
 def day_groups(spark, folder):
-    return feed.by_day(_rows(spark, folder).filter("content_kind = 'student_deadline'"))
+    return feed.by_day(_rows(spark, folder).filter("content_kind = 'student_deadline'")).select("day", "id", F.col("place").cast("long").alias("place"))
 
 
 @query(f"SELECT CAST({campus_sql('ts')} AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", view=False)
@@ -137,11 +137,6 @@ def public_hosts(spark, folder):
     return listings(spark, folder).select("id", texts.byline(F.col("host_handles")).alias("byline"))
 
 
-@query("SELECT location, location IN ('Zoom', 'Online via Zoom link in bio', 'Discord: https://discord.gg/abc') AS online, count(*) AS n FROM listings GROUP BY 1, 2")
-def online_location(spark, folder):
-    return listings(spark, folder).groupBy("location", classify.is_online_only(F.col("location")).alias("online")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT id, starts_at, ends_at, sort_at FROM listings WHERE content_kind = 'student_deadline'")
 def sort_at_deadlines(spark, folder):
     return _rows(spark, folder).filter("content_kind = 'student_deadline'").select("id", "starts_at", "ends_at", "sort_at")
@@ -178,31 +173,30 @@ def media_key(spark, folder):
     return table(spark, folder, "pages").select("page_id", urls.media_key(F.col("url")).alias("media_key"))
 
 
-_CODE = "[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_', CAST((o_orderkey // {0}) % 64 AS INTEGER) + 1, 1)]"
-
-
-@query("SELECT o_orderkey, CAST(o_orderkey % 262144 AS BIGINT) AS media_id FROM orders", view=False)
+@query("SELECT o_orderkey, CAST(3000000000000000000 + CAST(o_orderkey AS HUGEINT) * 123456789 AS VARCHAR) AS media_id FROM orders", view=False)
 def shortcode_media_id(spark, folder):
-    letter = lambda d: F.substring(F.lit(urls.SHORTCODE), (F.floor(F.col("o_orderkey") / d) % 64 + 1).cast("int"), F.lit(1))
-    code = F.concat(letter(4096), letter(64), letter(1))
-    return table(spark, folder, "orders").select("o_orderkey", urls.shortcode_to_media_id(code).cast("long").alias("media_id"))
+    """Ids of nineteen digits, written in base 64 and read back."""
+    number = F.lit(3_000_000_000_000_000_000).cast("long") + F.col("o_orderkey") * 123_456_789
+    letters = (F.substring(F.lit(urls.SHORTCODE), (F.shiftrightunsigned(number, 6 * i).bitwiseAND(63) + 1).cast("int"), F.lit(1)) for i in reversed(range(11)))
+    code = F.concat(*letters)
+    return table(spark, folder, "orders").select("o_orderkey", urls.shortcode_to_media_id(code).cast("string").alias("media_id"))
 
 
 def _score_sql(category: str) -> str:
     parts = []
-    for phrases, (in_title, in_text) in classify.CONCEPTS[category]:
-        pattern = classify.concept_pattern(phrases).replace("'", "''")
+    for phrases, (in_title, in_text) in vocabulary.CONCEPTS[category]:
+        pattern = classify.whole_words(phrases).replace("'", "''")
         second = f" WHEN regexp_matches(lower(description), '{pattern}') THEN {in_text}" if in_text else ""
         parts.append(f"CASE WHEN regexp_matches(lower(title), '{pattern}') THEN {in_title}{second} ELSE 0 END")
-    spoken = [t for t, c in classify.HOST_TYPES.items() if c == category]
+    spoken = [t for t, c in vocabulary.HOST_TYPES.items() if c == category]
     if spoken:
         parts.append(f"CASE WHEN host_type = '{spoken[0]}' THEN 1 ELSE 0 END")
     return " + ".join(parts)
 
 
-_SCORES = ", ".join(f"{_score_sql(c)} AS s_{c}" for c in classify.CONCEPTS)
-_BEST = "greatest(" + ", ".join(f"s_{c}" for c in classify.CONCEPTS) + ")"
-_PICK = f"CASE WHEN {_BEST} < 2 THEN 'other' " + " ".join(f"WHEN s_{c} = {_BEST} THEN '{c}'" for c in classify.CONCEPTS) + " END"
+_SCORES = ", ".join(f"{_score_sql(c)} AS s_{c}" for c in vocabulary.PRIORITY)
+_BEST = "greatest(" + ", ".join(f"s_{c}" for c in vocabulary.PRIORITY) + ")"
+_PICK = f"CASE WHEN {_BEST} < 2 THEN 'other' " + " ".join(f"WHEN s_{c} = {_BEST} THEN '{c}'" for c in vocabulary.PRIORITY) + " END"
 
 
 @query(f"SELECT title, description, host_type, {_PICK} AS inferred FROM (SELECT *, {_SCORES} FROM (SELECT DISTINCT title, description, host_type FROM listings))")
@@ -241,13 +235,48 @@ def content_kind(spark, folder):
     return rows.withColumn("kind", classify.content_kind(F.col("source"), F.col("title"), F.col("description"), F.col("assessed")))
 
 
+_OFFERS = [
+    "Free pizza will be provided. RSVP today", "No food, but free tacos for members!", "Bring your own lunch. No registration needed", "Tickets $5, dinner included", "Dinner included!", "Refreshments not provided",
+    "Free hot coffee; sign-up is optional", "Pizza for sale, $2. Register here", "Snacks are provided at 6.30 pm", "free food for $3", "Without refreshments but lunch will be served", "don't need to register, just sign up online",
+]
+_OFFER_TEXT = "(" + "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in _OFFERS) + "])[k % 12 + 1] || ' ' || description"
+_LEFT = f"regexp_replace(regexp_replace(c, '{classify.NO_BEFORE}{classify.OFFER}', ' ', 'g'), '{classify.OFFER}{classify.NO_AFTER}', ' ', 'g')"
+_WAIVED_BEFORE = classify.WAIVED_BEFORE.replace("'", "''")
+
+
 @query(
-    """SELECT description, description IN ('Free pizza will be provided. RSVP today', 'No food, but free tacos for members!', 'All students welcome. Refreshments served') AS food,
-      description IN ('Free pizza will be provided. RSVP today') AS signup FROM (SELECT DISTINCT description FROM listings)"""
+    f"""SELECT text, (SELECT bool_or(regexp_matches(CASE WHEN regexp_matches(b, '{classify.TICKET}') THEN regexp_replace(b, '{classify.INCLUDED}', ' ', 'g') ELSE b END, '{classify.OFFER}')) FROM
+        (SELECT {_LEFT} AS b FROM (SELECT unnest(string_split_regex(regexp_replace(lower(text), '{classify.DOT}', ';\\1', 'g'), '{classify.CLAUSE_END}')) AS c))) AS food,
+      regexp_matches(regexp_replace(regexp_replace(lower(text), '{_WAIVED_BEFORE}{classify.SIGNUP}', ' ', 'g'), '{classify.SIGNUP}{classify.WAIVED_AFTER}', ' ', 'g'), '{classify.SIGNUP}') AS signup
+      FROM (SELECT DISTINCT {_OFFER_TEXT} AS text FROM listings)"""
 )
 def free_food_signup(spark, folder):
-    rows = listings(spark, folder).select("description").distinct()
-    return rows.select("description", classify.free_food("description").alias("food"), classify.signup_required("description").alias("signup"))
+    text = F.concat(F.element_at(F.array(*map(F.lit, _OFFERS)), (F.col("k") % 12 + 1).cast("int")), F.lit(" "), "description")
+    rows = listings(spark, folder).select(text.alias("text")).distinct()
+    return rows.select("text", classify.free_food(F.col("text")).alias("food"), classify.signup_required(F.col("text")).alias("signup"))
+
+
+@query(f"SELECT id, regexp_matches(lower(t), '{classify.BOBA_OFFER}') AS boba, len(list_distinct(regexp_extract_all(lower(slide), '{classify.PROFILE_LABELS}', 2))) >= 2 AS profile FROM (SELECT id, CASE k % 3 WHEN 0 THEN 'Free iced boba' WHEN 1 THEN 'Boba is on us' ELSE title END AS t, CASE k % 4 WHEN 0 THEN 'Name: A' || chr(10) || 'Major: B' WHEN 1 THEN 'name: A' || chr(10) || 'NAME: B' ELSE description END AS slide FROM listings)")
+def slide_rules(spark, folder):
+    k = F.col("k")
+    title = F.when(k % 3 == 0, "Free iced boba").when(k % 3 == 1, "Boba is on us").otherwise(F.col("title"))
+    slide = F.when(k % 4 == 0, "Name: A\nMajor: B").when(k % 4 == 1, "name: A\nNAME: B").otherwise(F.col("description"))
+    return listings(spark, folder).select("id", classify.boba_offer(title).alias("boba"), classify.is_member_profile(slide).alias("profile"))
+
+
+_PLACES = ["Zoom", "HUB 302", "Online via Zoom link in bio", "Discord: https://discord.gg/abc", "Zoom ID 123 456", "Google Meet and room 5", "virtual only", "Teams building", ""]
+_SPACED = "' ' || regexp_replace(lower(location), '[^a-z0-9:/.]+', '  ', 'g') || ' '"
+
+
+@query(
+    f"""SELECT location, regexp_matches(lower(location), '{classify.PLATFORM}') AND regexp_replace(regexp_replace({_SPACED}, '{classify.FILLER}', ' ', 'g'), '[^a-z]+', '', 'g') = '' AS online, count(*) AS n FROM
+      (SELECT location FROM listings UNION ALL SELECT (['{"', '".join(_PLACES)}'])[k % 9 + 1] || CASE WHEN k % 2 = 0 THEN '' ELSE ' ' || location END FROM listings) GROUP BY 1, 2"""
+)
+def online_location(spark, folder):
+    rows = listings(spark, folder)
+    made = F.concat(F.element_at(F.array(*map(F.lit, _PLACES)), (F.col("k") % 9 + 1).cast("int")), F.when(F.col("k") % 2 == 0, "").otherwise(F.concat(F.lit(" "), "location")))
+    both = rows.select("location").unionByName(rows.select(made.alias("location")))
+    return both.groupBy("location", classify.is_online_only(F.col("location")).alias("online")).agg(F.count("*").alias("n"))
 
 
 @query()

@@ -85,16 +85,16 @@ def retire_batch(spark, folder):
 
 def _files(spark, folder):
     pages = table(spark, folder, "pages").select(F.concat(F.lit("club/"), "page_id", F.lit(".jpg")).alias("path"))
-    named = listings(spark, folder).select(F.concat(F.lit("club/"), (F.col("k") % 400).cast("string"), F.lit(".jpg")).alias("path"))
+    named = listings(spark, folder).select(F.concat(F.lit("club/"), (F.col("k") % 200 * 2).cast("string"), F.lit(".jpg")).alias("path"))
     return pages, publish.file_references(named, named.filter("path LIKE '%7.jpg'"))
 
 
-@query("SELECT path FROM (SELECT 'club/' || page_id || '.jpg' AS path FROM pages) WHERE path NOT IN (SELECT 'club/' || (k % 400) || '.jpg' FROM listings) ORDER BY path LIMIT 500")
+@query("SELECT path FROM (SELECT 'club/' || page_id || '.jpg' AS path FROM pages) WHERE path NOT IN (SELECT 'club/' || (k % 200 * 2) || '.jpg' FROM listings) ORDER BY path LIMIT 500")
 def unused_files(spark, folder):
     return publish.unused_files(*_files(spark, folder), most=None)
 
 
-@query("SELECT DISTINCT 'club/' || (k % 400) || '.jpg' AS path FROM listings WHERE 'club/' || (k % 400) || '.jpg' NOT IN (SELECT 'club/' || page_id || '.jpg' FROM pages)")
+@query("SELECT DISTINCT 'club/' || (k % 200 * 2) || '.jpg' AS path FROM listings WHERE 'club/' || (k % 200 * 2) || '.jpg' NOT IN (SELECT 'club/' || page_id || '.jpg' FROM pages)")
 def missing_files(spark, folder):
     return publish.missing_files(*_files(spark, folder))
 
@@ -261,7 +261,7 @@ def support_map(spark, folder):
 
 
 @query(f"SELECT id, CASE WHEN ends_at IS NOT NULL THEN ends_at > TIMESTAMP '1998-06-15 07:00:00' ELSE starts_at >= TIMESTAMP '1998-06-15 07:00:00' END AS relevant FROM listings")
-def source_relevance(spark, folder):
+def row_relevance(spark, folder):
     from ..functions import times
 
     return listings(spark, folder).select("id", times.relevance(F.col("starts_at"), F.col("ends_at"), feed.instant("1998-06-15 07:00:00")).alias("relevant"))

@@ -87,7 +87,7 @@ def test_kinds(spark):
     of = lambda title, text="", origin="instagram", assessed=None: one(spark, classify.content_kind(F.lit(origin), F.lit(title), F.lit(text), F.lit(assessed).cast("string")))
     assert of("Bake Sale", "proceeds help us") == "fundraiser"
     assert of("Apply to be our fundraising chair") == "student_event"
-    assert of("Blood drive", "give blood donations") == "student_event"
+    assert of("Blood drive", "blood donations welcome") == "student_event"
     assert of("Paper due by Friday deadline") == "student_deadline"
     assert of("Summer Fellowship", "Applications are now open for the program") == "student_application"
     assert of("Fellowship info session", "Applications are now open for the program") == "student_event"
@@ -99,8 +99,8 @@ def test_kinds(spark):
     "text, free",
     [("free pizza!", True), ("no pizza, but free tacos", True), ("lunch for sale", False), ("dinner included", True), ("tickets $5, dinner included", False), ("free admission; boba", False), ("pizza is not provided", False)],
 )
-def test_free_food(text, free):
-    assert classify.offers_free_food(text) is free
+def test_free_food(spark, text, free):
+    assert one(spark, classify.free_food(F.lit(text))) is free
 
 
 @pytest.mark.parametrize(
