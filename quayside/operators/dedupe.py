@@ -1,14 +1,12 @@
-"""Finding and merging repeated listings: best rows, blocked pairs, rules, features, groups."""
+"""Finding repeated listings: best rows, tombstones, blocked pairs, word rarity, components and decisions."""
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import texts, times, urls
+from ..functions import texts
+from ..sources.tables import cut
 
 
 def event_key() -> Column:
@@ -81,65 +79,6 @@ def close_starts(rows: DataFrame, key: list[str], seconds: int = 900) -> DataFra
     return left.join(right, [*key, "bin"]).withColumn("gap", F.abs(F.col("l_second") - F.col("r_second"))).filter((F.col("l_id") < F.col("r_id")) & F.col("gap").between(1, seconds))
 
 
-PLACE_NOISE = ["room", "the", "building", "at", "in", "ucr", "hall"]
-
-
-def place_words(place: Column) -> Column:
-    return F.when(F.lower(place).rlike("zoom|online|virtual|discord"), F.array(F.lit("virtual"))).otherwise(texts.words(place, PLACE_NOISE))
-
-
-def place_relation(a: Column, b: Column) -> Column:
-    """same, missing or conflicting, of place word sets."""
-    inside = (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), "missing").when(inside, "same").otherwise("conflicting")
-
-
-def printed_numbers(title: Column) -> Column:
-    """Years, part and edition numbers, that tell titles apart."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit("((19|20)[0-9]{2}|#[0-9]+|(part|week|day|session) [0-9]+)"), F.lit(1))))
-
-
-def siblings(a: Column, b: Column) -> Column:
-    """Sessions of one post: equal owner and media, different ids."""
-    post = lambda i: F.regexp_extract(i, r"^(ig_.+_p[0-9]+)(-.*)?$", 1)
-    return (post(a) != "") & (post(a) == post(b)) & (a != b)
-
-
-def same_event(pairs: DataFrame) -> DataFrame:
-    """pairs with `verdict` and `rule`: an ordered list of rules, the first that applies decides.
-
-    Pairs carry l_ and r_ columns of listings; the smaller id is on the left.
-    """
-    l, r = (lambda c: F.col("l_" + c)), (lambda c: F.col("r_" + c))
-    lw, rw = texts.words(l("title")), texts.words(r("title"))
-    common, extra = F.array_intersect(lw, rw), F.size(F.array_except(lw, rw)) + F.size(F.array_except(rw, lw))
-    equal_start, account = l("starts_at") == r("starts_at"), l("host_handle") == r("host_handle")
-    title = texts.normal_title(l("title")) == texts.normal_title(r("title"))
-    place = place_relation(place_words(l("location")), place_words(r("location")))
-    signup = urls.rsvp_identity(l("rsvp_url")) == urls.rsvp_identity(r("rsvp_url"))
-    credited = F.array_contains(texts.mentions(l("description")), r("host_handle")) | F.array_contains(texts.mentions(r("description")), l("host_handle"))
-    numbers = (F.size(printed_numbers(l("title"))) > 0) & (F.size(printed_numbers(r("title"))) > 0) & (printed_numbers(l("title")) != printed_numbers(r("title")))
-    only = lambda s: times.is_date_only(s("all_day"), s("starts_at"), s("ends_at"))
-    ends = l("ends_at").isNotNull() & r("ends_at").isNotNull() & (l("ends_at") != r("ends_at"))
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    rules = [
-        ("no start", l("starts_at").isNull() | r("starts_at").isNull(), F.lit(False)),
-        ("siblings", siblings(l("id"), r("id")), F.lit(False)),
-        ("numbers differ", numbers, F.lit(False)),
-        ("same slot", equal_start & account & title, F.lit(True)),
-        ("same signup", equal_start & yes(signup) & (F.size(common) >= 2), F.lit(True)),
-        ("places conflict", place == "conflicting", F.lit(False)),
-        ("one date only", ~equal_start, (only(l) != only(r)) & title & (account | yes(credited))),
-        ("ends differ", ends, F.lit(False)),
-        ("credited repeat", yes(credited) & (F.size(common) >= 2), F.lit(True)),
-        ("shared occasion", ~account & (F.size(common) >= 3) & (extra == 0), place == "same"),
-    ]
-    verdict, rule = F.when(F.lit(False), F.lit(False)), F.when(F.lit(False), F.lit(""))
-    for name, applies, result in rules:
-        verdict, rule = verdict.when(yes(applies), yes(result)), rule.when(yes(applies), F.lit(name))
-    return pairs.withColumn("verdict", verdict.otherwise(F.lit(False))).withColumn("rule", rule.otherwise(F.lit("none")))
-
-
 def review_pairs(rows: DataFrame, least: int = 2) -> DataFrame:
     """Pairs for a person to look at: one kind and day, the later starts before the earlier ends, `least` title words in common.
 
@@ -191,65 +130,21 @@ def word_rarity(rows: DataFrame) -> DataFrame:
     return used.crossJoin(F.broadcast(total)).select("word", "accounts", F.log((F.col("total") + 1) / (F.col("accounts") + 1)).alias("rarity"))  # total is one row
 
 
-# Published weights of the features that the listings carry, and the bias.
-WEIGHTS = {
-    "same_account": 2.0036, "same_start": 1.4949, "near_start": -1.1032, "far_start": -0.7578, "ends_conflict": -1.1333, "place_same": 0.1189, "place_conflict": -1.255,
-    "same_signup": 0.0529, "title_subset": 0.4001, "title_spelling": 2.1976, "credited": 0.4646, "deadline": -1.029, "same_title": 0.0313,
-}
-BIAS, MERGE, DISMISS = -2.7417, 0.994, 0.1
-
-
-def pair_features(pairs: DataFrame) -> DataFrame:
-    """pairs with one column per feature in [0, 1]."""
-    l, r = (lambda c: F.col("l_" + c)), (lambda c: F.col("r_" + c))
-    number = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    lw, rw = texts.words(l("title")), texts.words(r("title"))
-    gap = F.abs(F.unix_timestamp(l("starts_at").cast("timestamp")) - F.unix_timestamp(r("starts_at").cast("timestamp")))
-    lg, rg = texts.char_grams(texts.normal_title(l("title"))), texts.char_grams(texts.normal_title(r("title")))
-    place = place_relation(place_words(l("location")), place_words(r("location")))
-    features = {
-        "same_account": number(l("host_handle") == r("host_handle")),
-        "same_start": number(gap == 0),
-        "near_start": number((gap > 0) & (gap <= 3600)),
-        "far_start": number(gap > 3600),
-        "ends_conflict": number(l("ends_at") != r("ends_at")),
-        "place_same": number(place == "same"),
-        "place_conflict": number(place == "conflicting"),
-        "same_signup": number(urls.rsvp_identity(l("rsvp_url")) == urls.rsvp_identity(r("rsvp_url"))),
-        "title_subset": number((F.size(lw) > 0) & (F.size(rw) > 0) & ((F.size(F.array_except(lw, rw)) == 0) | (F.size(F.array_except(rw, lw)) == 0))),
-        "title_spelling": F.coalesce(F.try_divide(F.size(F.array_intersect(lg, rg)).cast("double"), F.least(F.size(lg), F.size(rg))), F.lit(0.0)),
-        "credited": number(F.array_contains(texts.mentions(l("description")), r("host_handle")) | F.array_contains(texts.mentions(r("description")), l("host_handle"))),
-        "deadline": number(F.col("content_kind") == "student_deadline"),
-        "same_title": number((F.size(lw) > 0) & (F.array_sort(lw) == F.array_sort(rw))),
-    }
-    return pairs.withColumns(features)
-
-
-def pair_score(pairs: DataFrame) -> DataFrame:
-    """pairs with features, score and advice: merge, review or dismiss."""
-    total = F.lit(BIAS)
-    for name, weight in WEIGHTS.items():
-        total = total + F.lit(weight) * F.col(name)
-    score = 1 / (1 + F.exp(-F.greatest(F.least(total, F.lit(30.0)), F.lit(-30.0))))
-    scored = pair_features(pairs).withColumn("score", F.when(siblings(F.col("l_id"), F.col("r_id")), 0.0).otherwise(score))
-    return scored.withColumn("advice", F.when(F.col("score") >= MERGE, "merge").when(F.col("score") < DISMISS, "dismiss").otherwise("review"))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, root by contraction: nodes point at their smallest neighbour, pointers double until none
     moves, and edges move to what is pointed at."""
-    left = edges.select("a", "b").filter("a <> b").distinct().checkpoint()
+    left = cut(edges.select("a", "b").filter("a <> b").distinct())
     mapped: list[DataFrame] = []
     while left.limit(1).count():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent, moving = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("p")).checkpoint(), 1
+        parent, moving = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("p"))), 1
         while moving:
             up = parent.select(F.col("node").alias("p"), F.col("p").alias("x"))
-            followed = parent.join(up, "p").select("node", F.col("x").alias("p"), (F.col("p") != F.col("x")).alias("moved")).checkpoint()
+            followed = cut(parent.join(up, "p").select("node", F.col("x").alias("p"), (F.col("p") != F.col("x")).alias("moved")))
             moving, parent = followed.filter("moved").limit(1).count(), followed.select("node", "p")
         mapped.append(parent)
         moved = left.join(parent.select(F.col("node").alias("a"), F.col("p").alias("x")), "a").join(parent.select(F.col("node").alias("b"), F.col("p").alias("y")), "b")
-        left = moved.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().checkpoint()
+        left = cut(moved.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     if not mapped:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
     roots = mapped[-1].select("node", F.col("p").alias("root"))
@@ -258,99 +153,17 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def agglomerate(members: pd.DataFrame) -> pd.DataFrame:
-    """Groups inside one component, by ascending id.
-
-    A row joins the groups of its earlier matches; where that would bring together timed rows with
-    different starts, or a pair that was judged different, it starts a group of its own.
-    """
-    rows = members.sort_values("id")
-    groups: list[list[int]] = []
-    at: dict[str, int] = {}
-    start = dict(zip(rows["id"], rows["start"], strict=True))
-    timed = dict(zip(rows["id"], rows["timed"], strict=True))
-    differ = {(i, d) for i, ds in zip(rows["id"], rows["different"], strict=True) for d in ds}
-    for row_id, near in zip(rows["id"], rows["matches"], strict=True):
-        found = sorted({at[m] for m in near if m in at})
-        union = [row_id, *(m for g in found for m in groups[g])]
-        starts = {start[m] for m in union if timed[m]}
-        apart = any((a, b) in differ or (b, a) in differ for i, a in enumerate(union) for b in union[:i])
-        if not found or len(starts) > 1 or apart:
-            at[row_id] = len(groups)
-            groups.append([row_id])
-            continue
-        groups[found[0]] = union
-        for g in found[1:]:
-            groups[g] = []
-        for m in union:
-            at[m] = found[0]
-    out = defaultdict(list)
-    for group in groups:
-        for m in group:
-            out["id"].append(m)
-            out["group_id"].append(min(group))
-    return pd.DataFrame(out, columns=["id", "group_id"])
-
-
-def grouped(rows: DataFrame, matches: DataFrame, different: DataFrame | None = None) -> DataFrame:
-    """id, group_id of every row: order-dependent grouping, run inside each connected component only.
-
-    A component is as large as a set of rows that repeat each other, which days and kinds bound.
-    """
-    edges = matches.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
-    roots = components(edges)
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.groupBy("a").agg(F.collect_set("b").alias("matches")).withColumnRenamed("a", "id")
-    timed = ~times.is_date_only(F.col("all_day"), F.col("starts_at"), F.col("ends_at"))
-    base = rows.select("id", F.col("starts_at").cast("string").alias("start"), timed.alias("timed"))
-    judged = different.groupBy("a").agg(F.collect_set("b").alias("different")).withColumnRenamed("a", "id") if different is not None else None
-    members = base.join(roots.withColumnRenamed("node", "id"), "id").join(near, "id")
-    members = members.join(judged, "id", "left") if judged is not None else members.withColumn("different", F.lit(None).cast("array<string>"))
-    members = members.withColumn("different", F.coalesce("different", F.array().cast("array<string>")))
-    inside = members.groupBy("root").applyInPandas(agglomerate, "id string, group_id string")
-    return base.select("id").join(inside, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
-
-
-def survivors(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row per group of two or more: the survivor with details of the others merged in.
-
-    Food and locks are true if they are for any; end, link and place are filled where the group
-    has exactly one other value; hosts are joined, the survivor's first.
-    """
-    order = F.struct(F.col("is_locked").cast("int"), (~times.is_date_only(F.col("all_day"), F.col("starts_at"), F.col("ends_at"))).cast("int"), (F.col("source") == "instagram").cast("int"), row_score())
-    members = rows.join(groups, "id")
-    one = lambda c: F.when(F.count_distinct(F.nullif(F.col(c), F.lit("")) if c == "location" else F.col(c)) == 1, F.max(F.nullif(F.col(c), F.lit("")) if c == "location" else F.col(c)))
-    facts = members.groupBy("group_id").agg(
-        F.count("*").alias("size"),
-        F.max_by("id", order).alias("survivor"),
-        F.bool_or("has_free_food").alias("has_free_food"),
-        F.max_by("ends_at", order).alias("own_end"),
-        one("ends_at").alias("only_end"),
-        F.max_by("rsvp_url", order).alias("own_link"),
-        one("rsvp_url").alias("only_link"),
-        F.max_by("location", order).alias("own_place"),
-        one("location").alias("only_place"),
-        F.max_by("host_handle", order).alias("first_host"),
-        F.array_sort(F.collect_set("host_handle")).alias("all_hosts"),
-    )
-    hosts = F.array_join(F.array_distinct(F.concat(F.array("first_host"), "all_hosts")), ",")
-    return facts.filter("size > 1").select(
-        "group_id", "size", "survivor", "has_free_food", F.coalesce("own_end", "only_end").alias("ends_at"), F.coalesce("own_link", "only_link").alias("rsvp_url"),
-        F.when(F.col("own_place") != "", F.col("own_place")).otherwise(F.coalesce("only_place", F.lit(""))).alias("location"), hosts.alias("hosts"),
-    )
-
-
 def follow(decisions: DataFrame) -> DataFrame:
     """old, new: merge decisions (one per old id) followed to their end; what runs into a loop names nobody.
 
     Pointers double every round, so a chain of n decisions takes log n rounds; what has not ended
     after as many rounds as its number has bits runs in a loop.
     """
-    known = decisions.filter("old IS NOT NULL AND new IS NOT NULL").select("old", "new").distinct().checkpoint()
+    known = cut(decisions.filter("old IS NOT NULL AND new IS NOT NULL").select("old", "new").distinct())
     found, olds = known, known.select(F.col("old").alias("new"))
     for _ in range(known.count().bit_length() + 1):
         if not found.join(olds, "new", "left_semi").limit(1).count():
             break
         onward = found.select(F.col("old").alias("new"), F.col("new").alias("next"))
-        found = found.join(onward, "new", "left").select("old", F.coalesce("next", "new").alias("new")).checkpoint()
+        found = cut(found.join(onward, "new", "left").select("old", F.coalesce("next", "new").alias("new")))
     return found.join(olds, "new", "left_anti").filter("old <> new").select("old", "new")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import texts
-from ..operators import dedupe, evaluate, feed
-from ..sources.listings import VIEW_SQL, listings
-from ..sources.tables import table
+from ..operators import dedupe, evaluate, feed, grouping, pairs
+from ..sources.listings import NOW, VIEW_SQL, listings
+from ..sources.tables import cut, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -116,7 +116,7 @@ def word_rarity(spark, folder):
 )
 def shingle_overlap(spark, folder):
     """Texts with 20 or more three-word shingles in common: pairs of representatives of equal sets, and the members of each set (common: null)."""
-    classes = dedupe.shingle_classes(table(spark, folder, "documents"), "doc_id", "text").checkpoint()
+    classes = cut(dedupe.shingle_classes(table(spark, folder, "documents"), "doc_id", "text"))
     members = classes.filter("doc_id <> class").select(F.col("class").alias("a"), F.col("doc_id").alias("b"), F.lit(None).cast("long").alias("common"))
     return dedupe.shingle_pairs(classes, "doc_id").unionByName(members)
 
@@ -133,34 +133,115 @@ def followed_decisions(spark, folder):
     return dedupe.follow(chains.unionByName(loops))
 
 
-def _pairs(spark, folder):
-    return dedupe.blocked_pairs(_repeats(spark, folder))
+def _variants(spark, folder):
+    """A third of the listings (so that days stay small), and variants of every fourth under other ids: a second post of the
+    account, another account's post that credits it, and sessions of one post."""
+    rows = _rows(spark, folder).filter("k % 3 = 1")
+    k = F.col("k")
+    other = [c for c in rows.columns if c not in ("id", "location", "has_free_food", "rsvp_url", "title", "description", "host_handle", "host", "ends_at")]
+    again = rows.filter("k % 4 = 1").select(
+        *other,
+        F.concat(F.lit("ig_"), "host_handle", F.lit("_p"), k + 1_000_000).alias("id"),
+        F.when(k % 8 == 1, "").otherwise(F.col("location")).alias("location"),
+        (~F.col("has_free_food")).alias("has_free_food"),
+        F.when(k % 5 == 0, F.lit("https://forms.gle/again")).otherwise(F.col("rsvp_url")).alias("rsvp_url"),
+        F.when(k % 7 == 0, F.concat("title", F.lit(" 2nd Annual"))).when(k % 7 == 1, F.concat(F.lit("Club "), k % 40, F.lit(" presents "), "title")).otherwise(F.col("title")).alias("title"),
+        "description", "host_handle", "host", "ends_at",
+    )
+    partner = rows.filter("k % 16 = 1").select(
+        *other,
+        F.concat(F.lit("ig_partner_p"), k + 2_000_000).alias("id"),
+        "location", "has_free_food", "rsvp_url", "title",
+        F.concat(F.lit("Together with @"), "host_handle", F.lit(". "), "description").alias("description"),
+        F.lit("partner").alias("host_handle"), F.lit("Partner").alias("host"), F.lit(None).cast("timestamp_ntz").alias("ends_at"),
+    )
+    return rows.unionByName(again.select(rows.columns)).unionByName(partner.select(rows.columns))
+
+
+def _facts(spark, folder):
+    return cut(pairs.facts(_variants(spark, folder)))
+
+
+_VARIANTS = """, third AS (SELECT * FROM listings WHERE k % 3 = 1),
+  variants AS (SELECT id, k, title, description, location, host, host_handle, starts_at, ends_at, all_day, content_kind, day, rsvp_url FROM third
+    UNION ALL SELECT 'ig_' || host_handle || '_p' || (k + 1000000), k, CASE WHEN k % 7 = 0 THEN title || ' 2nd Annual' WHEN k % 7 = 1 THEN 'Club ' || k % 40 || ' presents ' || title ELSE title END, description,
+      CASE WHEN k % 8 = 1 THEN '' ELSE location END, host, host_handle, starts_at, ends_at, all_day, content_kind, day, CASE WHEN k % 5 = 0 THEN 'https://forms.gle/again' ELSE rsvp_url END FROM third WHERE k % 4 = 1
+    UNION ALL SELECT 'ig_partner_p' || (k + 2000000), k, title, 'Together with @' || host_handle || '. ' || description, location, 'Partner', 'partner', starts_at, NULL, all_day, content_kind, day, rsvp_url FROM third WHERE k % 16 = 1),
+  words AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')), lambda w: length(w) > 1 AND NOT list_contains(['the', 'of', 'at', 'and', 'for', 'to', 'a', 'an', 'annual', 'save', 'date'], w)) AS tw FROM variants),
+  rarity AS (SELECT word, ln((total + 1) / (count(DISTINCT host_handle) + 1)) AS r FROM (SELECT host_handle, unnest(tw) AS word FROM words), (SELECT count(DISTINCT host_handle) AS total FROM words) GROUP BY word, total),
+  grams AS (SELECT *, list_distinct(list_transform(range(1, length(sq) - 1), lambda i: sq[i:i + 2])) AS g FROM (SELECT *, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS sq FROM words)),
+  two AS (SELECT l.id AS l_id, r.id AS r_id, l.content_kind AS kind, l.host_handle = r.host_handle AS acc, l.starts_at = r.starts_at AS st, l.g AS lg, r.g AS rg, l.description AS ld, r.description AS rd, l.host_handle AS lh, r.host_handle AS rh
+    FROM grams l JOIN grams r USING (content_kind, day) WHERE l.id < r.id AND content_kind <> 'other')
+"""
+
+
+@query(
+    _VARIANTS
+    + """SELECT l_id, r_id, CAST(acc AS DOUBLE) AS same_account, CAST(st AS DOUBLE) AS same_start, round(len(list_intersect(lg, rg)) / greatest(1, least(len(lg), len(rg))), 6) AS title_spelling,
+      CAST(contains(ld, '@' || rh) OR contains(rd, '@' || lh) AS DOUBLE) AS credited, CAST(kind = 'student_deadline' AS DOUBLE) AS deadline FROM two WHERE acc OR contains(ld, '@' || rh) OR contains(rd, '@' || lh)"""
+)
+def duplicate_features(spark, folder):
+    """The features that SQL expresses, of pairs of one account or with a credit."""
+    known = _facts(spark, folder)
+    found = pairs.pair_features(pairs.candidate_pairs(pairs.with_rarity(known)))
+    columns = [F.round(c, 6).alias(c) for c in ("same_account", "same_start", "title_spelling", "credited", "deadline")]
+    return found.filter("p_same_day AND (p_same_account OR p_credited)").select("l_id", "r_id", *columns)
+
+
+@query(_VARIANTS + "SELECT word, round(r, 6) AS rarity FROM rarity")
+def title_rarity(spark, folder):
+    return pairs.word_accounts(_facts(spark, folder)).select("word", F.round("rarity", 6).alias("rarity"))
 
 
 @query()
 def duplicate_score(spark, folder):
-    columns = [F.round(c, 6).alias(c) for c in dedupe.WEIGHTS]
-    return dedupe.pair_score(_pairs(spark, folder)).select("l_id", "r_id", *columns, F.round("score", 6).alias("score"), "advice")
+    columns = [F.round(c, 6).alias(c) for c in pairs.WEIGHTS]
+    found = pairs.pair_score(pairs.candidate_pairs(pairs.with_rarity(_facts(spark, folder))))
+    return found.select("l_id", "r_id", *columns, F.round("score", 6).alias("score"), "advice")
 
 
 @query()
 def same_event_rules(spark, folder):
-    return dedupe.same_event(_pairs(spark, folder)).groupBy("rule", "verdict").agg(F.count("*").alias("pairs"))
-
-
-def _groups(spark, folder):
-    rows = _repeats(spark, folder)
-    return rows, dedupe.grouped(rows, dedupe.same_event(_pairs(spark, folder)).filter("verdict"))
+    return pairs.same_event(pairs.candidate_pairs(_facts(spark, folder))).groupBy("rule", "verdict").agg(F.count("*").alias("pairs"))
 
 
 @query()
 def duplicate_plan(spark, folder):
-    return _groups(spark, folder)[1]
+    return grouping.plan(_variants(spark, folder))[1]
 
 
 @query()
 def survivor_pick(spark, folder):
-    return dedupe.survivors(*_groups(spark, folder))
+    return grouping.survivors(*grouping.plan(_variants(spark, folder)))
+
+
+@query()
+def reconcile_removals(spark, folder):
+    """What a reconciliation takes away: duplicates of survivors, and groups with a tombstone."""
+    rows = _variants(spark, folder)
+    known, groups = grouping.plan(rows)
+    tombstones = rows.filter("k % 29 = 0").select(F.col("id").alias("event_id"))
+    return grouping.replacements(known, groups, grouping.survivors(known, groups), tombstones, NOW)
+
+
+@query()
+def shadow_report(spark, folder):
+    """How the score sees what the rules decide: pairs by verdict and advice, and the quartiles of their scores."""
+    known = pairs.with_rarity(_facts(spark, folder))
+    found = pairs.candidate_pairs(known)
+    scored = pairs.pair_score(found).select("l_id", "r_id", "score", "advice").join(pairs.same_event(found).select("l_id", "r_id", "verdict"), ["l_id", "r_id"])
+    return scored.groupBy("verdict", "advice").agg(F.count("*").alias("pairs"), F.round(F.min("score"), 6).alias("least"), F.round(F.max("score"), 6).alias("most")).orderBy(F.desc("most"), "verdict", "advice")
+
+
+@query()
+def train_score(spark, folder):
+    """A model trained on what the rules say, with its threshold and held-out scores by class."""
+    known = pairs.with_rarity(_facts(spark, folder))
+    found = pairs.candidate_pairs(known)
+    labelled = pairs.pair_features(found).join(pairs.same_event(found).select("l_id", "r_id", "verdict"), ["l_id", "r_id"]).filter(pairs.comparable())
+    examples = labelled.select(*pairs.WEIGHTS, F.col("verdict").alias("duplicate"), F.col("l_f_local_day").alias("day"), F.lit(True).alias("hard"))
+    _, _, merge, tested = grouping.train_score(examples)
+    return tested.groupBy("duplicate").agg(F.count("*").alias("pairs"), F.round(F.avg((F.col("held_out") >= 0.5).cast("double")), 3).alias("said_same"), F.lit(round(merge, 3)).alias("merge_at"))
 
 
 @query(

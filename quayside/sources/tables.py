@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +16,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read again: what follows is planned by itself.
+
+    A local session without such a folder gets one of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        given = context.getConf().get("spark.checkpoint.dir")
+        if not given and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="quayside-"))
+    return df.checkpoint()
+
+
 def read_archive(spark: SparkSession, path: str, handles: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Posts of a JSON archive, and the files' rows that can't be used.
 
     No handles: all posts; an empty list: none.  A broken file or a post without media_id goes to the second table.
     """
-    rows = spark.read.schema(POST + ", broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").option("multiLine", True).json(path).cache()
+    rows = spark.read.schema(POST + ", broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").option("multiLine", True).json(path)
     good = F.col("broken").isNull() & F.col("media_id").isNotNull()
     posts = rows.filter(good).drop("broken")
     if handles is not None:

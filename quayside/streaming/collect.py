@@ -12,21 +12,34 @@ def posts_stream(spark: SparkSession, folder: str, schema: str, files_per_batch:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
-def first_snapshots(posts: DataFrame, late: str = "7 days") -> DataFrame:
-    """Each media_id once; ids are forgotten `late` after the newest post."""
-    return posts.withWatermark("posted_at", late).dropDuplicatesWithinWatermark(["media_id"])
+def stored_posts(spark: SparkSession, store: str, schema: str, but: int | None = None) -> DataFrame:
+    """The posts of all stored batches, but one that runs again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema + ", batch long")
+    rows = spark.read.schema(schema + ", batch long").parquet(store)
+    return rows if but is None else rows.filter(F.col("batch") != but)
+
+
+def new_snapshots(posts: DataFrame, known: DataFrame) -> DataFrame:
+    """Of each media_id that is not known the first snapshot; no id is ever forgotten and none is too late."""
+    first = posts.groupBy("media_id").agg(F.min_by(F.struct(*posts.columns), F.struct("posted_at", "handle")).alias("p")).select("p.*")
+    return first.join(known.select("media_id"), "media_id", "left_anti").select(posts.columns)
 
 
 def collect(posts: DataFrame, store: str, checkpoint: str, notify: Callable[[DataFrame, int], None] | None = None) -> None:
-    """Append new posts to the store and hand each batch on.
+    """Append posts that the store doesn't have and hand each batch on.
 
-    A batch that runs again replaces its own folder, so a failure between the two loses and repeats nothing.
+    The store itself is the index of what is known, so nothing depends on how late a post comes.  A
+    batch that runs again replaces its own folder: a failure between the two loses and repeats nothing.
     """
+    schema = ", ".join(f"{name} {kind}" for name, kind in posts.dtypes)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        known = stored_posts(batch.sparkSession, store, schema, number)
+        new_snapshots(batch, known).write.mode("overwrite").parquet(f"{store}/batch={number}")
         if notify:
-            notify(batch, number)
+            notify(batch.sparkSession.read.schema(schema).parquet(f"{store}/batch={number}"), number)
 
     posts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

@@ -4,7 +4,7 @@ import itertools
 
 import pytest
 from pyspark.sql import functions as F
-from quayside.operators import dedupe, evaluate, feed, ledger, publish
+from quayside.operators import dedupe, evaluate, feed, grouping, ledger, publish
 from quayside.sources.tables import gap_fill, official_posts, read_archive, split_quarantine
 
 LISTING = "id string, is_locked boolean, source string"
@@ -52,19 +52,19 @@ def test_grouping_refuses_a_bridge_and_ignores_order(spark):
     want = {"a": "a", "b": "a", "c": "c", "d": "a", "e": "e"}
     for order in list(itertools.permutations(rows))[::40]:
         df = spark.createDataFrame(order, "id string, s string").select("id", F.col("s").cast("timestamp_ntz").alias("starts_at"), F.lit(None).cast("timestamp_ntz").alias("ends_at"), F.lit(False).alias("all_day"))
-        got = dedupe.grouped(df.repartition(3), spark.createDataFrame(matches, "l_id string, r_id string"))
+        got = grouping.grouped(df.repartition(3), spark.createDataFrame(matches, "l_id string, r_id string"))
         assert {r.id: r.group_id for r in got.collect()} == want
 
 
 def test_judged_pairs_stay_apart(spark):
     df = spark.createDataFrame([("a",), ("b",)], "id string").select("id", F.lit("2026-01-01 10:00:00").cast("timestamp_ntz").alias("starts_at"), F.lit(None).cast("timestamp_ntz").alias("ends_at"), F.lit(False).alias("all_day"))
     different = spark.createDataFrame([("a", "b")], "a string, b string")
-    got = dedupe.grouped(df, spark.createDataFrame([("a", "b")], "l_id string, r_id string"), different)
+    got = grouping.grouped(df, spark.createDataFrame([("a", "b")], "l_id string, r_id string"), different)
     assert {r.id: r.group_id for r in got.collect()} == {"a": "a", "b": "b"}
 
 
 def test_merge_decisions_are_followed_and_loops_name_nobody(spark):
-    got = dedupe.follow(spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "old string, new string"), rounds=6)
+    got = dedupe.follow(spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "old string, new string"))
     assert sorted(map(tuple, got.collect())) == [("a", "c"), ("b", "c")]
 
 
@@ -114,10 +114,25 @@ def test_stream_collects_each_post_once(spark, tmp_path):
 
     source = tmp_path / "in"
     source.mkdir()
+
+    def arrive(name, media, at):
+        (source / f"{name}.json").write_text(f'{{"media_id": "{media}", "handle": "h", "posted_at": "{at}Z"}}')
+
     for n, (media, at) in enumerate([("1", "2026-01-01T00:00:00"), ("1", "2026-01-01T01:00:00"), ("2", "2026-01-01T02:00:00")]):
-        (source / f"{n}.json").write_text(f'{{"media_id": "{media}", "handle": "h", "posted_at": "{at}Z"}}')
-    posts = collect.first_snapshots(collect.posts_stream(spark, str(source), "media_id string, handle string, posted_at timestamp"))
-    seen = []
+        arrive(n, media, at)
+    schema = "media_id string, handle string, posted_at timestamp"
+    posts, seen, store = collect.posts_stream(spark, str(source), schema), [], str(tmp_path / "store")
     for _ in range(2):
-        collect.collect(posts, str(tmp_path / "store"), str(tmp_path / "ck"), lambda df, n: seen.append(df.count()))
-    assert sum(seen) == 2 and collect.progress(spark.read.parquet(str(tmp_path / "store"))).first().posts == 2
+        collect.collect(posts, store, str(tmp_path / "ck"), lambda df, n: seen.append(df.count()))
+    assert sum(seen) == 2
+    # a known post returns after a year, and one comes that is older than all that was seen
+    arrive("later", "1", "2027-06-01T00:00:00")
+    arrive("older", "3", "2020-01-01T00:00:00")
+    collect.collect(posts, store, str(tmp_path / "ck"), lambda df, n: seen.append(df.count()))
+    assert sum(seen) == 3 and collect.progress(spark.read.parquet(store)).first().posts == 3
+
+
+def test_long_chains_of_decisions(spark):
+    chain = [(f"n{k}", f"n{k + 1}") for k in range(70)]
+    got = dedupe.follow(spark.createDataFrame(chain, "old string, new string")).collect()
+    assert len(got) == 70 and {r.new for r in got} == {"n70"}
