@@ -1,7 +1,9 @@
+import bisect
 import random
 import zlib
 
 import numpy as np
+from quayside.llm import queries
 from quayside.llm.packing import best_fit, pack
 from quayside.llm.tokens import TokenCounter
 from tokenizers import Tokenizer
@@ -47,6 +49,34 @@ def test_best_fit_places_every_rank_once_and_packs_tightly():
     assert best_fit({})[1] == 0
 
 
+def plain_best_fit(lengths, capacity):
+    """Longest first, each into the smallest gap that holds it: how many sequences that takes."""
+    gaps, sequences = [], 0
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, n)
+        if at == len(gaps):
+            sequences += 1
+            gap = capacity
+        else:
+            gap = gaps.pop(at)
+        if gap > n:
+            bisect.insort(gaps, gap - n)
+    return sequences
+
+
+def test_as_few_sequences_as_plain_best_fit():
+    r = random.Random(8)
+    for _ in range(150):
+        capacity = r.choice([7, 20, 100, 2048])
+        lengths = [r.randint(1, capacity) if r.random() < 0.5 else r.randint(1, max(1, capacity // 3)) for _ in range(r.randint(0, 400))]
+        assert best_fit({n: lengths.count(n) for n in set(lengths)}, capacity)[1] == plain_best_fit(lengths, capacity)
+
+
+def test_query_against_plain_best_fit(spark):
+    rows = queries.QUERIES["op2_best_fit_packing"](spark, "/root/testdata/sf0.001").toPandas()
+    assert rows.sequence_id.nunique() == plain_best_fit(rows.length.tolist(), 2048)
+
+
 def test_kept_ids_equal_the_tokenizers(tokenizer):
     r = random.Random(3)
     bits = ["'s", "'", "Ab", "é", "İ", "ß", "ΣΑΣ", "1", "<|endoftext|>", "<|", ".", "!!", " ", " ", "́", "한국", "ª", "\x1c", "don't", "we're", "😀"]
