@@ -73,3 +73,19 @@ def is_date_only(all_day: Column, starts: Column, ends: Column) -> Column:
 def relevance(starts: Column, ends: Column, midnight: Column) -> Column:
     """True: still to come, False: past, null: unknown.  Ends are exclusive, starts inclusive."""
     return F.when(ends.isNotNull(), ends > midnight).when(starts.isNotNull(), starts >= midnight)
+
+
+def was_stale(posted: Column, starts: Column, ends: Column, grace_hours: int = 24) -> Column:
+    """Whether an event was over by more than the grace when it was posted; recaps get no grace."""
+    return F.coalesce(F.coalesce(ends, starts) < posted - F.expr(f"INTERVAL '{grace_hours}' HOUR"), F.lit(False))
+
+
+def repaired_end(starts: Column, ends: Column, printed_range: Column, printed_day: Column) -> Column:
+    """A midnight end on the day of an afternoon start means the next midnight, if the text prints just that day and range.
+
+    printed_range: HH:MM-HH:MM of the text's only range; printed_day: MM-dd of its only date.
+    """
+    start, end = campus_time(starts), campus_time(ends)
+    wrong = (F.to_date(start) == F.to_date(end)) & is_campus_midnight(ends) & (F.hour(start) >= 12) & (end <= start)
+    printed = (printed_day == F.date_format(start, "MM-dd")) & (printed_range == F.concat(F.date_format(start, "HH:mm"), F.lit("-00:00")))
+    return F.when(F.coalesce(wrong & printed, F.lit(False)), utc_time((end + F.expr("INTERVAL '1' DAY")).cast("timestamp_ntz"))).otherwise(ends)

@@ -57,3 +57,34 @@ def is_storage_path(path: Column) -> Column:
 
 def storage_path(owner: Column, media_id: Column, index: Column) -> Column:
     return F.concat_ws("/", F.regexp_replace(F.lower(owner), "[^a-z0-9_]", "_"), media_id.cast("string"), F.concat(index.cast("string"), F.lit(".jpg")))
+
+
+# Hosts of short links, and of maps, which lead to no form.
+SHORTENERS = ("bit.ly", "tinyurl.com", "forms.gle")
+MAP_HOSTS = ("maps.app.goo.gl", "maps.google.com", "maps.apple.com", "maps.apple", "waze.com", "ul.waze.com")
+_SHORT_LINK = r"(?i)^(https?://)?(bit\.ly|tinyurl\.com|forms\.gle)/[\w-]+([ \t]+[\w-]+)+$"
+
+
+def rsvp_url(url: Column, slide_text: Column) -> Column:
+    """A link to sign up: no post, no bare short-link site, no map.
+
+    A short link with spaces in it is joined only where it is a whole line of the slide's text.
+    """
+    bare = F.trim(url)
+    lines = F.transform(F.split(F.lower(F.coalesce(slide_text, F.lit(""))), r"\r?\n"), lambda line: F.trim(line))
+    joined = F.when(bare.rlike(_SHORT_LINK) & F.array_contains(lines, F.lower(bare)), http_url(F.regexp_replace(bare, r"[ \t]+", "")))
+    full = F.coalesce(http_url(url), joined)
+    host = F.regexp_replace(F.lower(_part(full, "HOST")), r"^www\.", "")
+    path = F.coalesce(_part(full, "PATH"), F.lit(""))
+    first = F.lower(F.regexp_extract(path, "^/*([^/]*)", 1))
+    post = host.rlike(r"(^|\.)instagram\.com$") | (host == "instagr.am")
+    empty = host.isin(*SHORTENERS) & (F.regexp_replace(path, "/", "") == "")
+    maps = host.isin(*MAP_HOSTS) | host.startswith("maps.google.") | ((first == "maps") & ((host == "goo.gl") | host.rlike(r"^google\.[a-z.]+$")))
+    return F.when(~(post | empty | maps), full)
+
+
+def is_stored_image(url: Column, storage_host: str) -> Column:
+    """Whether an image may go through the optimizer: https, of a content network's subdomain, or a flyer of the own storage."""
+    host, path = F.lower(_part(url, "HOST")), F.coalesce(_part(url, "PATH"), F.lit(""))
+    own = (host == storage_host) & path.startswith("/storage/v1/object/public/event-flyers/")
+    return F.coalesce((F.lower(_part(url, "PROTOCOL")) == "https") & (host.rlike(r".\.cdninstagram\.com$") | own), F.lit(False))

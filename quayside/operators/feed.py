@@ -7,6 +7,7 @@ plain comparisons, so that they reach the Parquet scan where the column is store
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,6 +67,25 @@ def after_cursor(sort_at: str, row_id: str) -> Column:
     return (F.col("sort_at") > at) | ((F.col("sort_at") == at) & (F.col("id") > row_id))
 
 
+def resumed(listings: DataFrame, sort_at: str, row_id: str) -> DataFrame:
+    """Rows after the cursor's row; where that row is gone, its instant is repeated, and readers drop what they have."""
+    gone = listings.filter((F.col("id") == row_id) & (F.col("sort_at") == instant(sort_at))).select(F.lit(True).alias("there")).limit(1)
+    repeat = listings.filter((F.col("sort_at") == instant(sort_at)) & (F.col("id") <= row_id)).join(F.broadcast(gone), F.lit(True), "left_anti")  # one row at most
+    return listings.filter(after_cursor(sort_at, row_id)).unionByName(repeat)
+
+
+def still_active(page_rows: DataFrame, now: str) -> DataFrame:
+    """A stored page without what has ended since; the cursor is that of the stored page."""
+    return active(page_rows, now)
+
+
+def request_ranges(first: str, last: str, days: int = CALENDAR_DAYS) -> list[tuple[str, str]]:
+    """A range of days cut into requests of at most `days` days."""
+    start, end = date.fromisoformat(first), date.fromisoformat(last)
+    starts = range(start.toordinal(), end.toordinal() + 1, days)
+    return [(date.fromordinal(n).isoformat(), date.fromordinal(min(n + days - 1, end.toordinal())).isoformat()) for n in starts]
+
+
 def page(listings: DataFrame, size: int = PAGE, cursor: tuple[str, str] | None = None) -> DataFrame:
     """One page in feed order; one row more than asked for tells that there are more."""
     size = max(1, min(size, MOST_PER_PAGE))

@@ -237,3 +237,10 @@ def completeness(profiles: DataFrame, reference: DataFrame, candidate: DataFrame
 def sitemap(listings: DataFrame, most: int = 500) -> DataFrame:
     """The first active listings in feed order: id and when it was last changed."""
     return listings.orderBy("sort_at", "id").limit(most).select("id", F.coalesce("updated_at", "starts_at").alias("changed_at"))
+
+
+def with_stored_images(rows: DataFrame, stored: DataFrame, column: str = "image_url", marker: str = "/storage/v1/object/public/event-flyers/") -> DataFrame:
+    """rows whose image is null where it names a file of the own storage that isn't there; other links stay."""
+    path = F.when(F.col(column).contains(marker), F.substring_index(column, marker, -1))
+    met = rows.withColumn("image_path", path).join(stored.select(F.col("path").alias("image_path"), F.lit(True).alias("stored")), "image_path", "left")
+    return met.withColumn(column, F.when(F.col("image_path").isNull() | F.col("stored"), F.col(column))).drop("image_path", "stored")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import times, urls
 from ..operators import changes, feed, lookups
 from ..sources.listings import NOW, VIEW_SQL, listings
 from ..sources.tables import table
@@ -480,3 +481,65 @@ def rate_limit(spark, folder):
     """Ten hours and three attempts, so that windows of the test table fill."""
     attempts = table(spark, folder, "events").select(F.col("user_id").alias("key"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("at"), F.col("event_id").alias("id"))
     return changes.rate_limit(attempts, 600, 3)
+
+
+# --- small steps -------------------------------------------------------------------------------
+
+_LINKS = [
+    "https://forms.gle/abc", "forms.gle/ab cd", "bit.ly/x y", "https://www.instagram.com/p/1", "https://bit.ly/", "https://maps.app.goo.gl/z", "https://www.google.com/maps/place/1", "https://goo.gl/maps/2",
+    "example.com/sign", "link in bio", "https://tinyurl.com/q", "https://google.com/forms/1",
+]
+_FOUND = [0, "https://forms.gle/abcd", None, None, None, None, None, None, "https://example.com/sign", None, 10, 11]
+_LINK_SQL = "[" + ", ".join("NULL" if f is None else "'" + (_LINKS[f] if isinstance(f, int) else f) + "'" for f in _FOUND) + "]"
+
+
+@query(f"SELECT id, CASE WHEN k % 12 = 1 AND k % 5 = 0 THEN NULL ELSE ({_LINK_SQL})[k % 12 + 1] END AS link FROM listings")
+def rsvp_links(spark, folder):
+    """Links of every kind; a slide prints the spaced short link as a line of its own, but for every fifth."""
+    k = F.col("k")
+    slide = F.when(k % 5 == 0, "scan forms.gle/ab cd").otherwise("Scan me\n Forms.gle/ab cd \nbit.ly/x y now")
+    return listings(spark, folder).select("id", urls.rsvp_url(F.element_at(F.array(*map(F.lit, _LINKS)), (k % 12 + 1).cast("int")), slide).alias("link"))
+
+
+@query("SELECT id, k % 6 IN (0, 1) AS allowed FROM listings")
+def image_hosts(spark, folder):
+    images = ["https://a.cdninstagram.com/1.jpg", "https://store.example.com/storage/v1/object/public/event-flyers/a/1.jpg", "http://a.cdninstagram.com/1.jpg", "https://cdninstagram.com/1.jpg", "https://store.example.com/other/1.jpg", "nothing"]
+    image = F.element_at(F.array(*map(F.lit, images)), (F.col("k") % 6 + 1).cast("int"))
+    return listings(spark, folder).select("id", urls.is_stored_image(image, "store.example.com").alias("allowed"))
+
+
+@query("SELECT id, starts_at + to_hours(CAST(k % 60 AS INTEGER)) - INTERVAL 1 DAY > coalesce(ends_at, starts_at) AS stale FROM listings")
+def stale_posts(spark, folder):
+    posted = F.col("starts_at") + F.make_dt_interval(F.lit(0), (F.col("k") % 60).cast("int"))
+    return listings(spark, folder).select("id", times.was_stale(posted, F.col("starts_at"), F.col("ends_at")).alias("stale"))
+
+
+@query(
+    f"""SELECT id, CASE WHEN k % 3 < 2 AND k % 2 = 0 THEN s + INTERVAL 4 HOUR ELSE s - INTERVAL 20 HOUR END AS ends_at FROM
+      (SELECT id, k, CAST(starts_at AS DATE) + INTERVAL 3 HOUR AS s FROM listings WHERE month(starts_at) BETWEEN 5 AND 9)"""
+)
+def midnight_ends(spark, folder):
+    """Starts at 20:00 on the campus whose end was read as the midnight before; the range and the day are printed for some."""
+    start = (F.date_trunc("day", "starts_at") + F.expr("INTERVAL '3' HOUR")).cast("timestamp_ntz")
+    rows = listings(spark, folder).filter("month(starts_at) BETWEEN 5 AND 9").select("id", "k", start.alias("s"))
+    end = F.col("s") - F.expr("INTERVAL '20' HOUR")
+    day = F.when(F.col("k") % 2 == 0, F.date_format(times.campus_time(F.col("s")), "MM-dd")).otherwise("01-01")
+    return rows.select("id", times.repaired_end(F.col("s"), end, F.when(F.col("k") % 3 < 2, "20:00-00:00").otherwise("20:00-23:00"), day).alias("ends_at"))
+
+
+@query("SELECT id, sort_at FROM listings WHERE k <> 65 AND sort_at >= (SELECT sort_at FROM listings WHERE k = 65) AND content_kind = 'student_event'")
+def resumed_feed(spark, folder):
+    """The row of the cursor is gone, so its instant is repeated."""
+    rows = _rows(spark, folder)
+    cursor = rows.filter("k = 65").select("sort_at", "id").first()  # one row
+    return feed.resumed(rows.filter("k <> 65 AND content_kind = 'student_event'"), str(cursor.sort_at), cursor.id).select("id", "sort_at")
+
+
+@query("SELECT id, CASE WHEN k % 4 = 0 THEN 'https://cdn/' || k WHEN k % 3 > 0 THEN 'https://s/storage/v1/object/public/event-flyers/c/' || k || '.jpg' END AS image_url FROM listings")
+def stored_images(spark, folder):
+    """Every fourth image lies elsewhere; of the rest every third file is missing."""
+    k = F.col("k")
+    flyer = F.concat(F.lit("https://s/storage/v1/object/public/event-flyers/c/"), k, F.lit(".jpg"))
+    rows = listings(spark, folder).select("id", "k", F.when(k % 4 == 0, F.concat(F.lit("https://cdn/"), k)).otherwise(flyer).alias("image_url"))
+    stored = rows.filter(k % 3 > 0).select(F.concat(F.lit("c/"), k, F.lit(".jpg")).alias("path"))
+    return lookups.with_stored_images(rows, stored).select("id", "image_url")
