@@ -32,6 +32,8 @@ MAX_EXAMPLES = 2048
 MIN_ROWS = 5
 NEIGHBOURS = 24
 BLOCK = 64
+#: So many blocks are opened first, and four times as many each time after.
+FIRST_BLOCKS = 8
 #: Weight of the term that every text has: texts without telling terms are near each other.
 COMMON = 1.0
 #: What is longer than a word can be is cut into all its parts of this length.
@@ -114,22 +116,19 @@ class BlockMaxIndex:
         self.most = np.zeros((terms, self.blocks))
         np.maximum.at(self.most, (at, rows // BLOCK), weight)
         np.maximum.at(self.most[-1], np.arange(self.n) // BLOCK, self.common)
-        code = rows // BLOCK * terms + at  # a list is a block's part of a term
+        code = at * max(self.blocks, 1) + rows // BLOCK  # a list is a block's part of a term
         by = np.lexsort((rows, code))
         self.rows, self.weights = rows[by], weight[by]
-        self.codes, first = np.unique(code[by], return_index=True)
-        self.first = np.append(first, len(by))
+        self.first = np.searchsorted(code[by], np.arange(terms * self.blocks + 1))
 
     def _scores(self, opened: np.ndarray, at: np.ndarray, weight: np.ndarray, common: float) -> tuple[np.ndarray, np.ndarray]:
         """The examples of these blocks and their cosines, from the blocks' postings alone."""
-        want = (opened[:, None] * self.terms + at).ravel()
-        place = np.searchsorted(self.codes, want)
-        there = place < len(self.codes)
-        there[there] = self.codes[place[there]] == want[there]
-        start, stop = self.first[place[there]], self.first[place[there] + 1]
-        many = stop - start
-        read = np.arange(int(many.sum())) + np.repeat(start - (np.cumsum(many) - many), many)
-        parts = np.repeat(np.tile(weight, len(opened))[there], many) * self.weights[read]
+        lists = (at[:, None] * self.blocks + opened).ravel()
+        start = self.first[lists]
+        many = self.first[lists + 1] - start
+        ends = np.cumsum(many)
+        read = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - many), many)
+        parts = np.repeat(np.repeat(weight, len(opened)), many) * self.weights[read]
         inside = (opened[:, None] * BLOCK + np.arange(BLOCK)).ravel()
         inside = inside[inside < self.n]
         return inside, np.bincount(self.rows[read], parts, self.n)[inside] + common * self.common[inside]
@@ -144,7 +143,7 @@ class BlockMaxIndex:
         own = at < self.terms - 1
         order = np.argsort(-bound, kind="stable")
         done, best, similar = 0, np.zeros(0, np.int64), np.zeros(0)
-        step = -(-2 * (k + 1) // BLOCK)
+        step = FIRST_BLOCKS
         while done < self.blocks:
             floor = similar[k - 1] if len(similar) >= k else 0.0
             opened = order[done : done + step]

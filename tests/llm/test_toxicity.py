@@ -43,14 +43,14 @@ def test_neighbours_are_exact():
 
 
 def test_blocks_that_cannot_win_are_not_read(monkeypatch):
-    n = 640
-    vectors = [(np.array([i // 64, 10]), np.array([0.98, 0.2])) for i in range(n)]
-    index = BlockMaxIndex(vectors, np.arange(n) % 2, np.arange(n), 11)
+    n = 64 * 40
+    vectors = [(np.array([i // 64, 40]), np.array([0.98, 0.2])) for i in range(n)]
+    index = BlockMaxIndex(vectors, np.arange(n) % 2, np.arange(n), 41)
     read = []
     whole = BlockMaxIndex._scores
     monkeypatch.setattr(BlockMaxIndex, "_scores", lambda self, opened, *rest: read.extend(opened) or whole(self, opened, *rest))
     best, similar = index.nearest(vectors[70], 24)
-    assert len(read) == 1 and np.allclose(similar, 0.98**2 + 0.2**2) and list(best) == sorted(best)  # ties by place
+    assert len(read) == 8 and np.allclose(similar, 0.98**2 + 0.2**2) and list(best) == sorted(best)  # ties by place
 
 
 def test_query_against_brute_force(spark):
