@@ -111,13 +111,13 @@ def word_rarity(spark, folder):
         FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents) WHERE len(w) >= 3),
       c AS (SELECT min(doc_id) AS class, g FROM s GROUP BY g), e AS (SELECT class, unnest(g) AS x FROM c),
       p AS (SELECT a.class AS a, b.class AS b, count(*) AS common FROM e a JOIN e b USING (x) WHERE a.class < b.class GROUP BY 1, 2)
-      SELECT a, b, common FROM p WHERE common >= 20 UNION ALL SELECT first, doc_id, NULL FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY g) AS first FROM s) WHERE doc_id <> first""",
+      SELECT a, b, common FROM p WHERE common >= 20 UNION ALL SELECT first, doc_id, len(g) FROM (SELECT doc_id, g, min(doc_id) OVER (PARTITION BY g) AS first FROM s) WHERE doc_id <> first""",
     view=False,
 )
 def shingle_overlap(spark, folder):
-    """Texts with 20 or more three-word shingles in common: pairs of representatives of equal sets, and the members of each set (common: null)."""
+    """Texts with 20 or more three-word shingles in common: pairs of representatives of equal sets, and each set's members, which have all of it in common."""
     classes = cut(dedupe.shingle_classes(table(spark, folder, "documents"), "doc_id", "text"))
-    members = classes.filter("doc_id <> class").select(F.col("class").alias("a"), F.col("doc_id").alias("b"), F.lit(None).cast("long").alias("common"))
+    members = classes.filter("doc_id <> class").select(F.col("class").alias("a"), F.col("doc_id").alias("b"), F.size("shingles").cast("long").alias("common"))
     return dedupe.shingle_pairs(classes, "doc_id").unionByName(members)
 
 

@@ -78,7 +78,7 @@ def registry_slice(spark, folder):
 
 @query(
     """SELECT c_name AS handle, coalesce(CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 'Curated ' || c_custkey END, CASE WHEN c_custkey % 5 <> 0 THEN 'Full ' || c_custkey END, c_name) AS label,
-      coalesce(CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END, CASE WHEN c_custkey % 3 = 0 THEN -c_custkey END) AS user_id, c_custkey % 3 = 0 AS curated FROM customer""",
+      CAST(coalesce(CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END, CASE WHEN c_custkey % 3 = 0 THEN -c_custkey END) AS VARCHAR) AS user_id, c_custkey % 3 = 0 AS curated FROM customer""",
     view=False,
 )
 def roster_enrichment(spark, folder):
@@ -86,7 +86,8 @@ def roster_enrichment(spark, folder):
     c, key = table(spark, folder, "customer"), F.col("c_custkey")
     followed = c.select(F.col("c_name").alias("handle"), F.when(key % 5 != 0, F.concat(F.lit("Full "), key)).otherwise("").alias("label"), F.when(key % 7 != 0, key).alias("user_id"))
     curated = c.filter(key % 3 == 0).select(F.upper("c_name").alias("handle"), F.when(key % 2 == 0, F.concat(F.lit("Curated "), key)).otherwise("").alias("label"), (-key).alias("user_id"))
-    return lookups.enriched_roster(lookups.roster(followed, curated), curated)
+    found = lookups.enriched_roster(lookups.roster(followed, curated), curated)
+    return found.withColumn("user_id", F.col("user_id").cast("string"))
 
 
 @query(

@@ -19,7 +19,7 @@ def oracle():
 
 
 def plain(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)) or str(value) == "NaT":
+    if value is None or (isinstance(value, float) and math.isnan(value)) or str(value) in ("NaT", "<NA>"):
         return "null"
     if isinstance(value, (int, float)) or hasattr(value, "dtype"):
         return f"{float(value):.6g}" if not hasattr(value, "isoformat") else str(value)
