@@ -28,7 +28,7 @@ CASES = {
     "unnumbered repeat": (row("ig_chess_p1", "GM #1 - Intro to Gambits"), row("ig_chess_p2", "First Member Meeting"), True),
     "contradiction": (row("ig_chess_p1", "Silent Blitz Session 1"), row("ig_chess_p2", "Silent Blitz Session 2"), False),
     "same slot": (row("ig_chess_p1", "Boba Social", e="2026-10-05 22:00:00"), row("ig_chess_p2", "Designing Dreams", e="2026-10-05 22:00:00", place=""), True),
-    "shared occasion": (row("ig_chess_p1", "Latinx Heritage Soccer Night", place="Soccer Stadium"), row("ig_bears_p2", "Highlanders Game Latin Heritage Soccer", place="Soccer Stadium", host="Bears", handle="bears"), True),
+    "shared occasion": (row("ig_chess_p1", "Latinx Heritage Soccer Night", place="Soccer Stadium"), row("ig_bears_p2", "Varsity Game Latin Heritage Soccer", place="Soccer Stadium", host="Bears", handle="bears"), True),
     "corrected deadline": (
         row("ig_chess_p1", "Mentoring Intake Deadline", kind="student_deadline", text=LONG.format("Oct 5")),
         row("ig_chess_p2", "Mentoring Intake Deadline", kind="student_deadline", text=LONG.format("Oct 19"), s="2026-10-19 20:00:00"),
@@ -37,7 +37,7 @@ CASES = {
     "superseded schedule": (row("ig_chess_p1-a1", "First General Meeting", place="HUB 269"), row("ig_chess_p2", "Trivia Night", place="HUB 260"), True),
     "same span": (
         row("ig_chess_p1", "Family Weekend", place="", s=MIDNIGHT, e=THIRD, all_day=True),
-        row("ig_bears_p2", "Highlander Family Weekend 2026", place="", s=MIDNIGHT, e=THIRD, all_day=True, host="Bears", handle="bears"),
+        row("ig_bears_p2", "Autumn Family Weekend 2026", place="", s=MIDNIGHT, e=THIRD, all_day=True, host="Bears", handle="bears"),
         True,
     ),
     "quoted story": (
