@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat_template import format_conversations
 from .decontaminate import find_contamination
@@ -17,6 +18,7 @@ from .sharding import shard_documents
 from .shared import read_table
 from .simhash import near_duplicates
 from .toxicity import score_toxicity
+from .whitening import whiten
 
 
 def op1_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +76,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(conversations.unionByName(odd))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(read_table(spark, sf_dir, "embeddings"), components=32)
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_pigeonhole": op8_simhash_pigeonhole,
     "op9_simhash_decontamination": op9_simhash_decontamination,
     "op10_chat_format": op10_chat_format,
+    "op13_embedding_whitening": op13_embedding_whitening,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
