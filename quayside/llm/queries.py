@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_template import format_conversations
+from .conversation_repair import damaged, repair_digests
 from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
 from .packing import pack
@@ -76,6 +77,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(conversations.unionByName(odd))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digests(damaged(read_table(spark, sf_dir, "conversations")))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whiten(read_table(spark, sf_dir, "embeddings"), components=32)
     return found.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
@@ -98,10 +103,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_pigeonhole": op8_simhash_pigeonhole,
     "op9_simhash_decontamination": op9_simhash_decontamination,
     "op10_chat_format": op10_chat_format,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_embedding_whitening": op13_embedding_whitening,
     "pipeline": pipeline,
 }
+#: The damage by a table of CRC-32 remainders; the repair turn by turn, the cheapest of each last role kept with its audit and text.
+REPAIR_SQL = """
+    WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([CAST(b AS BIGINT)], range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+      given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor(list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+          lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM conversations, crc),
+      turns AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM given),
+      placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM turns),
+      judged AS (SELECT *, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS p,
+        CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+             WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 't' ELSE '' END AS fault FROM placed),
+      steps AS (SELECT conv_id, 0 AS i, [{'q': '', 'c': 0, 'a': '', 't': ''}] AS best FROM (SELECT DISTINCT conv_id FROM conversations)
+        UNION ALL
+        SELECT s.conv_id, j.i, list_filter([CASE WHEN len(x) > 0 THEN {'q': x[1].q, 'c': x[1].c, 'a': x[1].a, 't': x[1].t} END
+            FOR x IN [list_sort([{'c': y.c, 'a': y.a, 't': y.t, 'q': y.q} FOR y IN o IF y.q = q]) FOR q IN ['', 's', 'u', 'a']]], lambda y: y IS NOT NULL)
+        FROM steps s JOIN judged j ON s.conv_id IS NOT DISTINCT FROM j.conv_id AND j.i = s.i + 1, LATERAL (SELECT flatten(list_transform(s.best, lambda b: list_concat(
+          [{'q': b.q, 'c': b.c + 4, 'a': b.a || 'D', 't': b.t}],
+          CASE WHEN j.fault IN ('b', 'd') THEN [] ELSE list_concat(
+            CASE WHEN j.r = 's' AND b.q = '' THEN [{'q': 's', 'c': b.c + 3 * CAST(j.fault = 't' AS INTEGER), 'a': b.a || 'K', 't': b.t || chr(10) || j.role || ':' || j.text}] ELSE [] END,
+            list_transform(['u', 'a'], lambda z: {'q': z,
+              'c': b.c + 3 * CAST(j.fault = 't' AS INTEGER) + 3 * CAST(j.r <> z AS INTEGER) + 3 * CAST((z = 'u') = (b.q = 'u') AS INTEGER),
+              'a': b.a || CASE WHEN (z = 'u') = (b.q = 'u') THEN 'I' ELSE '' END || CASE WHEN j.r = z THEN 'K' ELSE 'R' END,
+              't': b.t || CASE WHEN (z = 'u') = (b.q = 'u') THEN chr(10) || CASE z WHEN 'a' THEN 'user:' ELSE 'assistant:' END ELSE '' END
+                || chr(10) || CASE WHEN j.r = z THEN j.role WHEN z = 'u' THEN 'user' ELSE 'assistant' END || ':' || j.text})) END))) AS o)),
+      ends AS (SELECT conv_id, list_sort(list_transform(best, lambda b: {'c': b.c + CASE b.q WHEN 's' THEN 6 WHEN 'u' THEN 3 ELSE 0 END, 'a': b.a || CASE b.q WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END,
+          't': b.t || CASE b.q WHEN 's' THEN chr(10) || 'user:' || chr(10) || 'assistant:' WHEN 'u' THEN chr(10) || 'assistant:' ELSE '' END}))[1] AS e
+        FROM steps QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+      counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+        count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (i > 1 AND p || r NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+    SELECT ends.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+      CAST(e.c AS BIGINT) AS cost, e.a AS audit, sha256(CASE WHEN e.t = '' THEN '' ELSE e.t[2:] END) AS repaired_sha256
+    FROM ends LEFT JOIN counts ON ends.conv_id IS NOT DISTINCT FROM counts.conv_id"""
+
 ORACLES: dict[str, str] = {
+    "op12_conversation_repair": REPAIR_SQL,
     "op5_streaming_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
