@@ -11,6 +11,7 @@ from .chat_template import format_conversations
 from .conversation_repair import damaged, repair_digests
 from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
+from .locally_consistent import compare_with_edits
 from .packing import pack
 from .pii import replace_entities
 from .quality import score_quality
@@ -77,6 +78,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(conversations.unionByName(odd))
 
 
+def op11_locally_consistent_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(read_table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_digests(damaged(read_table(spark, sf_dir, "conversations")))
 
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_pigeonhole": op8_simhash_pigeonhole,
     "op9_simhash_decontamination": op9_simhash_decontamination,
     "op10_chat_format": op10_chat_format,
+    "op11_locally_consistent_fingerprints": op11_locally_consistent_fingerprints,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_embedding_whitening": op13_embedding_whitening,
     "pipeline": pipeline,
