@@ -134,9 +134,9 @@ def followed_decisions(spark, folder):
 
 
 def _variants(spark, folder):
-    """A third of the listings (so that days stay small), and variants of every fourth under other ids: a second post of the
-    account, another account's post that credits it, and sessions of one post."""
-    rows = _rows(spark, folder).filter("k % 3 = 1")
+    """All listings, and variants of every fourth under other ids: a second post of the account, another account's post that
+    credits it, and sessions of one post."""
+    rows = _rows(spark, folder)
     k = F.col("k")
     other = [c for c in rows.columns if c not in ("id", "location", "has_free_food", "rsvp_url", "title", "description", "host_handle", "host", "ends_at")]
     again = rows.filter("k % 4 = 1").select(
@@ -162,15 +162,15 @@ def _facts(spark, folder):
     return cut(pairs.facts(_variants(spark, folder)))
 
 
-_VARIANTS = """, third AS (SELECT * FROM listings WHERE k % 3 = 1),
-  variants AS (SELECT id, k, title, description, location, host, host_handle, starts_at, ends_at, all_day, content_kind, day, rsvp_url FROM third
+_VARIANTS = """, variants AS (SELECT id, k, title, description, location, host, host_handle, starts_at, ends_at, all_day, content_kind, day, rsvp_url FROM listings
     UNION ALL SELECT 'ig_' || host_handle || '_p' || (k + 1000000), k, CASE WHEN k % 7 = 0 THEN title || ' 2nd Annual' WHEN k % 7 = 1 THEN 'Club ' || k % 40 || ' presents ' || title ELSE title END, description,
-      CASE WHEN k % 8 = 1 THEN '' ELSE location END, host, host_handle, starts_at, ends_at, all_day, content_kind, day, CASE WHEN k % 5 = 0 THEN 'https://forms.gle/again' ELSE rsvp_url END FROM third WHERE k % 4 = 1
-    UNION ALL SELECT 'ig_partner_p' || (k + 2000000), k, title, 'Together with @' || host_handle || '. ' || description, location, 'Partner', 'partner', starts_at, NULL, all_day, content_kind, day, rsvp_url FROM third WHERE k % 16 = 1),
+      CASE WHEN k % 8 = 1 THEN '' ELSE location END, host, host_handle, starts_at, ends_at, all_day, content_kind, day, CASE WHEN k % 5 = 0 THEN 'https://forms.gle/again' ELSE rsvp_url END FROM listings WHERE k % 4 = 1
+    UNION ALL SELECT 'ig_partner_p' || (k + 2000000), k, title, 'Together with @' || host_handle || '. ' || description, location, 'Partner', 'partner', starts_at, NULL, all_day, content_kind, day, rsvp_url FROM listings WHERE k % 16 = 1),
   words AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')), lambda w: length(w) > 1 AND NOT list_contains(['the', 'of', 'at', 'and', 'for', 'to', 'a', 'an', 'annual', 'save', 'date'], w)) AS tw FROM variants),
   rarity AS (SELECT word, ln((total + 1) / (count(DISTINCT host_handle) + 1)) AS r FROM (SELECT host_handle, unnest(tw) AS word FROM words), (SELECT count(DISTINCT host_handle) AS total FROM words) GROUP BY word, total),
-  grams AS (SELECT *, list_distinct(list_transform(range(1, length(sq) - 1), lambda i: sq[i:i + 2])) AS g FROM (SELECT *, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS sq FROM words)),
-  two AS (SELECT l.id AS l_id, r.id AS r_id, l.content_kind AS kind, l.host_handle = r.host_handle AS acc, l.starts_at = r.starts_at AS st, l.g AS lg, r.g AS rg, l.description AS ld, r.description AS rd, l.host_handle AS lh, r.host_handle AS rh
+  grams AS (SELECT *, list_transform(regexp_extract_all(lower(description), '@([a-z0-9._]+)', 1), lambda m: rtrim(m, '.')) AS named, list_distinct(list_transform(range(1, length(sq) - 1), lambda i: sq[i:i + 2])) AS g FROM (SELECT *, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS sq FROM words)),
+  two AS (SELECT l.id AS l_id, r.id AS r_id, l.content_kind AS kind, l.host_handle = r.host_handle AS acc, l.starts_at = r.starts_at AS st, l.g AS lg, r.g AS rg,
+      list_contains(l.named, r.host_handle) OR list_contains(r.named, l.host_handle) AS credit
     FROM grams l JOIN grams r USING (content_kind, day) WHERE l.id < r.id AND content_kind <> 'other')
 """
 
@@ -178,7 +178,7 @@ _VARIANTS = """, third AS (SELECT * FROM listings WHERE k % 3 = 1),
 @query(
     _VARIANTS
     + """SELECT l_id, r_id, CAST(acc AS DOUBLE) AS same_account, CAST(st AS DOUBLE) AS same_start, round(len(list_intersect(lg, rg)) / greatest(1, least(len(lg), len(rg))), 6) AS title_spelling,
-      CAST(contains(ld, '@' || rh) OR contains(rd, '@' || lh) AS DOUBLE) AS credited, CAST(kind = 'student_deadline' AS DOUBLE) AS deadline FROM two WHERE acc OR contains(ld, '@' || rh) OR contains(rd, '@' || lh)"""
+      CAST(credit AS DOUBLE) AS credited, CAST(kind = 'student_deadline' AS DOUBLE) AS deadline FROM two WHERE acc OR credit"""
 )
 def duplicate_features(spark, folder):
     """The features that SQL expresses, of pairs of one account or with a credit."""

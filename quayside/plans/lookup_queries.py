@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import times, urls
 from ..operators import changes, feed, lookups
-from ..sources.listings import NOW, VIEW_SQL, listings
+from ..sources.listings import NOW, VIEW_SQL, listings, utc_sql
 from ..sources.tables import table
 from .feed_queries import BARE_SQL, kind_sql
 
@@ -516,14 +516,13 @@ def stale_posts(spark, folder):
 
 
 @query(
-    f"""SELECT id, CASE WHEN k % 3 < 2 AND k % 2 = 0 THEN s + INTERVAL 4 HOUR ELSE s - INTERVAL 20 HOUR END AS ends_at FROM
-      (SELECT id, k, CAST(starts_at AS DATE) + INTERVAL 3 HOUR AS s FROM listings WHERE month(starts_at) BETWEEN 5 AND 9)"""
+    f"""SELECT id, {utc_sql("CASE WHEN k % 3 < 2 AND (k % 2 = 0 OR strftime(d, '%m-%d') = '01-01') THEN d + INTERVAL 1 DAY ELSE d END")} AS ends_at FROM (SELECT id, k, CAST(ls AS DATE) AS d FROM listings)"""
 )
 def midnight_ends(spark, folder):
-    """Starts at 20:00 on the campus whose end was read as the midnight before; the range and the day are printed for some."""
-    start = (F.date_trunc("day", "starts_at") + F.expr("INTERVAL '3' HOUR")).cast("timestamp_ntz")
-    rows = listings(spark, folder).filter("month(starts_at) BETWEEN 5 AND 9").select("id", "k", start.alias("s"))
-    end = F.col("s") - F.expr("INTERVAL '20' HOUR")
+    """Starts at 20:00 on the campus whose end was read as the midnight before; the range and the day are printed for some.  Clock changes are among the days."""
+    midnight = F.date_trunc("day", times.campus_time(F.col("starts_at"))).cast("timestamp_ntz")
+    rows = listings(spark, folder).select("id", "k", times.utc_time((midnight + F.expr("INTERVAL '20' HOUR")).cast("timestamp_ntz")).alias("s"), times.utc_time(midnight).alias("e"))
+    end = F.col("e")
     day = F.when(F.col("k") % 2 == 0, F.date_format(times.campus_time(F.col("s")), "MM-dd")).otherwise("01-01")
     return rows.select("id", times.repaired_end(F.col("s"), end, F.when(F.col("k") % 3 < 2, "20:00-00:00").otherwise("20:00-23:00"), day).alias("ends_at"))
 

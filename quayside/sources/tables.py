@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,18 +17,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read again: what follows is planned by itself.
+_FOLDERS: list[str] = []
 
-    A local session without such a folder gets one of its own.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        given = context.getConf().get("spark.checkpoint.dir")
-        if not given and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="quayside-"))
-    return df.checkpoint()
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a local session without it gets one of its own."""
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _FOLDERS:
+        _FOLDERS.append("file://" + tempfile.mkdtemp(prefix="quayside-"))
+    return _FOLDERS[0]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: what follows is planned by itself, with columns pruned."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_archive(spark: SparkSession, path: str, handles: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
