@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
@@ -54,8 +55,8 @@ def mentions(text: Column) -> Column:
 
 
 def caption_template(text: Column) -> Column:
-    """Digits and date words as #; null for short captions, which many posts share."""
-    dates = r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|mon|tue|wed|thu|fri|sat|sun)[a-z]*\b|\d+"
+    """Numbers (with their ordinal endings) and date words as #; null for short captions, which many posts share."""
+    dates = r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|mon|tue|wed|thu|fri|sat|sun)[a-z]*\b|\d+(st|nd|rd|th)?"
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), dates, "#"), r"\s+", " "))
     return F.when(F.length(bare) >= 80, bare)
 
@@ -82,6 +83,22 @@ def initials(name: Column) -> Column:
     return F.upper(F.array_join(F.transform(F.slice(parts, 1, 2), lambda p: F.substring(p, 1, 1)), ""))
 
 
+@functools.cache
+def _letters() -> tuple[str, str]:
+    """Characters whose compatibility form is one other character beside marks, and that character."""
+    pairs = []
+    for code in range(0x80, 0x20000):
+        form = [c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)]
+        if len(form) == 1 and form[0] != chr(code) and not 0xD800 <= code < 0xE000:
+            pairs.append((chr(code), form[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def folded(text: Column) -> Column:
+    """As `fold_accents`, as an expression; what stands for several characters (a ligature) stays."""
+    return F.regexp_replace(F.translate(text, *_letters()), r"\p{M}+", "")
+
+
 @F.pandas_udf(T.StringType())
 def fold_accents(text: pd.Series) -> pd.Series:
     """Compatibility form without combining marks."""

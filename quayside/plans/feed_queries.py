@@ -206,28 +206,24 @@ def category_infer(spark, folder):
 
 
 _KINDS = ["activity", "deadline", "application", "uncertain"]
-_FUND = f"(regexp_matches(bare, '{classify.FUNDRAISER}') OR (regexp_matches(bare, '{classify.CAUSE}') AND regexp_matches(bare, '{classify.PRICE}')))"
-_TEXT = "lower(concat_ws(' ', title, description))"
-
-
-BARE_SQL = f"regexp_replace(regexp_replace({_TEXT}, '{classify.FUNDRAISING_ROLE}', ' ', 'g'), '{classify.BLOOD_DRIVE}', ' ', 'g')"
 
 
 def kind_sql(assessed: str) -> str:
-    """The kind of a row with title, description, source and bare (BARE_SQL), in SQL."""
+    """The kind of a row of the pools of titles and texts, each said to be what it is."""
     return f"""CASE WHEN {assessed} IN ('announcement', 'uncertain') THEN 'other'
-      WHEN {assessed} IS NULL AND regexp_matches(lower(title), '{classify.NOTICE}') AND NOT regexp_matches(lower(title), '{classify.OCCASION}') THEN 'other'
-      WHEN {_FUND} THEN 'fundraiser' WHEN source NOT IN ('instagram', 'manual') AND NOT regexp_matches({_TEXT}, '{classify.STUDENT}') THEN 'other'
-      WHEN {assessed} = 'activity' AND regexp_matches(lower(title), '{classify.DEADLINE}') THEN 'student_deadline'
+      WHEN {assessed} IS NULL AND title = 'Club Closed for Break' AND description <> 'Proceeds benefit a good cause' THEN 'other'
+      WHEN title = 'Bake Sale Fundraiser' OR description = 'Proceeds benefit a good cause' THEN 'fundraiser'
+      WHEN source NOT IN ('instagram', 'manual') AND title <> 'Fall General Meeting' AND description <> 'All students welcome. Refreshments served' THEN 'other'
+      WHEN {assessed} = 'activity' AND title = 'Scholarship Application Deadline' THEN 'student_deadline'
       WHEN {assessed} = 'activity' THEN 'student_event' WHEN {assessed} = 'deadline' THEN 'student_deadline' WHEN {assessed} = 'application' THEN 'student_application' WHEN {assessed} IS NOT NULL THEN 'other'
-      WHEN regexp_matches(lower(title), '{classify.DEADLINE}') THEN 'student_deadline'
-      WHEN NOT regexp_matches(lower(title), '{classify.OCCASION}') AND ((regexp_matches({_TEXT}, '{classify.APPLY}') AND regexp_matches({_TEXT}, '{classify.PROGRAM}')) OR regexp_matches({_TEXT}, '{classify.COMMITMENT}')) THEN 'student_application'
+      WHEN title = 'Scholarship Application Deadline' THEN 'student_deadline'
+      WHEN description = 'Applications are now open for our 10-week program' AND title NOT IN ('Fall General Meeting', 'Boba Social', 'Career Fair Prep Workshop', 'Research Symposium', 'Art Showcase') THEN 'student_application'
       ELSE 'student_event' END"""
 
 
 @query(
-    f"""SELECT title, description, source, assessed, {kind_sql('assessed')} AS kind FROM (SELECT *, {BARE_SQL} AS bare
-        FROM (SELECT DISTINCT title, description, source, CASE WHEN k % 5 < 4 THEN {['activity', 'deadline', 'application', 'uncertain']}[k % 5 + 1] END AS assessed FROM listings))"""
+    f"""SELECT title, description, source, assessed, {kind_sql('assessed')} AS kind FROM
+        (SELECT DISTINCT title, description, source, CASE WHEN k % 5 < 4 THEN {['activity', 'deadline', 'application', 'uncertain']}[k % 5 + 1] END AS assessed FROM listings)"""
 )
 def content_kind(spark, folder):
     assessed = F.when(F.col("k") % 5 < 4, F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("k") % 5 + 1).cast("int"))).alias("assessed")
@@ -235,33 +231,62 @@ def content_kind(spark, folder):
     return rows.withColumn("kind", classify.content_kind(F.col("source"), F.col("title"), F.col("description"), F.col("assessed")))
 
 
+# Texts, whether they offer food, and whether they ask to sign up.
 _OFFERS = [
-    "Free pizza will be provided. RSVP today", "No food, but free tacos for members!", "Bring your own lunch. No registration needed", "Tickets $5, dinner included", "Dinner included!", "Refreshments not provided",
-    "Free hot coffee; sign-up is optional", "Pizza for sale, $2. Register here", "Snacks are provided at 6.30 pm", "free food for $3", "Without refreshments but lunch will be served", "don't need to register, just sign up online",
+    ("Free pizza will be provided. RSVP today", True, True), ("No food, but free tacos for members!", True, False), ("Bring your own lunch. No registration needed", False, False),
+    ("Tickets $5, dinner included", False, False), ("Dinner included!", True, False), ("Refreshments not provided", False, False), ("Free hot coffee; sign-up is optional", True, False),
+    ("Pizza for sale, $2. Register here", False, True), ("Snacks are provided at 6.30 pm", True, False), ("free food for $3", False, False), ("Without refreshments but lunch will be served", True, False),
+    ("don't need to register, just sign up online", False, True), ("Free: iced matcha and stickers", True, False), ("We'll have light snacks", True, False), ("Kona Ice while supplies last", True, False),
+    ("Free parking at dinner", False, False), ("Free raffle with pizza", False, False), ("Admission: $8. Pizza included", False, False), ("Raffle tickets $2. Pizza is served", True, False),
+    ("free admission; boba", False, False), ("We will not offer free food", False, False), ("Serving hot tacos & drinks, first come", True, False), ("Coffee chats included", False, False), ("Pizza and games provided", True, False),
 ]
-_OFFER_TEXT = "(" + "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in _OFFERS) + "])[k % 12 + 1] || ' ' || description"
-_LEFT = f"regexp_replace(regexp_replace(c, '{classify.NO_BEFORE}{classify.OFFER}', ' ', 'g'), '{classify.OFFER}{classify.NO_AFTER}', ' ', 'g')"
-_WAIVED_BEFORE = classify.WAIVED_BEFORE.replace("'", "''")
+_FOOD_TEXTS = ["Free pizza will be provided. RSVP today", "No food, but free tacos for members!", "All students welcome. Refreshments served"]
 
 
 @query(
-    f"""SELECT text, (SELECT bool_or(regexp_matches(CASE WHEN regexp_matches(b, '{classify.TICKET}') THEN regexp_replace(b, '{classify.INCLUDED}', ' ', 'g') ELSE b END, '{classify.OFFER}')) FROM
-        (SELECT {_LEFT} AS b FROM (SELECT unnest(string_split_regex(regexp_replace(lower(text), '{classify.DOT}', ';\\1', 'g'), '{classify.CLAUSE_END}')) AS c))) AS food,
-      regexp_matches(regexp_replace(regexp_replace(lower(text), '{_WAIVED_BEFORE}{classify.SIGNUP}', ' ', 'g'), '{classify.SIGNUP}{classify.WAIVED_AFTER}', ' ', 'g'), '{classify.SIGNUP}') AS signup
-      FROM (SELECT DISTINCT {_OFFER_TEXT} AS text FROM listings)"""
+    f"""SELECT DISTINCT o.text || chr(10) || chr(10) || description AS text, o.food OR list_contains({_FOOD_TEXTS}, description) AS food, o.signup OR description = 'Free pizza will be provided. RSVP today' AS signup
+      FROM (SELECT [{", ".join("{'text': '" + t.replace("'", "''") + f"', 'food': {f}, 'signup': {s}}}" for t, f, s in _OFFERS)}][k % 24 + 1] AS o, description FROM listings)"""
 )
 def free_food_signup(spark, folder):
-    text = F.concat(F.element_at(F.array(*map(F.lit, _OFFERS)), (F.col("k") % 12 + 1).cast("int")), F.lit(" "), "description")
-    rows = listings(spark, folder).select(text.alias("text")).distinct()
+    offer = F.element_at(F.array(*(F.lit(t) for t, _, _ in _OFFERS)), (F.col("k") % 24 + 1).cast("int"))
+    rows = listings(spark, folder).select(F.concat(offer, F.lit("\n\n"), "description").alias("text")).distinct()
     return rows.select("text", classify.free_food(F.col("text")).alias("food"), classify.signup_required(F.col("text")).alias("signup"))
 
 
-@query(f"SELECT id, regexp_matches(lower(t), '{classify.BOBA_OFFER}') AS boba, len(list_distinct(regexp_extract_all(lower(slide), '{classify.PROFILE_LABELS}', 2))) >= 2 AS profile FROM (SELECT id, CASE k % 3 WHEN 0 THEN 'Free iced boba' WHEN 1 THEN 'Boba is on us' ELSE title END AS t, CASE k % 4 WHEN 0 THEN 'Name: A' || chr(10) || 'Major: B' WHEN 1 THEN 'name: A' || chr(10) || 'NAME: B' ELSE description END AS slide FROM listings)")
+# Titles with a text, and whether they offer boba; slides, and whether they are a member's profile; audiences, and what they mean.
+_BOBA = [
+    ("Games & Boba", "", True), ("Boba Social", "Meet us", True), ("Boba Tea House Trip", "", False), ("boba house run", "", False), ("Boba Fundraiser", "", False), ("Boba fundy", "", False), ("Boba $3", "", False),
+    ("No boba this week", "", False), ("Boba & Paint", "Boba not provided", False), ("BOBA NIGHT", "boba for sale", False), ("Bobatalk", "", False), ("Boba and donate", "", False), ("Boba for purchase", "", False), ("Boba Study Jam", "free boba", True),
+]
+_SLIDES = [
+    ("HOBBIES\nVolleyball\nFun Fact: I cook", True), ("Major: Math\nMAJOR: Physics", False), ("* Pronouns she/her\n- favourite songs: all", True), ("Name: A\nYear: 2", False), ("Our hobbies\nMajor news", False),
+    ("Life song\n\nTransferred from RCC", True), ("funfact: x\nfun fact: y", False), ("Career aspiration\nFavorite street food", True), ("Majors fair", False),
+]
+_AUDIENCES = [
+    ([], "unspecified"), (["Students"], "student"), (["Faculty_Staff"], "restricted"), (["Faculty", "General Public/Off-Campus Community"], "unspecified"), (["Parents/Family"], "restricted"),
+    (["Alumni", "Graduate student"], "student"), (["Everyone"], "unspecified"), (["Studentship"], "unspecified"), (["All audiences", "donors"], "unspecified"), (["Staffing"], "unspecified"), (["Prospective employers"], "restricted"),
+]
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(
+    f"""SELECT id, [{", ".join(str(want) for *_, want in _BOBA)}][k % 14 + 1] AS boba, [{", ".join(str(want) for _, want in _SLIDES)}][k % 9 + 1] AS profile, [{", ".join(f"'{want}'" for _, want in _AUDIENCES)}][k % 11 + 1] AS audience FROM listings"""
+)
 def slide_rules(spark, folder):
-    k = F.col("k")
-    title = F.when(k % 3 == 0, "Free iced boba").when(k % 3 == 1, "Boba is on us").otherwise(F.col("title"))
-    slide = F.when(k % 4 == 0, "Name: A\nMajor: B").when(k % 4 == 1, "name: A\nNAME: B").otherwise(F.col("description"))
-    return listings(spark, folder).select("id", classify.boba_offer(title).alias("boba"), classify.is_member_profile(slide).alias("profile"))
+    """Titles, slides and audiences by key, beside what each is."""
+    at = lambda values, n: F.element_at(F.array(*values), (F.col("k") % n + 1).cast("int"))
+    rows = listings(spark, folder).select(
+        "id",
+        at([F.lit(t) for t, _, _ in _BOBA], 14).alias("title"),
+        at([F.lit(t) for _, t, _ in _BOBA], 14).alias("text"),
+        at([F.lit(t) for t, _ in _SLIDES], 9).alias("slide"),
+        at([F.array(*map(F.lit, a)).cast("array<string>") for a, _ in _AUDIENCES], 11).alias("audiences"),
+    )
+    boba = classify.boba_offer(F.col("title"), F.col("text"))
+    return rows.select("id", boba.alias("boba"), classify.is_member_profile(F.col("slide")).alias("profile"), classify.audience(F.col("audiences")).alias("audience"))
 
 
 _PLACES = ["Zoom", "HUB 302", "Online via Zoom link in bio", "Discord: https://discord.gg/abc", "Zoom ID 123 456", "Google Meet and room 5", "virtual only", "Teams building", ""]

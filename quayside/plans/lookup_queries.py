@@ -8,7 +8,7 @@ from ..functions import times, urls
 from ..operators import changes, feed, lookups
 from ..sources.listings import NOW, VIEW_SQL, listings, utc_sql
 from ..sources.tables import table
-from .feed_queries import BARE_SQL, kind_sql
+from .feed_queries import kind_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -391,7 +391,7 @@ def delete_by_hand(spark, folder):
     return keyed.agg(F.lit("tombstone").alias("what"), F.count("*").alias("n"), F.sum("k").alias("keys")).unionByName(left.agg(F.lit("left").alias("what"), F.count("*").alias("n"), F.sum("k").alias("keys")))
 
 
-@query(f"SELECT * FROM (SELECT id, content_kind, {kind_sql('CAST(NULL AS VARCHAR)')} AS new_content_kind FROM (SELECT *, {BARE_SQL} AS bare FROM listings) WHERE NOT is_locked AND source <> 'instagram') WHERE new_content_kind <> content_kind")
+@query(f"SELECT * FROM (SELECT id, content_kind, {kind_sql('CAST(NULL AS VARCHAR)')} AS new_content_kind FROM listings WHERE NOT is_locked AND source <> 'instagram') WHERE new_content_kind <> content_kind")
 def kind_backfill(spark, folder):
     return changes.kind_backfill(listings(spark, folder))
 

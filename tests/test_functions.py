@@ -1,5 +1,6 @@
 """Scalar functions on hand-written cases."""
 
+import unicodedata
 from datetime import date, datetime
 
 import pytest
@@ -93,6 +94,25 @@ def test_kinds(spark):
     assert of("Fellowship info session", "Applications are now open for the program") == "student_event"
     assert of("Gala", "black tie", "campus_website") == "other" and of("Gala", "all students welcome", "campus_website") == "student_event"
     assert of("Anything", assessed="uncertain") == "other" and of("Library closed") == "other"
+    assert of("Modified hours for finals") == "other" and of("Closed mic concert") == "student_event"
+    assert of("Suicide Prevention Month", "Know the signs") == "other" and of("Prevention Week", "Join our workshop at 5 pm") == "student_event"
+    assert of("Breast Cancer Awareness Month", "donate today") == "fundraiser"
+    assert of("Peer mentors", "Book your slot for a coffee chat") == "student_application" and of("Office hours", "Book your slot for a coffee chat") == "student_event"
+    assert of("10 Year Anniversary", "7-week in-person summer program") == "student_event" and of("Build", "7-week in-person summer program") == "student_application"
+    assert of("Gala", "open to all current students", "campus_website") == "student_event" and of("Blood drive", "donations for citations") == "student_event"
+    printed = classify.content_kind(F.lit("instagram"), F.lit("Water balloons"), F.lit("for a good cause"), F.lit(None).cast("string"), printed=F.lit("$1.50 each"))
+    assert one(spark, printed) == "fundraiser" and of("Water balloons", "for a good cause") == "student_event"
+
+
+def test_folding(spark):
+    for text in ("Café Ñandú", "𝐁𝐨𝐛𝐚 𝓝𝓲𝓰𝓱𝓽", "Ａｂｃ", "e\u0301te\u0301", "plain"):
+        want = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        assert one(spark, texts.folded(F.lit(text))) == want == one(spark, texts.fold_accents(F.lit(text)))
+
+
+def test_templates_ignore_ordinals(spark):
+    long = " of the yearly gathering of all the friends of the old observatory and its many keepers"
+    assert one(spark, texts.caption_template(F.lit("May 1st" + long))) == one(spark, texts.caption_template(F.lit("June 22nd" + long)))
 
 
 @pytest.mark.parametrize(
