@@ -51,6 +51,22 @@ def shortcode_to_media_id(code: Column) -> Column:
     return F.aggregate(digits, zero, lambda total, d: (total * 64 + d).cast("decimal(20,0)"))
 
 
+#: Fixed: a post's permalink; the third group is its shortcode.
+PERMALINK = r"^https?://(www\.)?instagram\.com/(p|reel|tv)/([A-Za-z0-9_-]{1,11})/?([?#]|$)"
+
+
+def permalink_media_id(url: Column) -> Column:
+    """The number of the post that a permalink names, null for other links."""
+    code = F.regexp_extract(F.coalesce(url, F.lit("")), PERMALINK, 3)
+    return F.when(code != "", shortcode_to_media_id(code))
+
+
+def media_id_to_shortcode(number: Column) -> Column:
+    """A number in base 64, eleven digits."""
+    letters = (F.substring(F.lit(SHORTCODE), (F.shiftrightunsigned(number.cast("long"), 6 * i).bitwiseAND(63) + 1).cast("int"), F.lit(1)) for i in reversed(range(11)))
+    return F.concat(*letters)
+
+
 def is_storage_path(path: Column) -> Column:
     return path.rlike(r"^[a-z0-9_]+/[0-9]+/[0-9]+\.(jpg|png|webp)$")
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import texts
-from ..operators import dedupe, evaluate, feed, grouping, pairs
+from ..functions import texts, urls
+from ..operators import dedupe, evaluate, feed, grouping, pairs, withholding
 from ..sources.listings import NOW, VIEW_SQL, listings
 from ..sources.tables import cut, table
 
@@ -224,6 +224,61 @@ def reconcile_removals(spark, folder):
     return grouping.replacements(known, groups, grouping.survivors(known, groups), tombstones, NOW)
 
 
+def _repost_run(spark, folder):
+    """Every imported listing of a fourth key is posted again under a later number; some reposts tell of something else.
+
+    Every eleventh first post is gone, every third source has a new decision, every seventh repost is unknown."""
+    rows = _rows(spark, folder).filter("source = 'instagram'").withColumn("image_url", F.lit(None).cast("string"))
+    k = F.col("k")
+    number = lambda more: F.lit(3_000_000_000_000_000_000).cast("long") + k + more
+    link = lambda more: F.concat(F.lit("https://www.instagram.com/p/"), urls.media_id_to_shortcode(number(more)), F.lit("/"))
+    named = lambda more: F.concat(F.lit("ig_"), "host_handle", F.lit("_p"), number(more).cast("string"))
+    live = rows.filter("k % 4 = 1").withColumns({"id": named(0), "source_url": link(0)})
+    strange = k % 5 == 0
+    again = rows.filter("k % 4 = 1").withColumns(
+        {
+            "id": named(1_000_000), "source_url": link(1_000_000), "has_free_food": ~F.col("has_free_food"),
+            "title": F.when(strange, "Quilting Bee").otherwise(F.col("title")), "starts_at": F.when(strange, F.col("starts_at") + F.expr("INTERVAL '2' HOUR")).otherwise(F.col("starts_at")),
+            "description": F.when(k % 8 == 1, "").otherwise(F.concat(F.lit("Once more: "), "description")),
+        }
+    )
+    source = lambda more: F.concat(F.lit("instagram:post:"), number(more).cast("string"))
+    by = lambda df, more, decision: df.withColumns({"source_key": source(more), "position": k * 2 + int(more > 0), "row_no": F.lit(0), "assessment": decision})
+    proposed = by(live.filter("k % 11 > 0"), 0, F.lit("a")).unionByName(by(again, 1_000_000, F.when(k % 3 == 0, "new").otherwise("a")))
+    stored = live.select(source(0).alias("source_key"), F.lit("a").alias("assessment"), F.when(k % 11 > 0, F.array("id")).otherwise(F.array().cast("array<string>")).alias("event_ids"), F.array("id").alias("known_event_ids"), (k % 11 == 0).alias("deleted"))
+    known = F.when(k % 7 > 0, F.array(named(1_000_000))).otherwise(F.array().cast("array<string>"))
+    stored = stored.unionByName(live.select(source(1_000_000).alias("source_key"), F.lit("a").alias("assessment"), F.array("id").alias("event_ids"), known.alias("known_event_ids"), F.lit(False).alias("deleted")))
+    return proposed, stored, live
+
+
+_REPOSTS = """, posts AS (SELECT *, 'ig_' || host_handle || '_p' || (3000000000000000000 + k) AS old, 'ig_' || host_handle || '_p' || (3000000000001000000 + k) AS new,
+    content_kind <> 'other' AND k % 5 > 0 AS alike FROM listings WHERE source = 'instagram' AND k % 4 = 1),
+  run AS (SELECT *, alike AND k % 3 > 0 AND k % 7 > 0 AS held, alike AND NOT is_locked AND k % 8 <> 1 AND NOT has_free_food AS better FROM posts)
+"""
+
+
+@query(
+    _REPOSTS
+    + """SELECT old AS id, old AS published_from, has_free_food OR held AS has_free_food, CASE WHEN alike AND NOT is_locked AND k % 8 <> 1 AND (NOT has_free_food) THEN 'Once more: ' || description ELSE description END AS description
+      FROM run WHERE k % 11 > 0
+    UNION ALL SELECT old, new, has_free_food, CASE WHEN k % 8 = 1 THEN '' ELSE 'Once more: ' || description END FROM run WHERE k % 11 = 0 AND held AND NOT is_locked
+    UNION ALL SELECT new, new, NOT has_free_food, CASE WHEN k % 8 = 1 THEN '' ELSE 'Once more: ' || description END FROM run WHERE NOT held"""
+)
+def withheld_run(spark, folder):
+    """What a run publishes of reposts that were merged before, with the details that stay and the words of corrected reposts."""
+    return withholding.withhold(*_repost_run(spark, folder)).select("id", "published_from", "has_free_food", "description")
+
+
+@query(_REPOSTS + "SELECT old AS winner, new AS source FROM run WHERE better")
+def corrected_reposts(spark, folder):
+    """Listings that a later post of theirs replaces: it says no less and tells of the same."""
+    proposed, _, live = _repost_run(spark, folder)
+    known = cut(pairs.facts(live.unionByName(proposed.select(live.columns).join(live.select("id"), "id", "left_anti"))))
+    matches = pairs.same_event(pairs.candidate_pairs(known)).filter("verdict")
+    none = spark.createDataFrame([], "id string, kept string")
+    return withholding.preferred_reposts(live.select("id"), known, matches, none)
+
+
 @query()
 def shadow_report(spark, folder):
     """How the score sees what the rules decide: pairs by verdict and advice, and the quartiles of their scores."""
