@@ -3,7 +3,9 @@
 Entities are found in every text and normalised; one entity has one surrogate over the whole
 corpus (coreference), two entities of a type never share one (distinctness), and no surrogate is an
 entity that occurs.  Surrogates come from a keyed hash and keep type, gender, script and format.
-They are drawn for distinct entities only; those that collide are drawn again until none does.
+They are drawn for distinct entities only; those that collide are drawn again, and where a format
+(such as addresses of one letter at one host) is nearly full, those left are matched with what is
+free in it.  If nothing is, the address gets longer: distinctness comes before its length.
 
 A person is introduced by a title or a phrase ("my name is").  Given names and the family name have
 surrogates of their own, so "Mrs Anna Keller", "Dr Anna Keller", "Mrs Keller" and the bare "Anna
@@ -20,8 +22,9 @@ import ipaddress
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import join_counted, slices, texts_of, written
@@ -54,7 +57,10 @@ SYLLABLES = {"latin": "ba be da do fe ga ho ka la le ma mo na no pe ra ri sa te
 #: Fixed: character ranges a keyed substitution stays inside of.
 RANGES = ("az", "AZ", "09", "àö", "øÿ", "ÀÖ", "ØÞ", "ая", "АЯ", "αω", "一鿋", "ぁん", "ァン")
 TYPES = ("email", "iban", "ip", "ip6", "ssn", "card", "phone", "given", "family")
-ROUNDS = 40
+#: Attempts at random; those that still collide are matched with what is free in their format, and from WIDER on formats grow.
+ROUNDS, WIDER = 8, 1000
+#: A format of at most this many surrogates for each of its entities is listed.
+LISTED = 16
 
 FOUND = "doc_id long, text string, entities array<struct<type:string,norm:string,start:long,end:long,gender:string>>"
 ENTITY = pa.struct([("type", pa.string()), ("norm", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("gender", pa.string())])
@@ -173,14 +179,48 @@ def substituted(text: str, draw: Keyed) -> str:
     return "".join(out)
 
 
+def _other_domain(domain: str, key: bytes) -> str:
+    host, _, top = domain.rpartition(".")
+    return substituted(host, Keyed(key, "domain", domain)) + "." + top
+
+
+def small_class(kind: str, norm: str, key: bytes) -> tuple[str, int] | None:
+    """The format that an address's surrogate has to keep, and how many surrogates have it.
+
+    A format is a pattern: letters and digits stand for their range.  Only addresses have formats
+    small enough to be full; other types draw from so many that a few attempts always do.
+    """
+    if kind != "email":
+        return None
+    local, _, domain = norm.rpartition("@")
+    size, pattern = 1, []
+    for c in local:
+        low, high = next(((a, b) for a, b in RANGES if a <= c <= b), (c, c))
+        size *= ord(high) - ord(low) + 1
+        pattern.append(low)
+    return "".join(pattern) + "@" + _other_domain(domain, key), size
+
+
+def member(pattern: str, n: int) -> str:
+    """The n-th surrogate of a format."""
+    local, _, domain = pattern.rpartition("@")
+    out = []
+    for c in reversed(local):
+        low, high = next(((a, b) for a, b in RANGES if a == c), (c, c))
+        n, k = divmod(n, ord(high) - ord(low) + 1)
+        out.append(chr(ord(low) + k))
+    return "".join(reversed(out)) + "@" + domain
+
+
 def surrogate(kind: str, norm: str, attempt: int, key: bytes, gender: str = "n") -> str:
     """The normal form of the entity's surrogate.  With every attempt there are more to draw from."""
     draw = Keyed(key, kind, norm, str(attempt))
     if kind == "email":
         local, _, domain = norm.rpartition("@")
         # the domain has a surrogate of its own, so that addresses of one host stay together
-        host, _, top = domain.rpartition(".")
-        return substituted(local, draw) + "@" + substituted(host, Keyed(key, "domain", domain)) + "." + top
+        if attempt >= WIDER:  # a fuller format has no address left
+            local += "".join("a" if local[-1:].isalpha() else "0" for _ in range(1 + (attempt - WIDER) // 4))
+        return substituted(local, draw) + "@" + _other_domain(domain, key)
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "iban":
@@ -244,7 +284,7 @@ def draw_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
     and none is an entity of its type.
 
     Neither null types nor null norms may occur; an empty table gives none; further columns are not
-    looked at.  Of entities that drew the same the one with the smallest norm keeps it.
+    looked at.  Of entities that drew the same the one with the smallest norm keeps it.  This always ends.
     """
 
     def drawn(rows: DataFrame) -> DataFrame:
@@ -258,16 +298,53 @@ def draw_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
 
     real = entities.select("type", F.col("norm").alias("surrogate"))
     table = written(drawn(entities.withColumn("attempt", F.lit(0))), "surrogates")
-    for _ in range(ROUNDS):
+    rounds = 0
+    while True:
         first = table.groupBy("type", "surrogate").agg(F.min("norm").alias("first"), F.count("*").alias("n")).filter("n > 1")
         shared = table.join(first, ["type", "surrogate"]).filter("norm <> first").select("type", "norm")
         taken = table.join(real, ["type", "surrogate"], "left_semi").select("type", "norm")
         losers = written(shared.unionByName(taken).distinct(), "surrogate-collisions")
         if not losers.limit(1).count():
             return table.select("type", "norm", "surrogate")
-        again = table.join(losers, ["type", "norm"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
-        table = written(table.join(losers, ["type", "norm"], "left_anti").unionByName(drawn(again)), "surrogates")
-    raise RuntimeError("surrogates still collide: a type has fewer surrogates than entities")
+        again, kept = table.join(losers, ["type", "norm"], "left_semi"), table.join(losers, ["type", "norm"], "left_anti")
+        rounds += 1
+        if rounds == ROUNDS:
+            matched = written(_free_surrogates(again, kept, entities, real, key), "surrogates-matched")
+            kept = kept.unionByName(matched)
+            again = again.join(matched.select("type", "norm"), ["type", "norm"], "left_anti").withColumn("attempt", F.lit(WIDER - 1))
+        table = written(kept.unionByName(drawn(again.withColumn("attempt", F.col("attempt") + 1))), "surrogates")
+
+
+def _free_surrogates(losers: DataFrame, kept: DataFrame, entities: DataFrame, real: DataFrame, key: bytes) -> DataFrame:
+    """Rows of losers whose format is nearly full, each with a surrogate that is free: by ranks of keyed hashes on both sides.
+
+    A format is listed only if it has few surrogates for each of its entities (LISTED), so the list
+    grows with the entities.  Who gets none here goes on drawing.
+    """
+
+    @F.pandas_udf("pattern string, size double")
+    def format_of(kinds: pd.Series, norms: pd.Series) -> pd.DataFrame:
+        found = [small_class(k, n, key) or (None, 0) for k, n in zip(kinds, norms, strict=True)]
+        return pd.DataFrame({"pattern": [p for p, _ in found], "size": [float(min(n, 1 << 62)) for _, n in found]})
+
+    @F.pandas_udf("string")
+    def nth(patterns: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([member(p, n) for p, n in zip(patterns, ns, strict=True)], dtype=object)
+
+    shaped = lambda df: df.withColumn("f", format_of("type", "norm")).select(*df.columns, "f.*").filter("pattern IS NOT NULL")
+    lost = shaped(losers)
+    many = shaped(entities.select("type", "norm")).groupBy("type", "pattern").agg(F.count("*").alias("many"), F.first("size").alias("size"))
+    full = written(many.join(lost.select("type", "pattern").distinct(), ["type", "pattern"], "left_semi").filter(F.col("size") <= LISTED * F.col("many")), "full-formats")
+    size = F.col("size").cast("long")
+    parts = full.select("type", "pattern", size.alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), size - 1, F.lit(4096).cast("long"))).alias("first"))
+    each = F.explode(F.sequence("first", F.least(F.col("first") + 4096, F.col("size")) - 1)).alias("n")
+    listed = parts.repartition("pattern", "first").select("type", "pattern", each).withColumn("surrogate", nth("pattern", "n"))
+    free = listed.join(kept.select("type", "surrogate"), ["type", "surrogate"], "left_anti").join(real, ["type", "surrogate"], "left_anti")
+    secret = F.lit(hashlib.sha256(key).hexdigest())
+    rank = lambda c: F.row_number().over(Window.partitionBy("type", "pattern").orderBy(F.sha2(F.concat(secret, F.col(c)), 256), c))
+    takers = lost.join(full.select("type", "pattern"), ["type", "pattern"], "left_semi").withColumn("place", rank("norm")).drop("surrogate")
+    offers = free.withColumn("place", rank("surrogate")).select("type", "pattern", "place", "surrogate")
+    return takers.join(offers, ["type", "pattern", "place"]).select("type", "norm", "attempt", "gender", "surrogate")
 
 
 def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:

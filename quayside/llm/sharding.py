@@ -10,14 +10,17 @@ from __future__ import annotations
 
 import heapq
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import HOT_KEYS, HOT_ROWS, new_folder, written
+from .shared import new_folder, written
 
 SLOTS = 4096
 ROW_OVERHEAD = 8
+#: Repeats of a row that are made from one count.
+REPEATS = 4096
 #: A map is edited if that brings the shard farthest from the mean nearer by this share of the mean.
 TOLERANCE = 0.005
 
@@ -25,10 +28,13 @@ TOLERANCE = 0.005
 def slot_rows(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and vslot per row.
 
-    The size is the text's UTF-8 bytes (null: none) plus eight.  The slot comes from doc_id, size
-    and checksum: copies of a text with different ids go to different slots, and so do the texts of
-    one id.  Rows without a doc_id, and rows equal in all three that are very many, are spread by
-    their place in the table as well, since nothing tells them apart.
+    The size is the text's UTF-8 bytes (null: none) plus eight.  The slot is a hash of doc_id, size,
+    checksum and, of rows equal in all three, the repeat's number: so it follows from the rows alone,
+    however they are partitioned and whatever else is in the table.  Copies of a text with different
+    ids go to different slots, and so do the texts of one id and very many repeats of one row.
+
+    Equal rows are counted, not numbered one by one: their repeats are made again from the count, a
+    few thousand to a row, so a row that is a third of the table is spread over many tasks.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(
@@ -36,15 +42,12 @@ def slot_rows(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         (F.octet_length(text) + F.lit(ROW_OVERHEAD)).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
-    # the place in the table is fixed by writing it
-    rows = written(slim.withColumn("place", F.monotonically_increasing_id()), "slot-rows")
-    known = rows.filter("doc_id IS NOT NULL")
-    least = max(HOT_ROWS, -(-rows.count() // HOT_KEYS))
-    often = known.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    often = F.broadcast(often.select("doc_id", "size", "text_crc32", F.lit(True).alias("often")))  # HOT_KEYS rows at most
-    spread = F.when(F.col("often") | F.col("doc_id").isNull(), F.col("place"))
-    marked = rows.join(often, ["doc_id", "size", "text_crc32"], "left")
-    return marked.select("doc_id", "size", "text_crc32", F.pmod(F.xxhash64("doc_id", "size", "text_crc32", spread), F.lit(slots)).cast("int").alias("vslot"))
+    counted = slim.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"CAST((n - 1) DIV {REPEATS} AS INT)"))))
+    parts = parts.repartition("doc_id", "text_crc32", "part")
+    first = F.col("part").cast("long") * REPEATS
+    each = parts.select("doc_id", "size", "text_crc32", F.explode(F.sequence(first, F.least(F.col("n"), first + REPEATS) - 1)).alias("repeat"))
+    return each.select("doc_id", "size", "text_crc32", F.pmod(F.xxhash64("doc_id", "size", "text_crc32", "repeat"), F.lit(slots)).cast("int").alias("vslot"))
 
 
 def first_map(shards: int, slots: int = SLOTS) -> list[int]:
@@ -94,16 +97,27 @@ def _array(values: list[int]) -> Column:
 
 
 def store_map(spark: SparkSession, path: str, version: int, slot_to_shard: list[int], slot_bytes: list[int]) -> None:
-    """Add a version of the map to the table at path: version, vslot, shard, bytes."""
+    """Add a version of the map to the table at path: version, vslot, shard, bytes.
+
+    It is written aside and moved to the folder of its version by whoever makes that version's mark
+    first; the other of two runs at once fails and has changed nothing.
+    """
     pairs = F.arrays_zip(_array(slot_to_shard).alias("shard"), _array(slot_bytes).alias("bytes"))
-    (
-        spark.range(1)
-        .select(F.posexplode(pairs).alias("vslot", "of"))
-        .select(F.lit(version).alias("version"), "vslot", F.col("of.shard").cast("int").alias("shard"), F.col("of.bytes").alias("bytes"))
-        .coalesce(1)
-        .write.mode("append")
-        .parquet(path)
-    )
+    aside = f"{path}/_aside-{uuid.uuid4().hex}"
+    rows = spark.range(1).select(F.posexplode(pairs).alias("vslot", "of")).select("vslot", F.col("of.shard").cast("int").alias("shard"), F.col("of.bytes").alias("bytes"))
+    rows.coalesce(1).write.parquet(aside)
+    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(name)
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        mine = files.createNewFile(at(f"{path}/_version-{version}"))
+    except Exception as error:
+        if "FileAlreadyExists" not in str(error):
+            raise
+        mine = False
+    if not mine:
+        files.delete(at(aside), True)
+        raise ValueError(f"version {version} of the map at {path} was stored by another run")
+    files.rename(at(aside), at(f"{path}/version={version}"))
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int]] | None:

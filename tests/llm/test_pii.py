@@ -93,3 +93,17 @@ def test_awkward_rows(docs, no_docs):
     assert got.count() == docs.count()
     assert sorted(r.text for r in got.filter(F.col("n_entities") == 0).collect())
     assert replace_entities(no_docs, KEY).count() == 0
+
+
+def test_full_formats_end(spark):
+    """All hundred two-digit and all 26 one-letter addresses of a host, under several keys, and a host whose every neighbour is taken."""
+    from quayside.llm.pii import draw_surrogates
+
+    names = [f"{k:02d}@h.example.com" for k in range(100)] + [f"{c}@x.example.org" for c in "abcdefghijklmnopqrstuvwxyz"] + [f"{k}@{h}.de" for k in range(10) for h in "abcdefghijklmnopqrstuvwxyz"]
+    entities = spark.createDataFrame([("email", n, "n") for n in names], "type string, norm string, gender string")
+    for key in (b"one", b"two"):
+        got = {r.norm: r.surrogate for r in draw_surrogates(entities, key).collect()}
+        assert set(got) == set(names) and len(set(got.values())) == len(names) and not set(got.values()) & set(names)
+        same = [n for n in names if len(got[n]) == len(n)]
+        assert len(same) >= 126 and all(n in same for n in names[:126])
+    assert draw_surrogates(entities.limit(0), b"k").count() == 0

@@ -66,3 +66,32 @@ def test_rebalancing_moves_few_slots_and_fills_a_new_shard():
 
 def test_empty_table(no_docs):
     assert shard_documents(no_docs).count() == 0
+
+
+def placed(docs, slots=4096):
+    from quayside.llm.sharding import slot_rows
+
+    return sorted(map(str, slot_rows(docs, slots).collect()))
+
+
+def test_slots_follow_from_the_rows_alone(spark):
+    """Neither the partitioning nor the rest of the table moves a row, without ids and with 10,000 repeats."""
+    nameless = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    repeats = spark.range(10000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    docs = nameless.unionByName(repeats)
+    first = placed(docs.repartition(3))
+    assert len(first) == 11000 and placed(docs.repartition(5)) == first
+    more = spark.range(40000).select((F.col("id") + 10**6).alias("doc_id"), F.lit("more").alias("text"))
+    grown = placed(docs.unionByName(more).repartition(7))
+    assert len(set(grown) & set(first)) == len(set(first))
+
+
+def test_two_runs_at_once_store_one_version(spark):
+    import pytest
+    from quayside.llm.sharding import store_map
+
+    path = new_folder(spark, "map")
+    store_map(spark, path, 0, [0, 1], [5, 5])
+    with pytest.raises(ValueError, match="another run"):
+        store_map(spark, path, 0, [1, 0], [5, 5])
+    assert load_map(spark, path) == (0, [0, 1])
