@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, daylight, evidence, texts, times, urls, vocabulary
-from ..operators import feed
+from ..operators import feed, sessions
 from ..sources.listings import GROUPS, HOST_TYPES, MOVED, NOW, TODAY, VIEW_SQL, campus_sql, listings, utc_sql
 from ..sources.tables import table
 
@@ -304,13 +304,60 @@ def online_location(spark, folder):
     return both.groupBy("location", classify.is_online_only(F.col("location")).alias("online")).agg(F.count("*").alias("n"))
 
 
-@query()
+# Texts, the days that they pin down (month * 100 + day), and their only time range.
+_PRINTED = [
+    ("Join us on Oct 5 at 7pm", [1005], None), ("10/12 at 3PM", [1012], None), ("score 3/4", [], None), ("May 31st, 11-3PM", [531], "11:00-15:00"), ("5월 8일", [508], None), ("Feb 30 party", [], None), ("Meet 12/25/2025 from 1-3PM", [1225], "13:00-15:00"),
+    ("31 of January", [131], None), ("12\n25\n2026\nMONTH DAY YEAR", [1225], None), ("room 3/4 at 7pm", [], None), ("1/2 cups of milk at noon", [], None), ("Psychology TUESDAY 11/17\nof gratitude", [1117], None), ("recruitment is 10/8-10/11", [1008, 1011], None),
+    ("10/8 to 14/40", [], None), ("applications are due: 10/9", [1009], None), ("GENERAL MEETING SCHEDULE\n10/5\n10/12", [1005, 1012], None), ("signups close Thursday (6/11)", [611], None), ("Happy Friday! 1/2 price boba", [], None), ("on 5.62", [], None),
+    ("OET 6 and Sept. 12th, 10-12PM", [912, 1006], "10:00-12:00"), ("2026-05-28, 5PM 7PM", [528], "17:00-19:00"), ("1-3PM or 2-4PM", [], None), ("11-1AM until 3/4", [304], "23:00-01:00"),
+]
+
+
+@query(
+    f"""SELECT id, [{", ".join("'" + ",".join(map(str, days)) + "'" for _, days, _ in _PRINTED)}][k % 23 + 1] AS days, [{", ".join(f"'{r}'" if r else "NULL" for *_, r in _PRINTED)}][k % 23 + 1] AS range FROM listings"""
+)
 def evidence_dates(spark, folder):
-    """Dates and ranges printed into texts by key: every form, with near misses."""
-    forms = ["Join us on Oct 5 at 7pm", "10/12 at 3PM", "score 3/4", "May 31st, 11-3PM", "5월 8일", "Feb 30 party", "Meet 12/25/2025 from 1-3PM", "31 of January"]
-    rows = listings(spark, folder).select("id", F.element_at(F.array(*map(F.lit, forms)), (F.col("k") % 8 + 1).cast("int")).alias("text"))
-    found = F.transform(evidence.evidence_dates("text"), lambda d: F.concat_ws("-", d["form"], d["month"], d["day"]))
-    return rows.select("id", F.array_join(found, ",").alias("dates"), evidence.time_range("text").alias("range"))
+    """Days and ranges printed into texts by key: every form, with near misses; the listing's own text on a line below."""
+    printed = F.element_at(F.array(*(F.lit(t) for t, *_ in _PRINTED)), (F.col("k") % 23 + 1).cast("int"))
+    rows = listings(spark, folder).select("id", F.concat(printed, F.lit("\n"), "description").alias("text"))
+    return rows.select("id", F.array_join(evidence.evidence_days(F.col("text")), ",").alias("days"), evidence.time_range(F.col("text")).alias("range"))
+
+
+@query(
+    """, printed AS (SELECT id, k, title, day, CASE WHEN k % 4 = 3 THEN day - 1 ELSE day END AS said, CASE WHEN k % 5 = 4 THEN day + 7 ELSE day + CAST(k % 3 AS INTEGER) END AS last FROM listings)
+      SELECT id, CAST(unnest(generate_series(day, last, INTERVAL 1 DAY)) AS DATE) AS day, k % 2 = 0 AS printed FROM printed WHERE k % 4 < 3 AND k % 5 < 4 AND (k % 2 = 0 OR year(last) = year(day))"""
+)
+def weekday_ranges(spark, folder):
+    """Ranges of weekdays and dates of up to three days, some too long, some with a wrong weekday, every other with its year."""
+    k, day = F.col("k"), F.to_date(times.campus_time(F.col("starts_at")))
+    last = F.when(k % 5 == 4, F.date_add(day, 7)).otherwise(F.date_add(day, (k % 3).cast("int")))
+    name = lambda d: F.date_format(d, "EEEE")
+    said = F.when(k % 4 == 3, F.date_add(day, -1)).otherwise(day)
+    year = lambda d: F.when(k % 2 == 0, F.date_format(d, ", yyyy")).otherwise("")
+    end = lambda weekday, d: F.concat(name(weekday), F.lit(", "), F.date_format(d, "MMM d"), year(d))
+    rows = listings(spark, folder).select("id", F.year(day).alias("year"), F.concat(F.lit("Open "), end(said, day), F.when(k % 7 < 3, " - ").otherwise(" through "), end(last, last), F.lit(" for all")).alias("text"))
+    found = rows.select("id", F.explode(evidence.weekday_range_days(F.col("text"), F.col("year"))).alias("d"))
+    return found.select("id", "d.day", "d.printed")
+
+
+@query(
+    """, posts AS (SELECT *, 'p' || k AS source_key, lower(title) AS t FROM listings WHERE k % 3 = 0)
+      SELECT source_key, 0 AS occurrence, 'Register by Friday' || chr(10) || 'Day one ' || strftime(day, '%b %-d') || CASE WHEN description LIKE '%fundraising%' THEN '' ELSE chr(10) || 'bring ' || description END AS text FROM posts
+      UNION ALL SELECT source_key, 1, 'Register by Friday' || chr(10) || 'Then ' || title || ' again' || chr(10) || 'until late' FROM posts
+      UNION ALL SELECT 'p' || k, 0, 'Come ' || title || chr(10) || 'to ' || location FROM listings WHERE k % 3 = 1
+      UNION ALL SELECT 'p' || k, 1, 'Come ' || title || chr(10) || 'to ' || location FROM listings WHERE k % 3 = 1"""
+)
+def session_slices(spark, folder):
+    """Posts of two sessions, one told by its date and one by its title, and posts of one title; a line on fundraising is nobody's."""
+    rows = listings(spark, folder).filter("k % 3 < 2").withColumns({"source_key": F.concat(F.lit("p"), "k"), "day": F.to_date(times.campus_time(F.col("starts_at")))})
+    several = F.col("k") % 3 == 0
+    shared = F.concat_ws("\n", F.lit("Welcome all"), F.lit("Register by Friday"), F.concat(F.lit("Day one "), F.date_format("day", "MMM d")), F.concat(F.lit("bring "), "description"), F.concat(F.lit("Then "), "title", F.lit(" again")), F.lit("until late"))
+    fields = rows.select("source_key", F.lit("caption").alias("field"), F.lit(0).alias("position"), F.when(several, shared).otherwise(F.concat(F.lit("Come "), "title")).alias("text"))
+    fields = fields.unionByName(rows.filter(~several).select("source_key", F.lit("slide_1_ocr").alias("field"), F.lit(1).alias("position"), F.concat(F.lit("to "), "location").alias("text")))
+    cites = F.array(F.lit("caption"))
+    first = rows.select("source_key", F.lit(0).alias("occurrence"), F.when(several, "Grand Opening Ceremony").otherwise(F.col("title")).alias("title"), "starts_at", cites.alias("fields"))
+    second = rows.select("source_key", F.lit(1).alias("occurrence"), "title", (F.col("starts_at") + F.expr("INTERVAL '5' DAY")).alias("starts_at"), cites.alias("fields"))
+    return sessions.session_texts(fields, first.unionByName(second))
 
 
 @query(

@@ -5,7 +5,7 @@ from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
-from quayside.functions import classify, evidence, texts, times, urls
+from quayside.functions import classify, texts, times, urls
 
 
 def one(spark, column, **values):
@@ -123,19 +123,6 @@ def test_free_food(spark, text, free):
     assert one(spark, classify.free_food(F.lit(text))) is free
 
 
-@pytest.mark.parametrize(
-    "text, dates",
-    [("Oct 5 at 7pm", [("month_name", 10, 5)]), ("score 3/4", []), ("on 3/4 we meet", [("bare", 3, 4)]), ("3/4 at 7pm", [("bare", 3, 4)]), ("Feb 30", []), ("5월 8일", [("korean", 5, 8)]), ("12/25/2025", [("numeric", 12, 25)])],
-)
-def test_printed_dates(text, dates):
-    assert [(d["form"], d["month"], d["day"]) for d in evidence.printed_dates(text)] == dates
-
-
-@pytest.mark.parametrize("text, found", [("11-3PM", "11:00-15:00"), ("1-3PM", "13:00-15:00"), ("9:30am - 11am", "09:30-11:00"), ("1-2pm, 3-4pm", None), ("7pm", None)])
-def test_printed_ranges(text, found):
-    assert evidence.printed_range(text) == found
-
-
 def test_sun(spark):
     from quayside.functions.daylight import daypart, solar_elevation
 

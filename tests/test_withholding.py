@@ -96,53 +96,74 @@ def post(n):
     return f"instagram:post:{n}"
 
 
-def test_a_repeat_is_withheld_and_gives_its_details(spark):
-    first, again = row("ig_chess_p1", "Grandmaster Simul"), row("ig_chess_p2", "Grandmaster Simul", food=True, url="https://forms.gle/simul")
-    stored = [(post(1), "a", ["ig_chess_p1"], ["ig_chess_p1"], False), (post(2), "b", ["ig_chess_p1"], ["ig_chess_p2"], False)]
-    proposed = [(first, None, post(1), 0, 0, "a"), (again, None, post(2), 1, 0, "b")]
-    got = run(spark, proposed, stored, [(first, None)])
-    assert set(got) == {("ig_chess_p1", "ig_chess_p1")}
-    kept = got["ig_chess_p1", "ig_chess_p1"]
-    assert kept.has_free_food and kept.rsvp_url == "https://forms.gle/simul"
-    # replayed with what it gave, the run gives the same
-    again_live = [(row("ig_chess_p1", "Grandmaster Simul", food=True, url="https://forms.gle/simul"), None)]
-    assert {k: tuple(v) for k, v in run(spark, proposed, stored, again_live).items()} == {k: tuple(v) for k, v in got.items()}
-    # a changed decision, an unknown row, a listing that is gone, a row that doesn't match: each publishes
-    changed = [proposed[0], (again, None, post(2), 1, 0, "c")]
-    assert len(run(spark, changed, stored, [(first, None)])) == 2
-    assert len(run(spark, proposed, [stored[0], (post(2), "b", ["ig_chess_p1"], [], False)], [(first, None)])) == 2
-    assert len(run(spark, proposed[1:], stored, [(row("ig_other_p9", "Poetry", handle="o"), None)])) == 1
-    other = row("ig_chess_p2", "Pottery", place="Barn", s="2026-10-05 23:00:00")
-    assert len(run(spark, [proposed[0], (other, None, post(2), 1, 0, "b")], stored, [(first, None)])) == 2
-    # unless a person merged it
-    forced = spark.createDataFrame([("ig_chess_p2", "ig_chess_p1")], "old string, new string")
-    assert set(run(spark, [proposed[0], (other, None, post(2), 1, 0, "b")], stored, [(first, None)], forced=forced)) == {("ig_chess_p1", "ig_chess_p1")}
-
-
-def test_sessions_are_withheld_where_the_listing_survives(spark):
-    first = row("ig_chess_p1", "Grandmaster Simul")
-    merged, other = row("ig_chess_p2-a1", "Grandmaster Simul"), row("ig_chess_p2-b2", "Blitz Evening", s="2026-10-07 20:00:00")
-    proposed = [(merged, None, post(2), 0, 0, "b"), (other, None, post(2), 0, 1, "b")]
-    known = ["ig_chess_p2-a1", "ig_chess_p2-b2", "ig_chess_p1"]
-    alone = [(post(2), "b", ["ig_chess_p2-b2", "ig_chess_p1"], known, False)]
-    supported = [*alone, (post(1), "a", ["ig_chess_p1"], ["ig_chess_p1"], False)]
-    assert set(run(spark, proposed, supported, [(first, None)])) == {("ig_chess_p2-b2", "ig_chess_p2-b2")}
-    assert len(run(spark, proposed, alone, [(first, None)])) == 2
-    assert len(run(spark, proposed, alone, [(row("ig_chess_p1", "Grandmaster Simul", locked=True), None)])) == 1
-
-
-def test_a_repeat_takes_over_from_a_deleted_post(spark):
-    first, late = row("ig_chess_p1", "Grandmaster Simul"), row("ig_chess_p3", "Grandmaster Simul", place="")
-    stored = [(post(1), "a", [], ["ig_chess_p1"], True), (post(2), "b", ["ig_chess_p1"], ["ig_chess_p2"], False), (post(3), "c", ["ig_chess_p1"], ["ig_chess_p3"], False)]
-    proposed = [(row("ig_chess_p2", "Grandmaster Simul"), permalink(2), post(2), 0, 0, "b"), (late, permalink(3), post(3), 1, 0, "c")]
-    got = run(spark, proposed, stored, [(first, permalink(1))])
-    assert set(got) == {("ig_chess_p1", "ig_chess_p3")}
-    kept = got["ig_chess_p1", "ig_chess_p3"]
-    assert kept.source_url == permalink(3) and kept.location == first[3]
-    different = spark.createDataFrame([("ig_chess_p1", "ig_chess_p3")], "a string, b string")
-    assert set(run(spark, proposed, stored, [(first, permalink(1))], different=different)) == {("ig_chess_p1", "ig_chess_p2")}
-    locked = [(row("ig_chess_p1", "Grandmaster Simul", locked=True), permalink(1))]
-    assert not run(spark, proposed, stored, locked)
+class World:
+    """Posts of one account, so that many worlds run at once: club names differ, and so do numbers."""
+
+    def __init__(self, n):
+        self.n, self.proposed, self.stored, self.live = n, [], [], []
+
+    def id(self, k, session=""):
+        return f"ig_club{self.n}_p{100 * self.n + k}{session}"
+
+    def row(self, k, title="Grandmaster Simul", session="", **more):
+        return row(self.id(k, session), title, host=f"Club {self.n}", handle=f"club{self.n}", **more)
+
+    def link(self, k):
+        return permalink(100 * self.n + k)
+
+    def key(self, k):
+        return post(100 * self.n + k)
+
+    def first(self, **more):
+        """Post 1 and its listing."""
+        self.live.append((self.row(1, **more), None))
+        self.stored.append((self.key(1), "a", [self.id(1)], [self.id(1)], False))
+        self.proposed.append((self.row(1), None, self.key(1), 10 * self.n, 0, "a"))
+        return self
+
+    def again(self, k, decision="b", known=True, link=None, **more):
+        """Post k, merged into listing 1 before."""
+        self.stored.append((self.key(k), "b", [self.id(1)], [self.id(k)] if known else [], False))
+        self.proposed.append((self.row(k, **more), link, self.key(k), 10 * self.n + k, 0, decision))
+        return self
+
+
+def test_whole_runs(spark):
+    """Every world is one case; all run at once."""
+    strange = {"title": "Pottery", "place": "Barn", "s": "2026-10-05 23:00:00"}
+    held = World(1).first().again(2, food=True, url="https://forms.gle/simul")
+    replayed = World(2).first(food=True, url="https://forms.gle/simul").again(2, food=True, url="https://forms.gle/simul")
+    changed, unknown, other, decided = World(3).first().again(2, decision="c"), World(4).first().again(2, known=False), World(5).first().again(2, **strange), World(6).first().again(2, **strange)
+    missing = World(7).again(2)
+    sessions, alone, locked = World(8), World(9), World(10)
+    for w in (sessions, alone, locked):
+        w.live.append((w.row(1, locked=w is locked), None))
+        w.stored.append((w.key(2), "b", [w.id(2, "-b2"), w.id(1)], [w.id(2, "-a1"), w.id(2, "-b2"), w.id(1)], False))
+        w.proposed += [(w.row(2, session="-a1"), None, w.key(2), 10 * w.n, 0, "b"), (w.row(2, "Blitz Evening", "-b2", s="2026-10-07 20:00:00"), None, w.key(2), 10 * w.n, 1, "b")]
+    sessions.stored.append((sessions.key(1), "a", [sessions.id(1)], [sessions.id(1)], False))
+    gone, judged, kept = World(11), World(12), World(13)
+    for w in (gone, judged, kept):
+        w.live.append((w.row(1, locked=w is kept), w.link(1)))
+        w.stored.append((w.key(1), "a", [], [w.id(1)], True))
+        w.again(2, link=w.link(2)).again(3, link=w.link(3), place="")
+    worlds = [held, replayed, changed, unknown, other, decided, missing, sessions, alone, locked, gone, judged, kept]
+    every = lambda name: [x for w in worlds for x in getattr(w, name)]
+    forced = spark.createDataFrame([(decided.id(2), decided.id(1))], "old string, new string")
+    different = spark.createDataFrame([(judged.id(1), judged.id(3))], "a string, b string")
+    got = run(spark, every("proposed"), every("stored"), every("live"), forced=forced, different=different)
+    of = lambda w: {k for k in got if f"_club{w.n}_" in k[1]}
+    own = lambda w, *ks: {(w.id(*k), w.id(*k)) for k in ks}
+    assert of(held) == own(held, (1,)) and of(replayed) == own(replayed, (1,)) and of(decided) == own(decided, (1,))
+    for w in (held, replayed):
+        merged = got[w.id(1), w.id(1)]
+        assert merged.has_free_food and merged.rsvp_url == "https://forms.gle/simul"
+    assert all(of(w) == own(w, (1,), (2,)) for w in (changed, unknown, other)) and of(missing) == own(missing, (2,))
+    # a session is withheld only where the listing survives without it
+    assert of(sessions) == own(sessions, (2, "-b2")) and of(alone) == own(alone, (2, "-a1"), (2, "-b2")) and of(locked) == own(locked, (2, "-b2"))
+    # the newest repeat takes over from a deleted post, unless judged different or the listing is locked
+    assert of(gone) == {(gone.id(1), gone.id(3))} and of(judged) == {(judged.id(1), judged.id(2))} and not of(kept)
+    taken = got[gone.id(1), gone.id(3)]
+    assert taken.source_url == gone.link(3) and taken.location == "HUB 302"
 
 
 def test_preferred_reposts(spark):
