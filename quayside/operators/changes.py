@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,21 +165,23 @@ def charge_limited(exported: Column, price: Column, charged: Column, most: Colum
 def rate_limit(attempts: DataFrame, minutes: int = 10, most: int = 5) -> DataFrame:
     """attempts (key, at, id) with `ok` and `retry_after`: a window opens with the first attempt after the last one closed.
 
-    Attempts of a key are few and bounded by its windows; windows follow from one another, so they are
-    walked in order of time, one key to a group.
+    Windows follow from one another, so the attempts of a key pass in order of time as a sorted stream
+    that remembers one window, however many there are.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("at", "id")))
-    stamp = lambda ts: F.unix_timestamp(ts.cast("timestamp"))
-    entry = "struct<id:bigint,ok:boolean,retry_after:bigint>"
-    start = F.struct(F.lit(None).cast("bigint").alias("reset"), F.lit(0).alias("n"), F.array().cast(f"array<{entry}>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = stamp(x["at"])
-        fresh = acc["reset"].isNull() | (acc["reset"] <= at)
-        reset = F.when(fresh, at + minutes * 60).otherwise(acc["reset"])
-        n = F.when(fresh, 1).otherwise(F.least(acc["n"] + 1, F.lit(most + 1)))
-        retry = F.when(n <= most, F.lit(0).cast("bigint")).otherwise(F.greatest(F.lit(1).cast("bigint"), reset - at))
-        return F.struct(reset.alias("reset"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(x["id"].cast("bigint").alias("id"), (n <= most).alias("ok"), retry.alias("retry_after")))).alias("out"))
-
-    walked = attempts.groupBy("key").agg(F.aggregate(ordered, start, step)["out"].alias("out"))
-    return walked.select("key", F.explode("out").alias("o")).select("key", "o.*")
+    kind = attempts.schema["key"].dataType
+    sorted_rows = attempts.select("key", F.unix_timestamp(F.col("at").cast("timestamp")).alias("second"), "at", F.col("id").cast("long").alias("id"))
+    sorted_rows = sorted_rows.repartition("key").sortWithinPartitions("key", "at", "id").select("key", "second", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, reset, n = object(), 0, 0
+        for batch in batches:
+            ok, wait = [], []
+            for key, second in zip(batch.column("key").to_pylist(), batch.column("second").to_pylist(), strict=True):
+                if key != now or reset <= second:
+                    now, reset, n = key, second + minutes * 60, 0
+                n = min(n + 1, most + 1)
+                ok.append(n <= most)
+                wait.append(0 if n <= most else max(1, reset - second))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), pa.array(ok, pa.bool_()), pa.array(wait, pa.int64())], ["key", "id", "ok", "retry_after"])
+
+    return sorted_rows.mapInArrow(run, f"key {kind.simpleString()}, id long, ok boolean, retry_after long")

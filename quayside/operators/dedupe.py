@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts
-from ..sources.tables import cut
+from ..sources.tables import cut, spread
 
 
 def event_key() -> Column:
@@ -101,26 +101,36 @@ def review_pairs(rows: DataFrame, least: int = 2) -> DataFrame:
 
 def shingle_classes(rows: DataFrame, key: str, text: str, words: int = 3) -> DataFrame:
     """key, shingles (hashes, sorted), class: the smallest key of those with equal shingle sets; rows without shingles are left out."""
-    sets = rows.select(key, F.array_sort(F.transform(texts.word_shingles(F.col(text), words), lambda s: F.xxhash64(s))).alias("shingles")).filter(F.size("shingles") > 0)
+    sets = spread(rows).select(key, F.array_sort(F.transform(texts.word_shingles(F.col(text), words), lambda s: F.xxhash64(s))).alias("shingles")).filter(F.size("shingles") > 0)
     firsts = sets.groupBy("shingles").agg(F.min(key).alias("class"))
     return sets.join(firsts, "shingles")
 
 
-def shingle_pairs(classes: DataFrame, key: str, least: int = 20) -> DataFrame:
+def shingle_pairs(classes: DataFrame, key: str, least: int = 20, often: int = 1000) -> DataFrame:
     """a, b, common: pairs of class representatives with `least` shingles or more in common, all of them.
 
-    An exact prefix filter: of two such sets one shingle is shared besides the least - 1 most frequent
-    ones of either, so what is in very many texts is no key of a text that has less of it.
+    Shingles of up to `often` texts are counted pair by pair in one aggregation, which makes `often`
+    rows for each of them at most.  Those of more texts are no keys as such: each text keeps its list of
+    them, which is met with the other's.  Pairs that share nothing else are found by an exact prefix
+    filter: of two texts with `least` of them in common one is shared besides the least - 1 most
+    frequent ones of either.
     """
     sets = classes.filter(F.col(key) == F.col("class")).select("class", "shingles")
     each = sets.select("class", F.explode("shingles").alias("shingle"))
-    often = each.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
-    ranked = each.join(often, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("n"), "shingle")))
-    keys = ranked.filter(F.col("rank") >= least).select("class", "shingle")
-    pairs = keys.withColumnRenamed("class", "a").join(keys.withColumnRenamed("class", "b"), "shingle").filter("a < b").select("a", "b").distinct()
-    side = lambda end: sets.select(F.col("class").alias(end), F.col("shingles").alias(f"of_{end}"))
-    common = F.size(F.array_intersect("of_a", "of_b")).cast("long")
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", common.alias("common")).filter(F.col("common") >= least)
+    used = cut(each.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"))
+    found = cut(each.join(used, "shingle"))
+    two = lambda keys: keys.withColumnRenamed("class", "a").join(keys.withColumnRenamed("class", "b"), "shingle").filter("a < b")
+    counted = two(found.filter(F.col("n") <= often).select("class", "shingle")).groupBy("a", "b").agg(F.count("*").alias("rare"))
+    common_ones = found.filter(F.col("n") > often)
+    lists = cut(common_ones.groupBy("class").agg(F.array_sort(F.collect_list("shingle")).alias("usual")))
+    ranked = common_ones.withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("n"), "shingle")))
+    usual = two(ranked.filter(F.col("rank") >= least).select("class", "shingle")).select("a", "b").distinct()
+    pairs = counted.join(usual.withColumn("usual", F.lit(True)), ["a", "b"], "full").select("a", "b", F.coalesce("rare", F.lit(0)).alias("rare"))
+    side = lambda end: lists.select(F.col("class").alias(end), F.col("usual").alias(f"of_{end}"))
+    none = F.array().cast("array<bigint>")
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    shared = F.size(F.array_intersect(F.coalesce("of_a", none), F.coalesce("of_b", none)))
+    return both.select("a", "b", (F.col("rare") + shared).cast("long").alias("common")).filter(F.col("common") >= least)
 
 
 def word_rarity(rows: DataFrame) -> DataFrame:

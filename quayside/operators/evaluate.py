@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 
 def recall_report(reference: DataFrame, candidate: DataFrame, group: str, key: str) -> DataFrame:
     """matched, missing and extra per group, and the recall, null where there is no reference."""
@@ -23,13 +25,16 @@ def agreement(rows: DataFrame, truth: str, verdict: str, verdicts: list[str]) ->
 
 
 def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
-    """Chance that a positive scores above a negative, ties half: by counts per distinct score, so that no row is paired."""
+    """Chance that a positive scores above a negative, ties half: by counts per distinct score, so that no row is paired.
+
+    Distinct scores are dealt into ranges; what lies below a range comes from totals, one row a range.
+    """
     per = rows.groupBy(score).agg(F.sum(label).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("n"))
-    ranged = per.withColumn("bucket", F.floor(F.col(score) / 1000.0))
-    totals = ranged.groupBy("bucket").agg(F.sum("n").alias("bn"))
-    before = totals.withColumn("below", F.coalesce(F.sum("bn").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).select("bucket", "below")  # one row per bucket
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    placed = ranged.withColumn("inside", inside).join(before, "bucket")
+    ranged = cut(per.repartitionByRange(score).withColumn("part", F.spark_partition_id()))
+    totals = ranged.groupBy("part").agg(F.sum("n").alias("bn"))
+    before = totals.withColumn("below", F.coalesce(F.sum("bn").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).select("part", "below")  # one row per range
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    placed = ranged.withColumn("inside", inside).join(before, "part")
     return placed.agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("inside") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
 
 

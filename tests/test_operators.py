@@ -136,3 +136,18 @@ def test_long_chains_of_decisions(spark):
     chain = [(f"n{k}", f"n{k + 1}") for k in range(70)]
     got = dedupe.follow(spark.createDataFrame(chain, "old string, new string")).collect()
     assert len(got) == 70 and {r.new for r in got} == {"n70"}
+
+
+def test_shingle_pairs_with_frequent_shingles(spark):
+    """However few texts a shingle may be in to be counted pair by pair, the pairs are the same."""
+    import random
+
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(40)]
+    usual = " ".join(words)
+    texts = [(k, " ".join([usual if k % 3 else "", *r.choices(words, k=r.randint(0, 60))])) for k in range(40)]
+    classes = dedupe.cut(dedupe.shingle_classes(spark.createDataFrame(texts, "id int, text string"), "id", "text"))
+    shingles = {c: set(s) for c, s in classes.select("class", "shingles").collect()}
+    want = {(a, b, n) for a in shingles for b in shingles if a < b and (n := len(shingles[a] & shingles[b])) >= 20}
+    for often in (1, 5, 1000):
+        assert {tuple(p) for p in dedupe.shingle_pairs(classes, "id", often=often).collect()} == want
