@@ -82,8 +82,11 @@ def join_counted(rows: DataFrame, table: DataFrame, on: str | list[str], many: s
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; one of few files is dealt to all cores, so that heavy work on it is shared."""
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
