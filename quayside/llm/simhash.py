@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import component_roots
-from .shared import free_name, join_counted, slices, texts_of, written
+from .shared import HOT_KEYS, free_name, join_counted, slices, texts_of, written
 
 BITS = 64
 SEED = 42
@@ -35,6 +35,8 @@ STEP = 128
 SAMPLED, COMMON = 20_000, 100_000
 #: Of a long run of sets, so many are compared with all; two blocks of so many are compared at once.
 PIVOTS, BLOCK = 4, 512
+#: A run of more sets than this is never brought into one task.
+HOT_RUN = 200_000
 #: Numbers of bit groups that are tried; fingerprints whose pairs candidates are estimated from, at most.
 PARTS, SAMPLE = (2, 3, 4, 5), 2048
 #: Fingerprints of one key that one task compares, at most; longer runs are cut into blocks.
@@ -541,7 +543,11 @@ def _candidates(prints: DataFrame, row: str, similarity: float) -> DataFrame:
     rest = lambda n: np.ceil(similarity * n - 1e-9).astype(np.int64) - 1
     names, pairwise, pivots = ["a", "b", "hash", "shared", "needed"], PAIRWISE, PIVOTS
     keyed = prints.select(F.posexplode("rarest").alias("at", "hash"), row, "n").select("hash", row, "n", "at")
-    dealt = keyed.repartition("hash").sortWithinPartitions("hash", row)
+    total = prints.agg(F.coalesce(F.sum(F.size("rarest").cast("long")), F.lit(0)).alias("n")).first().n
+    least = max(HOT_RUN, -(-total // HOT_KEYS))
+    hot = written(keyed.groupBy("hash").agg(F.count("*").alias("size")).filter(F.col("size") > least).select("hash"), "near-hot-runs")  # HOT_KEYS rows at most
+    kept = keyed.join(F.broadcast(hot), "hash", "left_anti")
+    dealt = kept.repartition("hash").sortWithinPartitions("hash", row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_runs(batches, 1):
@@ -562,7 +568,23 @@ def _candidates(prints: DataFrame, row: str, similarity: float) -> DataFrame:
                 none = pa.nulls(len(now), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(rows[now]), pa.nulls(len(now), pa.int64()), pa.array(keys[now]), none, none], names)
 
-    return dealt.mapInArrow(run, "a long, b long, hash long, shared int, needed int")
+    found = dealt.mapInArrow(run, "a long, b long, hash long, shared int, needed int")
+    return found.unionByName(_candidates_of_hot_runs(keyed.join(F.broadcast(hot), "hash"), row, similarity)) if hot.limit(1).count() else found
+
+
+def _candidates_of_hot_runs(members: DataFrame, row: str, similarity: float) -> DataFrame:
+    """As `_candidates` gives them for long runs, for runs that no task holds whole.
+
+    A few members of each run go to all tasks, and every member meets them where it is.
+    """
+    first = members.groupBy("hash", F.pmod(F.xxhash64(row), F.lit(max(1, PIVOTS))).alias("k")).agg(F.min(F.struct(F.col(row).alias("row"), "n", "at")).alias("pivot"))
+    met = members.join(F.broadcast(first.select("hash", "pivot")), "hash").filter(F.col(row) != F.col("pivot.row"))  # PIVOTS rows for each of HOT_KEYS runs at most
+    n, m, at, of = F.col("n").cast("long"), F.col("pivot.n").cast("long"), F.col("at").cast("long"), F.col("pivot.at").cast("long")
+    common = F.least(at, of) + F.least(n - at, m - of)
+    alike = (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (common >= F.ceil(similarity / (1 + similarity) * (n + m) - 1e-9))
+    none = lambda kind: F.lit(None).cast(kind)
+    pairs = met.filter(alike).select(F.least(row, "pivot.row").alias("a"), F.greatest(row, "pivot.row").alias("b"), none("long").alias("hash"), F.lit(1).alias("shared"), F.lit(0).alias("needed"))
+    return pairs.unionByName(members.select(F.col(row).alias("a"), none("long").alias("b"), "hash", none("int").alias("shared"), none("int").alias("needed")))
 
 
 def _alike(whole: DataFrame, pairs: DataFrame, row: str, words: int, similarity: float) -> DataFrame:
@@ -581,7 +603,7 @@ def _links_of_long_runs(whole: DataFrame, members: DataFrame, roots: DataFrame,
     """
     named = members.join(roots.withColumnRenamed("node", row), row, "left").select("hash", row, F.coalesce("root", row).alias("root"))
     runs = named.groupBy("hash").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size")).filter("least <> most")
-    left = written(named.join(runs.select("hash", "size"), "hash"), "near-left")
+    left = written(join_counted(named, runs.select("hash", "size", F.col("size").alias("many")), "hash"), "near-left")
     sets = written(_shingle_sets(whole, left.select(row).distinct(), row, words), "near-left-shingles")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64(row), F.col("blocks")).cast("int")

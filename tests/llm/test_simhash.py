@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
+from quayside.llm import simhash as module
 from quayside.llm.simhash import bit_groups, fingerprint, fingerprint_links, near_duplicates, run_links, thresholds, without_near_copies
 
 from .conftest import SCHEMA, prose
@@ -145,7 +147,8 @@ def test_hot_keys_lose_no_link(spark, monkeypatch):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     docs = spark.createDataFrame([(i, t, *[None] * 7) for i, t in rows], SCHEMA).repartition(3)
     want = sorted({find(i) for i in range(len(rows))})
-    for pairwise, pivots, block in ((64, 4, 512), (2, 1, 3), (1, 0, 2)):
+    for pairwise, pivots, block, hot in ((64, 4, 512, 200_000), (2, 1, 3, 200_000), (1, 0, 2, 200_000), (64, 4, 8, 3), (2, 2, 3, 1)):
+        monkeypatch.setattr(module, "HOT_RUN", hot)
         monkeypatch.setattr(module, "PAIRWISE", pairwise)
         monkeypatch.setattr(module, "PIVOTS", pivots)
         monkeypatch.setattr(module, "BLOCK", block)
@@ -164,3 +167,24 @@ def test_copies_with_an_added_passage_go(spark):
     docs = spark.createDataFrame([(i, t, *[None] * 7) for i, t in rows], SCHEMA)
     assert len(want) < len(rows) * 0.7
     assert sorted(x.doc_id for x in without_near_copies(docs).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("most", [4, 20])
+def test_long_runs_of_fingerprints_are_dealt_into_blocks(spark, most):
+    """Fingerprints that all share their upper half: the components are those of all pairs within the radius."""
+    r = random.Random(most)
+    prints = sorted({(0xABCD1234 << 32 | sum(1 << b for b in r.sample(range(32), 9))) - (1 << 64) for _ in range(300)})
+    parent = {p: p for p in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(prints):
+        for b in prints[:i]:
+            if bin((a ^ b) & (1 << 64) - 1).count("1") <= 5:
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    nodes = spark.createDataFrame([(p,) for p in prints], "fp long")
+    roots = {x.node: x.root for x in module.component_roots(module.fingerprint_links(nodes, 5, most=most)).collect()}
+    assert {p: roots.get(p, p) for p in prints} == {p: find(p) for p in prints}
