@@ -2,7 +2,8 @@
 
 Candidates are found in every text by pattern.  Their hashes are then counted over the whole
 corpus by distinct owners and repositories: a value that many owners or very many repositories
-carry is a copied example, a rarer one that looks random is taken for a live credential.
+carry is a copied example, a rarer one that looks random is taken for a live credential.  Random
+is what is likelier by chance than by the pairs of letters of the corpus's own words.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,12 +45,83 @@ CANDIDATE = pa.struct([("hash", pa.binary()), ("start", pa.int64()), ("end", pa.
 SCANNED = "doc_id long, owner string, repository string, spans array<struct<start:long,kind:int,end:long>>, candidates array<struct<hash:binary,start:long,end:long,random:boolean>>"
 
 
-def looks_random(value: str, bits: float = 2.5) -> bool:
-    """Enough entropy per character, and no word that placeholders carry."""
+class LetterPairs:
+    """How surprising a value is after what the corpus's words look like.
+
+    counts[x, y]: how often a character of class y follows one of class x in the corpus's words without
+    digits; classes are 0 for what parts words, 1 to 26 for letters in either case, 27 for digits, 28
+    for other letters.  Words with digits are what is judged, so how digits follow is fixed: DIGIT_STARTS
+    after a letter, DIGIT_STAYS after a digit.
+    """
+
+    CLASSES = 29
+    DIGIT_STARTS, DIGIT_STAYS = 0.02, 0.5
+    OF = np.zeros(256, np.uint8)
+
+    def __init__(self, counts: np.ndarray):
+        pairs = counts.astype(float)
+        single = pairs.sum(axis=0) + 1.0
+        single /= single.sum()
+        rows = pairs.sum(axis=1, keepdims=True)
+        # a fifth of the weight is that of the character alone, so a pair that the corpus lacks is rare, not impossible
+        share = 0.8 * np.divide(pairs, rows, out=np.broadcast_to(single, pairs.shape).copy(), where=rows > 0) + 0.2 * single
+        share[:, 27], share[27], share[27, 27] = self.DIGIT_STARTS / 10, (1 - self.DIGIT_STAYS) * single, self.DIGIT_STAYS / 10
+        self.bits = -np.log2(share)
+
+    @classmethod
+    def classes(cls, text: str) -> np.ndarray:
+        return cls.OF[np.frombuffer(text.lower().encode("latin-1", "replace"), np.uint8)]
+
+    @classmethod
+    def plain(cls, text: str) -> np.ndarray:
+        """The classes of a text's characters, words with digits taken out."""
+        found = cls.classes(text)
+        inside = found > 0
+        starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+        if len(starts):
+            numbered = np.add.reduceat(found == 27, starts, dtype=np.int64) > 0
+            found[starts[0] :][np.repeat(numbered, np.diff(starts, append=len(found)))] = 0
+        return found
+
+    def bits_for_chance(self, value: str) -> float:
+        """The log likelihood ratio, in bits, of characters drawn evenly from the value's own alphabet against the corpus's words."""
+        found = self.classes(value)
+        inside = (found[1:] > 0) & (found[:-1] > 0)
+        letters, digits = found[(found > 0) & (found != 27)], (found == 27).any()
+        size = (0 if not len(letters) else 6 if letters.max() <= 6 else 26) + 10 * bool(digits)
+        return float((self.bits[found[:-1], found[1:]][inside] - np.log2(max(size, 2))).sum())
+
+
+LetterPairs.OF[ord("a") : ord("z") + 1] = np.arange(1, 27)
+LetterPairs.OF[ord("0") : ord("9") + 1] = 27
+LetterPairs.OF[0xDF:0x100] = 28
+LetterPairs.OF[0xF7] = 0
+
+
+def letter_pairs(docs: DataFrame) -> LetterPairs:
+    """Counted over all texts; the driver gets one row per pair of classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(LetterPairs.CLASSES**2, np.int64)
+        for batch in batches:
+            for text in texts_of(batch):
+                found = LetterPairs.plain(text).astype(np.int64)
+                total += np.bincount(found[:-1] * LetterPairs.CLASSES + found[1:], minlength=len(total))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["pair", "n"])
+
+    counts = np.zeros(LetterPairs.CLASSES**2)
+    for row in docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        counts[row.pair] = row["n"]
+    return LetterPairs(counts.reshape(LetterPairs.CLASSES, -1))
+
+
+def looks_random(value: str, known: LetterPairs, bits: float = 14.5, entropy: float = 2.5) -> bool:
+    """More like chance than like the corpus's words by this many bits, varied enough, and no word that placeholders carry."""
     n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
+    mean = -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
     low = value.lower()
-    return entropy >= bits and not any(word in low for word in PLACEHOLDERS)
+    return mean >= entropy and not any(word in low for word in PLACEHOLDERS) and known.bits_for_chance(value) >= bits
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
@@ -82,6 +155,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
 
 def scanned(docs: DataFrame, owner: str, repository: str) -> DataFrame:
     """doc_id, owner, repository, spans and candidates of every row."""
+    known = letter_pairs(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -89,7 +163,7 @@ def scanned(docs: DataFrame, owner: str, repository: str) -> DataFrame:
             for text in texts_of(batch):
                 found, values = scan(text)
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
-                candidates.append([{"hash": hashlib.sha256(text[s:e].encode()).digest()[:16], "start": s, "end": e, "random": looks_random(text[s:e])} for s, e in values])
+                candidates.append([{"hash": hashlib.sha256(text[s:e].encode()).digest()[:16], "start": s, "end": e, "random": looks_random(text[s:e], known)} for s, e in values])
             kept = [batch.column(c) for c in ("doc_id", "owner", "repository")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(spans, pa.list_(SPAN)), pa.array(candidates, pa.list_(CANDIDATE))], ["doc_id", "owner", "repository", "spans", "candidates"])
 

@@ -1,8 +1,10 @@
 import hashlib
 import re
 
+import numpy as np
+import pytest
 from quayside.llm import queries
-from quayside.llm.secrets import find_secrets, looks_random, scan
+from quayside.llm.secrets import LetterPairs, find_secrets, letter_pairs, looks_random, scan
 
 KEY = "9f8b2c4d5e6f7a8b9c0d1e2f3a4b5c6d"
 
@@ -36,17 +38,42 @@ def test_awkward_rows(docs, no_docs):
     assert find_secrets(no_docs).count() == 0
 
 
-def test_placeholders_are_not_random():
-    assert not looks_random("your_password_here") and not looks_random("aaaaaaaaaaaa") and looks_random(KEY)
+@pytest.fixture(scope="module")
+def known(spark):
+    return letter_pairs(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
 
 
-def test_long_random_values_are_random():
+def test_letter_pairs_are_those_of_all_texts(spark, docs):
+    counts = np.zeros((29, 29))
+    for r in docs.collect():
+        low = re.sub(r"[a-z0-9ß-öø-ÿ]*[0-9][a-z0-9ß-öø-ÿ]*", lambda m: " " * len(m[0]), (r.text or "").lower())
+        found = [ord(c) - 96 if "a" <= c <= "z" else 28 if "ß" <= c <= "ÿ" and c != "÷" else 0 for c in low]
+        for x, y in zip(found, found[1:]):
+            counts[x, y] += 1
+    assert np.allclose(letter_pairs(docs).bits, LetterPairs(counts).bits)
+
+
+def test_words_are_not_random(known):
+    words = "configuration documentation mypassword AbstractFactory correcthorse authentication environment production_value settings.password getSessionToken".split()
+    assert not any(looks_random(w, known) for w in words)
+    assert not looks_random("your_password_here", known) and not looks_random("aaaaaaaaaaaa", known) and looks_random(KEY, known)
+
+
+def test_random_values_are_random(known):
+    import random
+
+    r = random.Random(5)
+    for letters, n in (("0123456789abcdef", 32), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 16), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)):
+        assert sum(looks_random("".join(r.choices(letters, k=n)), known) for _ in range(500)) >= 460
+
+
+def test_long_random_values_are_random(known):
     import random
 
     r = random.Random(1)
     for letters in ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
-        assert looks_random("".join(r.choices(letters[::-1], k=20_000)).replace("1234567", "").replace("abcdef0", ""))
-    assert not looks_random("a" * 20_000)
+        assert looks_random("".join(r.choices(letters[::-1], k=20_000)).replace("1234567", "").replace("abcdef0", ""), known)
+    assert not looks_random("a" * 20_000, known)
 
 
 def test_repositories_decide_too_and_null_owners_count_for_nothing(spark):
@@ -62,6 +89,7 @@ def test_repositories_decide_too_and_null_owners_count_for_nothing(spark):
 def test_whole_query_against_brute_force(spark):
     folder = "/root/testdata/sf0.01"
     texts = {r.doc_id: (r.text or "", r.source) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    known = letter_pairs(spark.read.parquet(f"{folder}/documents.parquet"))
     owners, repositories = {}, {}
     for i, (text, source) in texts.items():
         for a, b in scan(text)[1]:
@@ -79,7 +107,7 @@ def test_whole_query_against_brute_force(spark):
             value = text[a:b]
             if len(owners[value] - {None}) >= 3 or len(repositories[value]) >= 100:
                 spans.append((a, 5, b))
-            elif looks_random(value):
+            elif looks_random(value, known):
                 spans.append((a, 4, b))
         assert r.spans == ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(spans))
         seen += bool(spans)
