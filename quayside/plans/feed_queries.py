@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import classify, daylight, evidence, texts, times, urls, vocabulary
+from ..functions import classify, daylight, evidence, support, texts, times, urls, vocabulary
 from ..operators import feed, sessions
 from ..sources.listings import GROUPS, HOST_TYPES, MOVED, NOW, TODAY, VIEW_SQL, campus_sql, listings, utc_sql
 from ..sources.tables import table
@@ -340,6 +340,21 @@ def weekday_ranges(spark, folder):
     return found.select("id", "d.day", "d.printed")
 
 
+@query("SELECT id, k % 6 IN (0, 2, 3) AS day_ok, k % 5 < 4 AS clock_ok FROM listings")
+def borne_out(spark, folder):
+    """Days and clocks claimed of posts that print them, with a wrong year, another day or another minute, or name them by a word."""
+    k, local = F.col("k"), times.campus_time(F.col("starts_at"))
+    day = F.to_date(local)
+    ahead = F.element_at(F.array(*map(F.lit, (10, 10, 1, 3, 10, 1))), (k % 6 + 1).cast("int"))
+    posted = times.utc_time((F.date_sub(day, ahead).cast("timestamp_ntz") + F.expr("INTERVAL '12' HOUR")).cast("timestamp_ntz"))
+    words = F.array(
+        F.date_format(day, "MMM d"), F.concat(F.date_format(day, "MMM d, "), F.year(day) + 1), F.lit("tomorrow"), F.concat(F.lit("this "), F.date_format(day, "EEEE")), F.date_format(F.date_add(day, 2), "MMM d"), F.lit("today"),
+    )
+    clock = F.when(k % 5 < 4, local).otherwise(local + F.expr("INTERVAL '1' MINUTE"))
+    rows = listings(spark, folder).select("id", day.alias("day"), local.alias("local"), posted.alias("posted"), F.concat(F.lit("Join us "), F.element_at(words, (k % 6 + 1).cast("int")), F.lit(" at "), F.date_format(clock, "h:mm a"), F.lit("!")).alias("text"))
+    return rows.select("id", support.day_supported(F.col("day"), F.col("text"), F.col("posted")).alias("day_ok"), support.clock_supported(F.col("local"), F.col("text")).alias("clock_ok"))
+
+
 @query(
     """, posts AS (SELECT *, 'p' || k AS source_key, lower(title) AS t FROM listings WHERE k % 3 = 0)
       SELECT source_key, 0 AS occurrence, 'Register by Friday' || chr(10) || 'Day one ' || strftime(day, '%b %-d') || CASE WHEN description LIKE '%fundraising%' THEN '' ELSE chr(10) || 'bring ' || description END AS text FROM posts
