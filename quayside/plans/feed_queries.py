@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, daylight, evidence, support, texts, times, urls, vocabulary
-from ..operators import feed, sessions
+from ..operators import feed, sessions, validation
 from ..sources.listings import GROUPS, HOST_TYPES, MOVED, NOW, TODAY, VIEW_SQL, campus_sql, listings, utc_sql
 from ..sources.tables import table
 
@@ -376,17 +376,57 @@ def session_slices(spark, folder):
 
 
 @query(
-    """SELECT n_nationkey, CAST(d AS DATE) AS day, w AS clock FROM (SELECT n_nationkey, unnest(generate_series(DATE '2026-09-01' + n_nationkey, DATE '2026-09-01' + n_nationkey + 20, INTERVAL 1 DAY)) AS d FROM nation),
-      (SELECT unnest(['09:00', '14:30']) AS w) WHERE isodow(d) - 1 IN (n_nationkey % 7, (n_nationkey + 2) % 7)""",
-    view=False,
+    f""", days AS (SELECT id, day, unnest(generate_series(day, day + 14, INTERVAL 1 DAY)) AS d FROM listings WHERE k % 7 > 0)
+      SELECT id, {utc_sql("d + to_hours(CAST(w AS INTEGER))")} AS starts_at, {utc_sql("d + to_hours(CAST(w + 2 AS INTEGER))")} AS ends_at FROM days, (SELECT unnest([9, 13]) AS w)
+      WHERE isodow(d) IN (isodow(day), isodow(day + 2))"""
 )
 def schedule_expand(spark, folder):
-    """A weekly schedule per nation: first to last day, two weekdays (0: Monday), two clocks."""
-    first = F.date_add(F.lit("2026-09-01").cast("date"), F.col("n_nationkey"))
-    days = table(spark, folder, "nation").select("n_nationkey", F.explode(F.sequence(first, F.date_add(first, 20))).alias("day"))
-    weekday = (F.dayofweek("day") + 5) % 7
-    kept = days.filter((weekday == F.col("n_nationkey") % 7) | (weekday == (F.col("n_nationkey") + 2) % 7))
-    return kept.select("n_nationkey", "day", F.explode(F.array(F.lit("09:00"), F.lit("14:30"))).alias("clock"))
+    """A schedule per listing: two weeks from its day, two weekdays, two windows, all printed; every seventh claims one weekday only and gives nothing."""
+    day = F.to_date(times.campus_time(F.col("starts_at")))
+    last, other = F.date_add(day, 14), F.date_add(day, 2)
+    shown = lambda d: F.date_format(d, "MMM d, yyyy")
+    text = F.concat(shown(day), F.lit(" to "), shown(last), F.lit(" on "), F.date_format(day, "EEEE"), F.lit(" and "), F.date_format(other, "EEEE"), F.lit(", 9am-11am and 1pm-3pm"))
+    window = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
+    rows = listings(spark, folder).select(
+        "id", day.alias("first_day"), last.alias("last_day"), F.when(F.col("k") % 7 == 0, F.array(F.weekday(day))).otherwise(F.array(F.weekday(day), F.weekday(other))).alias("weekdays"),
+        F.array(window("09:00", "11:00"), window("13:00", "15:00")).alias("windows"), text.alias("date_evidence"), F.lit(None).cast("timestamp_ntz").alias("posted_at"), F.lit("service_schedule").alias("kind"),
+    )
+    return validation.expanded_schedules(rows, "id")[0]
+
+
+@query("SELECT id, CASE k % 6 WHEN 1 THEN 'no title' WHEN 2 THEN 'venue is reasoning' WHEN 3 THEN 'day not supported' WHEN 4 THEN 'start clock not supported' WHEN 5 THEN 'hours needed' END AS error FROM listings")
+def occurrence_errors(spark, folder):
+    """Occurrences claimed of posts that print their day and clock: one in six is right, the others fail one rule each."""
+    k, wall = F.col("k"), times.campus_time(F.col("starts_at"))
+    day = F.to_date(wall)
+    rows = listings(spark, folder).select("id", "k", wall.alias("starts_at"), day.alias("day"), "title")
+    said = F.when(k % 6 == 3, F.date_add("day", 2)).otherwise(F.col("day"))
+    clock = F.when(k % 6 == 4, F.col("starts_at") + F.expr("INTERVAL '1' MINUTE")).otherwise(F.col("starts_at"))
+    text = F.concat(F.date_format(said, "MMM d, yyyy, "), F.date_format(clock, "h:mm a"))
+    # of a clock that a change repeats, the first
+    offset = (F.unix_timestamp(F.col("starts_at").cast("timestamp")) - F.unix_timestamp(F.convert_timezone(F.lit(times.CAMPUS), F.lit("UTC"), F.col("starts_at")).cast("timestamp"))) / 60
+    claimed = rows.select(
+        "id", F.when(k % 6 == 1, " ").otherwise(F.col("title")).alias("title"), F.lit(False).alias("all_day"), "starts_at", F.lit(None).cast("timestamp_ntz").alias("ends_at"), offset.cast("int").alias("start_offset"), F.lit(None).cast("int").alias("end_offset"),
+        F.when(k % 6 == 2, "Barn (probably)").otherwise("Barn").alias("location"), F.lit("Barn").alias("location_evidence"), F.lit("said").alias("activity_evidence"), text.alias("date_evidence"), F.lit(None).cast("timestamp_ntz").alias("posted_at"),
+        F.when(k % 6 == 5, "service_schedule").otherwise("activity").alias("kind"), F.lit("").alias("caption"), F.array(text).alias("texts"), F.lit(True).alias("cites_caption"),
+    )
+    return validation.judged(validation.with_read_bounds(claimed), validation.occurrence_rules()).select("id", "error")
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 9 = 1 THEN 'unknown decision' WHEN doc_id % 9 = 2 THEN 'kind and role disagree' WHEN doc_id % 9 = 3 THEN 'no activity evidence' WHEN doc_id % 9 = 4 THEN 'incompatible choices'
+      WHEN doc_id % 9 = 5 THEN 'nothing to publish' WHEN doc_id % 9 = 6 THEN 'hours need a schedule' WHEN doc_id % 9 = 7 THEN 'a dated cutoff is a deadline' END AS error FROM documents""",
+    view=False,
+)
+def decision_errors(spark, folder):
+    """Decisions about documents, with one fault each by id."""
+    n = F.col("doc_id") % 9
+    rows = table(spark, folder, "documents").select(
+        "doc_id", F.when(n == 1, "party").when(n == 6, "service_schedule").when(n == 7, "application").otherwise("activity").alias("kind"),
+        F.when(n == 2, "cutoff").when(n == 6, "recurring_hours").when(n == 7, "none").otherwise("occurrence").alias("date_role"), F.lit("because").alias("reason"), F.when(n != 3, "said").alias("activity_evidence"), F.lit("then").alias("date_evidence"),
+        F.when(n.isin(5, 7), 0).otherwise(1).alias("occurrences"), (n == 4).alias("has_schedule"), F.when(n == 7, "Apply by Oct 14").otherwise("All welcome").alias("source_text"),
+    )
+    return validation.judged(rows, validation.decision_rules()).select("doc_id", "error")
 
 
 @query(
