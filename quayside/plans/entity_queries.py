@@ -228,8 +228,10 @@ def _repost_run(spark, folder):
     """Every imported listing of a fourth key is posted again under a later number; some reposts tell of something else.
 
     Every eleventh first post is gone, every third source has a new decision, every seventh repost is unknown."""
-    rows = _rows(spark, folder).filter("source = 'instagram'").withColumn("image_url", F.lit(None).cast("string"))
     k = F.col("k")
+    # an account of its own for each listing, so that none happens to repeat another
+    own = {"image_url": F.lit(None).cast("string"), "host_handle": F.concat(F.lit("c"), k), "host": F.concat(F.lit("Club "), k)}
+    rows = _rows(spark, folder).filter("source = 'instagram'").withColumns(own)
     number = lambda more: F.lit(3_000_000_000_000_000_000).cast("long") + k + more
     link = lambda more: F.concat(F.lit("https://www.instagram.com/p/"), urls.media_id_to_shortcode(number(more)), F.lit("/"))
     named = lambda more: F.concat(F.lit("ig_"), "host_handle", F.lit("_p"), number(more).cast("string"))
@@ -251,7 +253,7 @@ def _repost_run(spark, folder):
     return proposed, stored, live
 
 
-_REPOSTS = """, posts AS (SELECT *, 'ig_' || host_handle || '_p' || (3000000000000000000 + k) AS old, 'ig_' || host_handle || '_p' || (3000000000001000000 + k) AS new,
+_REPOSTS = """, posts AS (SELECT *, 'ig_c' || k || '_p' || (3000000000000000000 + k) AS old, 'ig_c' || k || '_p' || (3000000000001000000 + k) AS new,
     content_kind <> 'other' AND k % 5 > 0 AS alike FROM listings WHERE source = 'instagram' AND k % 4 = 1),
   run AS (SELECT *, alike AND k % 3 > 0 AND k % 7 > 0 AS held, alike AND NOT is_locked AND k % 8 <> 1 AND NOT has_free_food AS better FROM posts)
 """
