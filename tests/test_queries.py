@@ -1,4 +1,4 @@
-"""Every query with an oracle equals it on the smallest tables."""
+"""Every query with an oracle equals it on the smallest tables, and those over pairs of listings on larger ones too."""
 
 import math
 
@@ -10,14 +10,21 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.fixture(scope="module")
-def oracle():
+LARGER, PAIRS = "/root/testdata/sf0.01", ["duplicate_features", "corrected_reposts", "review_pairs"]
+
+
+def views(folder):
     con = duckdb.connect()
     for name in TABLES:
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     return con
 
 
+@pytest.fixture(scope="module")
+def oracle():
+    return views(FOLDER)
+
+
 def plain(value):
     if value is None or (isinstance(value, float) and math.isnan(value)) or str(value) in ("NaT", "<NA>"):
         return "null"
@@ -38,6 +45,12 @@ def test_query(spark, oracle, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", PAIRS)
+def test_query_on_larger_tables(spark, name):
+    got, want = registry.QUERIES[name](spark, LARGER).toPandas(), views(LARGER).execute(registry.ORACLES[name]).fetchdf()
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_without_oracle_gives_rows(spark, name):
     assert registry.QUERIES[name](spark, FOLDER).limit(1).count() == 1
