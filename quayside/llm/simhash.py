@@ -545,7 +545,11 @@ def _candidates(prints: DataFrame, row: str, similarity: float) -> DataFrame:
     keyed = prints.select(F.posexplode("rarest").alias("at", "hash"), row, "n").select("hash", row, "n", "at")
     total = prints.agg(F.coalesce(F.sum(F.size("rarest").cast("long")), F.lit(0)).alias("n")).first().n
     least = max(HOT_RUN, -(-total // HOT_KEYS))
-    hot = written(keyed.groupBy("hash").agg(F.count("*").alias("size")).filter(F.col("size") > least).select("hash"), "near-hot-runs")  # HOT_KEYS rows at most
+    # a long run fills its bucket, so only the hashes of buckets that full are counted one by one
+    bucket = F.pmod("hash", F.lit(1 << 16)).alias("bucket")
+    full = keyed.groupBy(bucket).agg(F.count("*").alias("size")).filter(F.col("size") > least).select("bucket")
+    inside = keyed.select("hash", bucket).join(F.broadcast(full), "bucket")
+    hot = written(inside.groupBy("hash").agg(F.count("*").alias("size")).filter(F.col("size") > least).select("hash"), "near-hot-runs")  # HOT_KEYS rows at most
     kept = keyed.join(F.broadcast(hot), "hash", "left_anti")
     dealt = kept.repartition("hash").sortWithinPartitions("hash", row)
 
