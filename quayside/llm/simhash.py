@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import component_roots
-from .shared import HOT_KEYS, free_name, join_counted, slices, texts_of, written
+from .shared import HOT_KEYS, free_name, join_counted, remove_written, slices, texts_of, written, written_so_far
 
 BITS = 64
 SEED = 42
@@ -652,7 +652,9 @@ def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8
     that this leaves unconnected with one another, in blocks.  Of a group the row with the smallest
     doc_id stays (null ids last, then the first row).  Null texts count as empty and are copies of
     one another; further columns are kept, whatever their names; an empty table gives no rows.
+    Its tables go as soon as no later step reads them; the result reads the texts and the groups only.
     """
+    spark, before = docs.sparkSession, written_so_far()
     row = free_name(docs, "quayside_row")
     whole = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-input")
     prints = written(_prefixes(whole, row, words, similarity), "near-prefixes")
@@ -660,19 +662,24 @@ def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8
     equal = join_counted(prints.select(row, "digest"), firsts, "digest").filter(F.col(row) != F.col("first")).select(F.col("first").alias("a"), F.col(row).alias("b"))
     equal = written(equal, "near-equal")
     sets = written(prints.join(equal.select(F.col("b").alias(row)), row, "left_anti"), "near-distinct")
+    remove_written(spark, written_so_far() - before, [whole, equal, sets])
     links = written(_alike(whole, written(_simhash_pairs(sets, row, radius), "near-simhash"), row, words, similarity).unionByName(equal), "near-links")
+    remove_written(spark, written_so_far() - before, [whole, sets, links])
     roots = written(component_roots(links), "near-roots")
     found = written(_candidates(sets, row, similarity), "near-candidates")
+    remove_written(spark, written_so_far() - before, [whole, links, roots, found])
     pairs = found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")).filter("shared >= needed").select("a", "b")
     for end in ("a", "b"):
         pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
     open_pairs = written(pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "near-pairs")
     links = written(links.unionByName(_alike(whole, open_pairs, row, words, similarity)), "near-more-links")
+    remove_written(spark, written_so_far() - before, [whole, links, found])
     roots = written(component_roots(links), "near-more-roots")
     members = found.filter("b IS NULL").select("hash", F.col("a").alias(row))
     if members.limit(1).count():
         more = _links_of_long_runs(whole, members, roots, row, words, similarity)
         roots = written(component_roots(written(links.unionByName(more), "near-all-links")), "near-all-roots")
+    remove_written(spark, written_so_far() - before, [whole, roots])
     ids = whole.select(F.col(row).alias("node"), F.col("doc_id").cast("long").alias("doc_id"))
     best = roots.join(ids, "node").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best"))
     dropped = roots.join(best, "root").filter("node <> best.node").select(F.col("node").alias(row))

@@ -1,9 +1,11 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 from quayside.llm import simhash as module
+from quayside.llm.shared import shared_root
 from quayside.llm.simhash import bit_groups, fingerprint, fingerprint_links, near_duplicates, run_links, thresholds, without_near_copies
 
 from .conftest import SCHEMA, prose
@@ -188,3 +190,20 @@ def test_long_runs_of_fingerprints_are_dealt_into_blocks(spark, most):
     nodes = spark.createDataFrame([(p,) for p in prints], "fp long")
     roots = {x.node: x.root for x in module.component_roots(module.fingerprint_links(nodes, 5, most=most)).collect()}
     assert {p: roots.get(p, p) for p in prints} == {p: find(p) for p in prints}
+
+
+@pytest.mark.parametrize("pairwise", [64, 1])
+def test_tables_go_when_no_step_reads_them(spark, docs, monkeypatch, pairwise):
+    def there():
+        return {p.name for p in Path(shared_root(spark).removeprefix("file://")).iterdir()}
+
+    at, write = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, name: (write(df, name), at.append({n.rsplit("-", 1)[0] for n in there() - before}))[0])
+    monkeypatch.setattr(module, "PAIRWISE", pairwise)
+    before = there()
+    got = without_near_copies(docs)
+    read = {f.split("/")[-2] for f in got.inputFiles()}
+    assert there() - before <= read and len(read) == 2  # the texts and the groups
+    assert not [names for names in at if "near-prefixes" in names and "near-candidates" in names]
+    assert not [names for names in at if "near-distinct" in names and "near-pairs" in names]
+    assert got.count() == got.count() > 0
