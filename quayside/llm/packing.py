@@ -32,7 +32,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = token_counter(tokenizer)
-        for batch in slices(batches, 200):
+        for batch in slices(batches, 1000):
             out: list[tuple[int, int, int, int, int]] = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), counter.ids(texts_of(batch)), strict=True):
                 ids += b"\0\0\0\0"

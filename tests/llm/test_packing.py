@@ -1,4 +1,5 @@
 import bisect
+import json
 import random
 import zlib
 
@@ -84,3 +85,32 @@ def test_kept_ids_equal_the_tokenizers(tokenizer):
     counter = TokenCounter(tokenizer, most=300)
     got = [x for k in range(0, 2000, 50) for x in counter.ids(texts[k : k + 50])]
     assert got == [np.array(e.ids, "<u4").tobytes() for e in counter.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_words_are_encoded_once_whatever_stands_around_them(tokenizer):
+    words = [a + b for a in ("alpha", "beta", "gärten", "delta") for b in ("", "tor", "ment", "ville")]
+    texts = [f"{a}-{b.title()}. ({b}/{a})" for a in words for b in words]
+    counter = TokenCounter(tokenizer)
+    assert counter.ids(texts) == [np.array(e.ids, "<u4").tobytes() for e in counter.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert len(counter.known) <= len(words) + 10  # the words and runs of marks, not their pairs
+
+
+def test_cut_texts_equal_the_tokenizers(tokenizer, monkeypatch):
+    r = random.Random(4)
+    bits = ["H\u0331", "=\u0338", "e\u0301", "\u0130", "I\u0307", "\u023a", "\u024f", "\u0250", "\u00d7", "\u00f7", "\u1e9e", "\u212a", "\u01c5", "\x00", "\x1c", "\x85", "\u00a0", "\u2026", "\u00e9t\u00e9", "\u00c9T\u00c9"]
+    bits += ["'s", "'", "'LL", "a-b", "12", "<", "|", ">", "<|startoftext|>", "...", " ", " ", "\n", "word", "Word"]
+    counter = TokenCounter(tokenizer, most=200)
+    for window in (1, 30, 4_000_000):
+        monkeypatch.setattr("quayside.llm.tokens.WINDOW", window)
+        texts = ["".join(r.choices(bits, k=r.randint(0, 12))) for _ in range(2000)] + [" ".join(r.choices(bits, k=300))]
+        assert counter.ids(texts) == [np.array(e.ids, "<u4").tobytes() for e in counter.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_tokenizer_with_other_rules_encodes_whole_texts(tokenizer, tmp_path):
+    rules = json.loads(open(tokenizer, encoding="utf-8").read())
+    rules["normalizer"] = None
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(rules))
+    texts = ["The Cat", "the-cat", ""]
+    counter = TokenCounter(str(path))
+    assert counter.ids(texts) == [np.array(e.ids, "<u4").tobytes() for e in counter.tokenizer.encode_batch(texts, add_special_tokens=False)]
