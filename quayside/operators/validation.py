@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import support, times
 from ..functions.evidence import COMPACT_RANGE, FULL_RANGE, evidence_days, time_range
 from ..functions.spans import spans
+from ..sources.tables import cut, spread
 
 # What roles a date has in a post of each kind, and what kinds publish.
 ROLES = {
@@ -154,10 +155,17 @@ def schedule_rules() -> Rules:
 
 
 def expanded_schedules(schedules: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """key, starts_at, ends_at (UTC) of every session of the schedules that pass, and the others with their error."""
-    checked = judged(schedules, schedule_rules())
+    """key, starts_at, ends_at (UTC) of every session of the schedules that pass, and the others with their error.
+
+    Schedules that say the same are judged and expanded once, dealt to all cores.
+    """
+    said = [c for c in schedules.columns if c != key]
+    named = schedules.withColumn("said", F.sha2(F.to_json(F.struct(*said)), 256))
+    checked = cut(judged(spread(cut(named.drop(key).dropDuplicates(["said"]))), schedule_rules()).select("said", "first_day", "last_day", "weekdays", "windows", "error"))
     good = checked.filter("error IS NULL")
-    days = good.select(key, "weekdays", "windows", F.explode(F.sequence("first_day", "last_day")).alias("day")).filter(F.array_contains("weekdays", F.weekday("day")))
-    each = days.select(key, "day", F.explode("windows").alias("w"))
+    days = good.select("said", "weekdays", "windows", F.explode(F.sequence("first_day", "last_day")).alias("day")).filter(F.array_contains("weekdays", F.weekday("day")))
+    each = days.select("said", "day", F.explode("windows").alias("w"))
     at = lambda hhmm: times.utc_time(F.to_timestamp_ntz(F.concat_ws(" ", F.col("day").cast("string"), hhmm), F.lit("yyyy-MM-dd HH:mm")))
-    return each.select(key, at(F.col("w.start")).alias("starts_at"), at(F.col("w.end")).alias("ends_at")), checked.filter("error IS NOT NULL")
+    sessions = each.groupBy("said").agg(F.collect_list(F.struct(at(F.col("w.start")).alias("starts_at"), at(F.col("w.end")).alias("ends_at"))).alias("sessions"))  # MOST_SESSIONS at most
+    bad = named.join(checked.filter("error IS NOT NULL").select("said", "error"), "said").select(*schedules.columns, "error")
+    return named.select(key, "said").join(sessions, "said").select(key, F.inline("sessions")), bad

@@ -63,3 +63,16 @@ def test_schedules(spark):
     assert {r.i: r.error for r in bad.collect()} == {k: want for k, (_, want) in enumerate(SCHEDULES) if want}
     got = sorted((str(r.starts_at), str(r.ends_at)) for r in sessions.collect())
     assert got == [(f"2026-10-{d:02d} {a}:00:00", f"2026-10-{d:02d} {b}:00:00") for d in (5, 7, 12, 14) for a, b in ((16, 18), (20, 22))]
+
+
+def test_schedules_that_say_the_same_are_judged_once(spark, monkeypatch):
+    judged, seen = validation.judged, []
+    monkeypatch.setattr(validation, "judged", lambda rows, rules: judged(rows, rules) if seen.append(rows.count()) is None else None)
+    plain = {**SCHEDULE, "first": "2026-10-05", "last": "2026-10-14"}
+    rows = [(k, *({**plain, "weekdays": [0] if k % 3 == 0 else [0, 2]}[n] for n in plain)) for k in range(60)]
+    df = spark.createDataFrame(rows, "i int, first string, last string, weekdays array<int>, windows array<struct<start:string,end:string>>, date_evidence string, kind string")
+    df = df.withColumns({"first_day": F.col("first").cast("date"), "last_day": F.col("last").cast("date"), "posted_at": F.lit(None).cast("timestamp_ntz")})
+    sessions, bad = validation.expanded_schedules(df, "i")
+    assert seen == [2]
+    assert sorted(r["i"] for r in sessions.collect()) == sorted([k for k in range(60) if k % 3] * 8)
+    assert {r.i: r.error for r in bad.collect()} == dict.fromkeys(range(0, 60, 3), "other weekdays than printed")
