@@ -82,21 +82,25 @@ def close_starts(rows: DataFrame, key: list[str], seconds: int = 900) -> DataFra
 def review_pairs(rows: DataFrame, least: int = 2) -> DataFrame:
     """Pairs for a person to look at: one kind and day, the later starts before the earlier ends, `least` title words in common.
 
-    Titles meet by a word of their day: of two with `least` words in common one is shared besides the
-    least - 1 most used words of either, so those are no keys, and a day's pairs are never all made.
+    Titles are compared as the word sets that a day has, once each; listings then meet by the sets that go
+    together.  Nothing is kept or sorted but listings with such a set, so what is shuffled doesn't grow with
+    the pairs.  Sets meet by a word of their day: of two with `least` words in common one is shared besides
+    the least - 1 most used words of either, so those are no keys.
     """
-    live = rows.filter("content_kind <> 'other'").withColumn("words", texts.words(F.col("title")))
-    named = live.select("id", "content_kind", "day", F.explode("words").alias("word"))
-    used = named.groupBy("content_kind", "day", "word").agg(F.count("*").alias("n"))
-    ranked = named.join(used, ["content_kind", "day", "word"]).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "word")))
-    keys = ranked.filter(F.col("rank") >= least).select("id", "content_kind", "day", "word")
-    left, right = keys.withColumnRenamed("id", "l_id"), keys.withColumnRenamed("id", "r_id")
-    pairs = left.join(right, ["content_kind", "day", "word"]).filter("l_id < r_id").select("l_id", "r_id").distinct()
-    end = lambda side: live.select(*(F.col(c).alias(f"{side}_{c}") for c in live.columns))
-    met = pairs.join(end("l"), "l_id").join(end("r"), "r_id")
+    day = ["content_kind", "day"]
+    live = rows.filter("content_kind <> 'other'").withColumn("words", F.array_sort(texts.words(F.col("title")))).withColumn("set", F.array_join("words", " "))
+    sets = cut(live.select(*day, "set", "words").distinct())
+    named = sets.select(*day, "set", F.explode("words").alias("word"))
+    used = named.groupBy(*day, "word").agg(F.count("*").alias("n"))
+    ranked = named.join(used, [*day, "word"]).withColumn("rank", F.row_number().over(Window.partitionBy(*day, "set").orderBy(F.desc("n"), "word")))
+    keys = ranked.filter(F.col("rank") >= least).select(*day, "set", "word")
+    met = keys.withColumnRenamed("set", "l_set").join(keys.withColumnRenamed("set", "r_set"), [*day, "word"]).select(*day, "l_set", "r_set").distinct()
+    both = met.join(sets.select(*day, F.col("set").alias("l_set"), F.col("words").alias("l_words")), [*day, "l_set"]).join(sets.select(*day, F.col("set").alias("r_set"), F.col("words").alias("r_words")), [*day, "r_set"])
+    alike = cut(both.select(*day, "l_set", "r_set", F.size(F.array_intersect("l_words", "r_words")).alias("common")).filter(F.col("common") >= least))
+    left, right = (_side(live.drop("words"), end, *day) for end in "lr")
     ends = F.coalesce("l_ends_at", "l_starts_at"), F.coalesce("r_ends_at", "r_starts_at")
     overlap = (F.col("l_starts_at") <= ends[1]) & (F.col("r_starts_at") <= ends[0])
-    return met.filter(overlap).withColumn("common", F.size(F.array_intersect("l_words", "r_words"))).filter(F.col("common") >= least)
+    return left.join(alike, [*day, "l_set"]).join(right, [*day, "r_set"]).filter((F.col("l_id") < F.col("r_id")) & overlap)
 
 
 def shingle_classes(rows: DataFrame, key: str, text: str, words: int = 3) -> DataFrame:

@@ -151,3 +151,20 @@ def test_shingle_pairs_with_frequent_shingles(spark):
     want = {(a, b, n) for a in shingles for b in shingles if a < b and (n := len(shingles[a] & shingles[b])) >= 20}
     for often in (1, 5, 1000):
         assert {tuple(p) for p in dedupe.shingle_pairs(classes, "id", often=often).collect()} == want
+
+
+def test_review_pairs_shuffle_listings_not_pairs(spark):
+    """A day on which all listings pair with all others: plain pairs, and no exchange or sort above the join that makes them."""
+    rows = spark.range(60).select(
+        F.concat(F.lit("e"), "id").alias("id"), F.lit("student_event").alias("content_kind"), F.lit("2026-10-05").cast("date").alias("day"),
+        F.when(F.col("id") % 3 == 0, "Chess Open Night").when(F.col("id") % 3 == 1, "open night of chess and go").otherwise("Go").alias("title"),
+        F.lit("2026-10-05 19:00:00").cast("timestamp_ntz").alias("starts_at"), F.lit(None).cast("timestamp_ntz").alias("ends_at"),
+    )
+    found = dedupe.review_pairs(rows)
+    got = {(r.l_id, r.r_id, r.common) for r in found.select("l_id", "r_id", "common").collect()}
+    alike = [k for k in range(60) if k % 3 < 2]
+    want = {(*sorted((f"e{a}", f"e{b}")), 4 if a % 3 == b % 3 == 1 else 3) for a in alike for b in alike if a < b}
+    assert got == want and found.count() == len(want)
+    plan = found.select("l_id", "r_id", "common")._jdf.queryExecution().sparkPlan().toString()
+    above = plan.split("Join", 1)[0]
+    assert "Aggregate" not in above and plan.count("Join") == 2  # the pairs are neither made distinct nor joined with the listings again
