@@ -201,7 +201,7 @@ def withhold(proposed: DataFrame, registry: DataFrame, live: DataFrame, forced:
     listed = [c for c in proposed.columns if c not in extra]
     both = proposed.select(listed).unionByName(live.join(proposed.select("id"), "id", "left_anti").select(listed))
     known = cut(pairs.facts(both))
-    matched = pairs.same_event(pairs.candidate_pairs(known)).filter("verdict")
+    matched = pairs.same_event(pairs.matchable_pairs(known)).filter("verdict")
     edges = cut(matched.select("l_id", "r_id"))
     pending = cut(pending_rows(proposed, registry, live))
     # a row that could tell of several events is pending only where a person put it

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 from quayside.operators import dedupe, grouping, pairs
+from quayside.sources import tables
 
 SCHEMA = (
     "id string, title string, description string, location string, host string, host_handle string, s string, e string, all_day boolean, content_kind string, "
@@ -150,3 +151,41 @@ def test_forced_merges(spark):
     forced = spark.createDataFrame([("ig_bears_p2", "ig_chess_p1"), ("ig_x_p3", "ig_bears_p2")], "old string, new string")
     _, groups = grouping.plan(listings(spark, rows), forced=forced)
     assert {r.group_id for r in groups.collect()} == {"ig_bears_p2"}
+
+
+def _ids(pairs_found):
+    return {(r.l_id, r.r_id) for r in pairs_found.select("l_id", "r_id").collect()}
+
+
+def test_texts_are_read_once_for_equal_ones(spark, monkeypatch):
+    seen = []
+    plain = tables.once_each
+    monkeypatch.setattr(pairs, "once_each", lambda rows, columns, *layers: seen.append((tuple(columns), rows.select(*columns).distinct().count())) or plain(rows, columns, *layers))
+    rows = [row(f"ig_a_p{k}", "Blitz Evening", text="same words" if k % 2 else "others", handle=f"h{k}") for k in range(8)]
+    got = pairs.facts(listings(spark, rows)).collect()
+    assert {r.id: r.f_account for r in got} == {f"ig_a_p{k}": f"h{k}" for k in range(8)} and all(r.f_title_words == ["blitz", "evening"] for r in got)
+    assert dict(seen)[("title",)] == 1 and dict(seen)[("description",)] == 2
+
+
+def test_pairs_of_one_account_or_credit(spark):
+    """Of a busy title's pairs, only those with one account or a credit are made for features of these."""
+    rows = [row(f"ig_c{k % 4}_p{k}", "Blitz Evening", handle=f"c{k % 4}", text="with @c3" if k == 4 else "") for k in range(12)]
+    known = dedupe.cut(pairs.facts(listings(spark, rows)))
+    name = {k: f"ig_c{k % 4}_p{k}" for k in range(12)}
+    want = {tuple(sorted((name[a], name[b]))) for a in name for b in name if a < b and (a % 4 == b % 4 or (a == 4 and b % 4 == 3) or (b == 4 and a % 4 == 3))}
+    assert _ids(pairs.owned_pairs(known)) == want
+    found = pairs.pair_features(pairs.owned_pairs(known.withColumn("f_rarity", F.expr("CAST(map() AS MAP<STRING, DOUBLE>)"))), ("same_account", "credited"), ())
+    assert {(r.l_id, r.r_id) for r in found.filter("credited = 1").collect()} == {p for p in want if name[4] in p and p != tuple(sorted((name[0], name[4]))) and p != tuple(sorted((name[4], name[8])))}
+
+
+def test_matchable_pairs_hold_all_that_rules_join(spark):
+    """Pairs that share a title word at other hours aren't compared; every pair that a rule joins is."""
+    rows = [r for n, (a, b, _) in enumerate(CASES.values()) for r in (a, b)]
+    unique = list({r[0]: r for r in rows}.values())
+    busy = [row(f"ig_x{k}_p{900 + k}", "Blitz Evening", s=f"2026-10-05 {10 + k:02d}:00:00", handle=f"x{k}", host=f"X {k}", place=f"Barn {k}") for k in range(12)]
+    known = dedupe.cut(pairs.facts(listings(spark, unique + busy)))
+    every = pairs.same_event(pairs.candidate_pairs(known))
+    tried = _ids(pairs.matchable_pairs(known))
+    assert _ids(every.filter("verdict")) <= tried <= _ids(every)
+    ours = {r[0] for r in busy}
+    assert len([p for p in _ids(every) if set(p) <= ours]) == 66 and not [p for p in tried if set(p) <= ours]
