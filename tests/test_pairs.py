@@ -2,7 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
-from quayside.operators import dedupe, grouping, pairs
+from quayside.operators import dedupe, grouping, pairs, shadow
 from quayside.sources import tables
 
 SCHEMA = (
@@ -189,3 +189,19 @@ def test_matchable_pairs_hold_all_that_rules_join(spark):
     assert _ids(every.filter("verdict")) <= tried <= _ids(every)
     ours = {r[0] for r in busy}
     assert len([p for p in _ids(every) if set(p) <= ours]) == 66 and not [p for p in tried if set(p) <= ours]
+
+
+def test_shadow_report(spark):
+    """Every upcoming pair of a day that can be compared is scored, but for those that rules join or a person decided; decisions are scored as seen."""
+    rows = [
+        row("ig_a_p1", "Grandmaster Simul Evening", handle="a", host="A", place="Barn"), row("ig_b_p2", "Grandmaster Simul Dinner", handle="b", host="B", place="HUB 302"), row("ig_c_p3", "Pottery", handle="c", host="C", place="Den"),
+        row("ig_d_p4", "Blitz Open Cup", handle="d", host="D"), row("ig_d_p5", "Blitz Open Cup", handle="d", host="D"),
+        row("ig_e_p6", "Grandmaster Simul Past", s="2026-09-01 20:00:00", handle="e", host="E"), row("ig_f_p7", "Grandmaster Simul Past", s="2026-09-01 20:00:00", handle="f", host="F"),
+    ]
+    known = dedupe.cut(pairs.facts(listings(spark, rows)))
+    seen = dedupe.cut(pairs.facts(listings(spark, [rows[0], rows[2], rows[3], row("ig_d_p5", "Blitz Open Cup", s="2026-10-09 20:00:00", handle="d", host="D")])))
+    reviews = spark.createDataFrame([("ig_c_p3", "ig_a_p1", "different"), ("ig_a_p1", "ig_b_p2", "pending"), ("ig_d_p5", "ig_d_p4", "duplicate"), ("ig_x", "ig_y", "duplicate")], "a string, b string, status string")
+    report, totals, decisions = shadow.shadow_report(known, reviews, seen, "2026-10-01 00:00:00")
+    assert [(r.l_id, r.r_id, r.queued) for r in report.collect()] == [("ig_a_p1", "ig_b_p2", True)]
+    assert [tuple(r) for r in totals.select("scored", "queued").collect()] == [(8, 1)]  # of ten pairs of the day, one is joined and one decided
+    assert {(r.status, r.l_id, r.advice, r.score is None) for r in decisions.collect()} == {("different", "ig_a_p1", "dismiss", False), ("duplicate", "ig_d_p4", "not comparable", True)}
